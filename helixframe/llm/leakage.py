@@ -60,11 +60,12 @@ def leaked_runs(docs: DataFrame, items: DataFrame, run: int = 10, doc_col: str =
     runs = cut(rare_runs(terms, index, run))
     first = runs.select("item", "o1", "t1").distinct()
     hit = index.join(first, F.col("tid") == F.col("t1")).select("doc", "item", "o1", (F.col("pos") - F.col("o1")).alias("diag"))
-    # places of the second rarest term, shifted; the last place of the run must not be negative
-    want = hit.join(runs.select("item", "o1", "first", "o2", "t2").distinct(), ["item", "o1"]).where(F.col("diag") + F.col("first") >= 0)
-    want = want.select("doc", "item", "diag", "first", (F.col("diag") + F.col("o2")).alias("pos"), F.col("t2").alias("tid"))
+    # the second rarest term of a run, at its shifted place
+    pairs = runs.select("item", "o1", "o2", "t2").distinct()
+    want = hit.join(pairs, ["item", "o1"]).select("doc", "item", "diag", "o1", "o2", (F.col("diag") + F.col("o2")).alias("pos"), F.col("t2").alias("tid")).where("pos >= 0")
     second = index.join(runs.select(F.col("t2").alias("tid")).distinct(), "tid", "left_semi")
-    cand = cut(want.join(second, ["doc", "pos", "tid"], "left_semi").select("doc", "item", "diag", "first").distinct())
+    met = want.join(second, ["doc", "pos", "tid"], "left_semi").join(runs.select("item", "first", "o1", "o2"), ["item", "o1", "o2"])
+    cand = cut(met.where(F.col("diag") + F.col("first") >= 0).select("doc", "item", "diag", "first"))
     places = cand.select("doc", "item", "diag", F.explode(F.sequence(F.col("first"), F.col("first") + run - 1)).alias("off")).distinct()
     want = places.join(terms.select("item", "off", "tid"), ["item", "off"]).select("doc", "item", "diag", "off", (F.col("diag") + F.col("off")).alias("pos"), "tid")
     near = index.join(cand.select("doc").distinct(), "doc", "left_semi")
