@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import clusters, leakage, neardup, sampling, splits, tokenizer, topn
+from helixframe.llm import clusters, leakage, neardup, pii, sampling, splits, tokenizer, topn
 from helixframe.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,9 +76,17 @@ def p7_proximity(spark: SparkSession, d: str) -> DataFrame:
     return leakage.proximity_matches(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_items(table(spark, d, "documents")).select("doc_id", "kind", "begin_pos")
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_splits, p3_found, p3_top_samples, p4_found, p4_sample, p4_report, p5_found, p5_communities, p6_ids, p6_decoded, p7_found, p7_proximity)
+    for f in (p1_found, p1_groups, p2_found, p2_splits, p3_found, p3_top_samples, p4_found, p4_sample, p4_report, p5_found, p5_communities, p6_ids, p6_decoded, p7_found, p7_proximity, p8_found, p8_redacted)
 }
 
 ORACLE: dict[str, str] = {
