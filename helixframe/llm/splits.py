@@ -69,7 +69,8 @@ def choose_sizes(sizes: list[tuple[int, int]], target: int) -> dict[int, int]:
         k = min(have[s], (left - EXACT_LIMIT) // s + 1, left // s)
         if k > 0:
             take[s], have[s], left = k, have[s] - k, left - k * s
-    top = left + min([s for s, m in have.items() if m] or [0])
+    # the nearest total lies at most the target below it, or less than one component above
+    top = min(2 * left, left + max([s for s, m in have.items() if m] or [0]))
     reach = np.zeros(top + 1, bool)
     reach[0] = True
     by = np.full(top + 1, -1, np.int32)
