@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators.indexing import with_index
+
 # Fixed value: labels that mark an anchor as an artefact, matched anywhere without regard to case.
 ARTIFACTS = "plas|illum|syn|arp|RF|JUNK|Ral|purge|P,|Univec"
 
@@ -35,17 +37,20 @@ def select_anchors(stats: DataFrame, labels: DataFrame, n: int = 150_000, cutoff
 def reorder_clusters(clusters: DataFrame, stats: DataFrame, cutoff: float = 0.7) -> DataFrame:
     """``(cluster_id, anchor, place)``: clusters renumbered from 1 by mean effect times mean number
     of samples, members by the product of their own. A cluster with a member that has no
-    statistic (or one under the cutoff) has no mean and comes last; ties by old id, then anchor."""
+    statistic (or one under the cutoff) has no mean and comes last; ties by old id, then anchor.
+    Numbers come from range partitions, so neither the clusters nor a hot one meet in one task."""
     s = one_statistic(stats).where(F.col("effect_size_bin") >= cutoff)
     members = clusters.dropna(subset=["cluster_id", "anchor"]).select("cluster_id", "anchor").distinct()
     d = members.join(s, "anchor", "left")
     whole = lambda c: F.when(F.count(c) == F.count("*"), F.avg(c))
     means = d.groupBy("cluster_id").agg((whole("effect_size_bin") * whole("number_nonzero_samples")).alias("sort_val"))
-    rank = means.withColumn("new_id", F.row_number().over(Window.orderBy(F.desc_nulls_last(F.round("sort_val", 9)), "cluster_id")))
+    last = F.lit(float("inf"))
+    rank = with_index(means.withColumn("minus", F.coalesce(-F.round("sort_val", 9), last)), ["minus", "cluster_id"], "n")
     own = F.round(F.col("effect_size_bin") * F.col("number_nonzero_samples"), 9)
-    place = F.row_number().over(Window.partitionBy("new_id").orderBy(F.desc_nulls_last(own), "anchor"))
-    d = d.join(rank, "cluster_id").withColumn("place", place)
-    return d.select(F.col("new_id").alias("cluster_id"), "anchor", "place")
+    d = d.join(rank.select("cluster_id", (F.col("n") + 1).alias("new_id")), "cluster_id").select("new_id", "anchor", F.coalesce(-own, last).alias("minus"))
+    d = with_index(d, ["new_id", "minus", "anchor"], "n")
+    first = d.groupBy("new_id").agg(F.min("n").alias("first"))
+    return d.join(first, "new_id").select(F.col("new_id").alias("cluster_id"), "anchor", (F.col("n") - F.col("first") + 1).alias("place"))
 
 
 def top_clusters(reordered: DataFrame, most: int = 4000) -> DataFrame:

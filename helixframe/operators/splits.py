@@ -5,9 +5,11 @@ Random orders come from md5 of the row id, so that they are the same everywhere
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators.ranking import distributed_rank
+
 
 def draw(key: Column, seed: int = 42) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f"#{seed}")))
@@ -18,6 +20,15 @@ def uniform(key: Column, seed: int = 42) -> Column:
     return F.conv(F.substring(draw(key, seed), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def _numbered(df: DataFrame, key: str, by: str, seed: int) -> DataFrame:
+    """Adds ``_k``, the place of each row of a class in the order of the draw, and ``_n``, the size
+    of the class. A hot class is ranked in slices of the draw."""
+    order = F.conv(F.substring(draw(F.col(key), seed), 1, 16), 16, -10).cast("long").bitwiseXOR(F.lit(-(2**63)))
+    d = distributed_rank(df, [by], order, [draw(F.col(key), seed), key], "_k")
+    n = df.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
+    return d.join(n, d[by].eqNullSafe(n["_by"])).drop("_by")
+
+
 def bernoulli_split(df: DataFrame, key: str, train: float = 0.7, val: float = 0.15, seed: int = 42) -> DataFrame:
     u = uniform(F.col(key), seed)
     return df.withColumn("split", F.when(u < train, "train").when(u < train + val, "val").otherwise("test"))
@@ -32,10 +43,7 @@ def prefix_split(df: DataFrame, name: str, delimiter: str = "_", train: float =
 def stratified_split(df: DataFrame, key: str, by: str, train: float = 0.7, val: float = 0.15, seed: int = 42) -> DataFrame:
     """Shares of every class: floor(train * n) rows to train, as many more as make
     floor((train + val) * n) to val, the rest to test. Null classes form one class."""
-    w = Window.partitionBy(by)
-    k = F.row_number().over(w.orderBy(draw(F.col(key), seed), key))
-    n = F.count("*").over(w)
-    d = df.withColumn("_k", k).withColumn("_n", n)
+    d = _numbered(df, key, by, seed)
     split = F.when(F.col("_k") <= F.floor(F.col("_n") * train + 1e-9), "train").when(F.col("_k") <= F.floor(F.col("_n") * (train + val) + 1e-9), "val").otherwise("test")
     return d.withColumn("split", split).drop("_k", "_n")
 
@@ -45,11 +53,11 @@ def balanced_split(df: DataFrame, key: str, by: str, train: float = 0.5, even: b
     or, with ``even``, only as many as even out all classes. Rows without a class are left out."""
     d = df.where(F.col(by).isNotNull())
     least = d.groupBy(by).count().agg(F.min("count").alias("_m")).withColumn("_one", F.lit(1))
-    d = d.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(draw(F.col(key), seed), key))).withColumn("_one", F.lit(1)).join(least, "_one")
+    d = _numbered(d, key, by, seed).withColumn("_one", F.lit(1)).join(least, "_one")
     d = d.withColumn("split", F.when(F.col("_k") <= F.floor(F.col("_m") * train + 1e-9), "train").otherwise("test"))
     if even:
         d = d.where(F.col("_k") <= F.col("_m"))
-    return d.drop("_k", "_m", "_one")
+    return d.drop("_k", "_n", "_m", "_one")
 
 
 def replicate_train(df: DataFrame, n: int) -> DataFrame:
