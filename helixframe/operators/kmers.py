@@ -12,10 +12,13 @@ from helixframe.operators.indexing import with_index
 def window_array(seq: Column, k: int, step: int, last: int = 0) -> Column:
     """Array of whole windows of ``k`` letters at 0, step, ...; null if there is none. ``last``
     letters at the end are kept free. The guard stands twice because sequence() would count down
-    or fail where the record is too short."""
+    or fail where the record is too short. Plain text is cut by bytes: a cut by letters counts from
+    the start of the record each time, which is quadratic in long ones."""
     n = F.length(seq) - k - last
     starts = F.sequence(F.lit(0), F.greatest(n, F.lit(0)), F.lit(step))
-    return F.when(n >= 0, F.transform(starts, lambda i: F.substring(seq, i + 1, F.lit(k))))
+    by_bytes = F.transform(F.array(seq.cast("binary")), lambda b: F.transform(starts, lambda i: F.substring(b, i + 1, F.lit(k)).cast("string")))[0]
+    by_letters = F.transform(starts, lambda i: F.substring(seq, i + 1, F.lit(k)))
+    return F.when(n >= 0, F.when(F.octet_length(seq) == F.length(seq), by_bytes).otherwise(by_letters))
 
 
 def windows(df: DataFrame, k: int = 27, step: int = 1, both_strands: bool = False) -> DataFrame:
