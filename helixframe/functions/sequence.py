@@ -100,21 +100,24 @@ def ambiguous_codons(table: int | str = 1) -> dict[str, str]:
     return out
 
 
-def translate(seq: Column | str, table: int | str = 1) -> Column:
-    """Amino acids of the whole codons; a trailing part is dropped, unresolved codons are X."""
-    seq = F.upper(col(seq))
-    known = F.lit(codon_string(table))
-    odd = F.create_map(*[F.lit(x) for kv in ambiguous_codons(table).items() for x in kv])
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
 
-    def one(i: Column) -> Column:
-        codon = F.substring(seq, i * 3 + 1, F.lit(3))
-        at = [F.instr(F.lit(ORDER), F.substring(codon, j, 1)) for j in (1, 2, 3)]
-        plain = F.substring(known, (at[0] - 1) * 16 + (at[1] - 1) * 4 + at[2], F.lit(1))
-        return F.when((at[0] > 0) & (at[1] > 0) & (at[2] > 0), plain).otherwise(F.coalesce(F.try_element_at(odd, codon), F.lit("X")))
+def translate(seq: Column | str, table: int | str = 1) -> Column:
+    """Amino acids of the whole codons; a trailing part is dropped, unresolved codons are X.
 
-    n = F.floor(F.length(seq) / 3).cast("int")
-    some = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), one), "")
-    return F.when(n > 0, some).when(seq.isNotNull(), "")
+    Codons are cut in one pass and looked up by their place in the list of all known codons, four
+    letters apart; place 0, not found, reads the X in front of the amino acids. Linear in the
+    length of the record; an empty sequence gives the empty string, null gives null.
+    """
+    plain = dict(zip(("".join(c) for c in product(ORDER, repeat=3)), codon_string(table), strict=True))
+    known = {**plain, **ambiguous_codons(table)}
+    codons, letters = F.lit(" ".join(known)), F.lit(("X" + "".join(known.values())).encode())
+    cut = F.regexp_extract_all(F.translate(F.upper(col(seq)), " ", "?"), F.lit("(?s).{3}"), F.lit(0))
+    place = lambda c: F.shiftright(F.instr(codons, c) + 3, 2) + 1
+    return F.array_join(F.transform(cut, lambda c: F.substring(letters, place(c), F.lit(1)).cast("string")), "")
 
 
 def frame(seq: Column | str, shift: int) -> Column:
@@ -124,21 +127,21 @@ def frame(seq: Column | str, shift: int) -> Column:
 
 def peptide(protein: Column) -> Column:
     """Up to the first stop, X taken off both ends; shorter than 5 letters becomes X."""
-    p = F.regexp_replace(F.substring_index(protein, "*", 1), "^X+|X+$", "")
-    return F.when(F.length(p) < 5, "X").otherwise(p)
+    trimmed = F.regexp_replace(F.substring_index(protein, "*", 1), "^X+|X+$", "")
+    return let(trimmed, lambda p: F.when(F.length(p) < 5, "X").otherwise(p))
 
 
 def six_frames(seq: Column | str, table: int | str = 1) -> Column:
     """Array of (frame, protein): frames 1 to 3, then 4 to 6 of the reverse complement."""
-    seq = col(seq)
-    both = [(i, seq) for i in range(3)] + [(i, reverse_complement(seq)) for i in range(3)]
-    return F.array(*[F.struct(F.lit(k + 1).alias("frame"), peptide(translate(frame(s, i), table)).alias("protein")) for k, (i, s) in enumerate(both)])
+    both = lambda s, rc: F.array(*[frame(x, i) for x in (s, rc) for i in range(3)])
+    shifted = let(col(seq), lambda s: let(reverse_complement(s), lambda rc: both(s, rc)))
+    return F.transform(shifted, lambda s, k: F.struct((k + 1).alias("frame"), peptide(translate(s, table)).alias("protein")))
 
 
 def longest_frame(seq: Column | str, table: int | str = 1) -> Column:
     """(frame, protein) of the longest translated frame; the earliest of equal length."""
-    best = F.array_sort(F.transform(six_frames(seq, table), lambda x: F.struct((-F.length(x["protein"])).alias("n"), x["frame"].alias("frame"), x["protein"].alias("protein"))))
-    return F.struct(best[0]["frame"].alias("frame"), best[0]["protein"].alias("protein"))
+    ranked = F.transform(six_frames(seq, table), lambda x: F.struct((-F.length(x["protein"])).alias("n"), x["frame"].alias("frame"), x["protein"].alias("protein")))
+    return let(F.array_min(ranked), lambda x: F.struct(x["frame"].alias("frame"), x["protein"].alias("protein")))
 
 
 def stop_free(seq: Column | str, table: int | str = 1, retry: bool = True) -> Column:
@@ -146,4 +149,5 @@ def stop_free(seq: Column | str, table: int | str = 1, retry: bool = True) -> Co
     one, two, three = (translate(frame(seq, i), table) for i in range(3))
     if not retry:
         return one
-    return F.when(~F.contains(one, F.lit("*")), one).when(~F.contains(two, F.lit("*")), two).otherwise(three)
+    unless = lambda protein, other: let(protein, lambda p: F.when(F.contains(p, F.lit("*")), other).otherwise(p))
+    return unless(one, unless(two, three))

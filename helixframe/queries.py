@@ -192,15 +192,6 @@ def representative_in_order(s, d):
     return satc.representative_sequence(rel.satc(s, d), rel.clusters(s, d), 2, representative="cluster_order")
 
 
-CS = f"""{SATC}, {BEST}, {CLUSTERS}, li AS (SELECT cluster_id, anchor, min(ord) AS ord FROM cl WHERE cluster_id <= 1100 GROUP BY ALL), dj AS (SELECT bt.sample, li.cluster_id, arg_min(bt.anchor || bt.target, li.ord) AS x FROM bt JOIN li USING (anchor) GROUP BY ALL),
-    df AS (SELECT cluster_id, arg_min(anchor, ord) || repeat('N', 27) AS x FROM li GROUP BY cluster_id)"""
-
-
-@query(f"WITH {CS} SELECT s.sample, string_agg(coalesce(dj.x, df.x), '' ORDER BY df.cluster_id) AS seq FROM (SELECT DISTINCT sample FROM dj) s CROSS JOIN df LEFT JOIN dj ON dj.sample = s.sample AND dj.cluster_id = df.cluster_id GROUP BY s.sample")
-def cluster_sample_sequence(s, d):
-    return satc.cluster_sample_sequence(rel.satc(s, d), rel.clusters(s, d).where("cluster_id <= 1100"))
-
-
 @query(f"WITH {SATC}, p AS (SELECT anchor, target, sum(count) AS c FROM sa GROUP BY ALL) SELECT anchor, round(max(c) / sum(c), 6) AS effect_size_bin, any_value(n) AS number_nonzero_samples FROM p JOIN (SELECT anchor, count(DISTINCT sample) AS n FROM sa GROUP BY anchor) USING (anchor) GROUP BY anchor")
 def anchor_statistics(s, d):
     return satc.anchor_statistics(rel.satc(s, d)).withColumn("effect_size_bin", F.round("effect_size_bin", 6))
@@ -233,6 +224,16 @@ def top_clusters(s, d):
     return anchors.top_clusters(anchors.reorder_clusters(rel.clusters(s, d), table(s, d, "anchor_stats")), 200)
 
 
+CS = f"""{SATC}, {BEST}, {RE}, li AS (SELECT cluster_id, anchor, place AS ord FROM ro WHERE cluster_id <= 200), dj AS (SELECT bt.sample, li.cluster_id, arg_min(bt.anchor || bt.target, li.ord) AS x FROM bt JOIN li USING (anchor) GROUP BY ALL),
+    df AS (SELECT cluster_id, arg_min(anchor, ord) || repeat('N', 27) AS x FROM li GROUP BY cluster_id)"""
+
+
+@query(f"WITH {CS} SELECT s.sample, string_agg(coalesce(dj.x, df.x), '' ORDER BY df.cluster_id) AS seq FROM (SELECT DISTINCT sample FROM dj) s CROSS JOIN df LEFT JOIN dj ON dj.sample = s.sample AND dj.cluster_id = df.cluster_id GROUP BY s.sample")
+def cluster_sample_sequence(s, d):
+    ranked = cut(anchors.reorder_clusters(rel.clusters(s, d), table(s, d, "anchor_stats")).where("cluster_id <= 200"))
+    return satc.cluster_sample_sequence(rel.satc(s, d), ranked.select(F.col("place").alias("ord"), "cluster_id", "anchor"))
+
+
 def _shifted(s, d):
     """Pieces of the cleaned anchors, eight letters one apart: many overlap by shifts."""
     w = kmers.windows(rel.reads(s, d), 40, 7).select("kmer").distinct()
