@@ -171,3 +171,13 @@ def test_offsets_and_placeholders(spark):
     got = {x["doc_id"]: x["text"] for x in pii.redact(d).collect()}
     assert got == {1: "It was con​firmed, Mr\n[PERSON] said. Ms [PERSON] left [ADDRESS]. der Rest", 2: None, 3: ""}
     assert pii.find_items(d).count() == 3
+
+
+def test_blacked_out_names_and_broken_numbers():
+    def found(text):
+        return [(kind, text[a:b]) for kind, a, b in pii.detect(text)]
+
+    assert found("The court heard Kasna F____, a surveyor. Then R____, Kasna and KELARD, I____ left.") == []
+    text = "Faxes go to +44 (0)1632\n    960 364. He resides at 107 Upper Moss St. J. Orroux gave evidence."
+    assert found(text) == [("phone", "+44 (0)1632\n    960 364"), ("address", "107 Upper Moss St"), ("person", "J. Orroux")]
+    assert found("No answer on 01 99 00\n    45 20, so far.") == [("phone", "01 99 00\n    45 20")]
