@@ -5,13 +5,18 @@ Pairs come from equi-joins on pieces of the sequences, never from comparing all
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.operators.graph import connected_components
 from helixframe.operators.indexing import with_index
 from helixframe.runtime import cut
 
+#: A piece that more left records share is refined in another round of the join.
+HOT = 400
+
 
 def shift_edges(seqs: DataFrame, max_shift: int = 5) -> DataFrame:
     """``(src, dst)`` for ``(id, seq)`` of one length: src without its first letters equals dst
@@ -40,24 +45,55 @@ def shift_clusters(seqs: DataFrame, max_shift: int = 5, merge_unknown: bool = Fa
     return clusters_by_size(seqs, shift_edges(s, max_shift))
 
 
-def edit_distance_join(left: DataFrame, right: DataFrame, d: int) -> DataFrame:
+def _index(rows: DataFrame, d: int) -> DataFrame:
+    """Pieces of the left records: where they start (``at``), width, number and letters."""
+    pieces = f"transform(sequence(0, {d}), i -> named_struct('i', i, 'at', i * w))"
+    x = rows.withColumn("w", F.floor(F.length("s") / (d + 1)).cast("int"))
+    x = x.withColumn("x", F.explode(F.expr(f"if(w = 0, array(named_struct('i', 0, 'at', 0)), {pieces})")))
+    return x.select("a", "sa", "s", "g", "w", "x.i", "x.at", F.expr("substring(s, x.at + 1, w)").alias("p"))
+
+
+def _probe(rows: DataFrame, d: int) -> DataFrame:
+    """Stretches of the right records at which such a piece may stand unchanged."""
+    widths = F.expr(f"sequence(int(greatest(length(s) - {d}, 0) / {d + 1}), int((length(s) + {d}) / {d + 1}))")
+    places = f"flatten(transform(sequence(0, {d}), i -> transform(sequence(-i, i), s -> named_struct('i', i, 'at', i * w + s))))"
+    x = rows.withColumn("w", F.explode(widths))
+    x = x.withColumn("x", F.explode(F.expr(f"if(w = 0, array(named_struct('i', 0, 'at', 0)), {places})")))
+    return x.where("x.at >= 0 and x.at + w <= length(s)").select("b", "sb", "s", "g", "w", "x.i", "x.at", F.expr("substring(s, x.at + 1, w)").alias("p"))
+
+
+def edit_distance_join(left: DataFrame, right: DataFrame, d: int, hot: int = HOT) -> DataFrame:
     """``(a, b, dist)`` for ``left(a, sa)`` and ``right(b, sb)`` within ``d`` edits.
 
     Left records are cut into d + 1 pieces of ``length // (d + 1)`` letters. At most d edits leave
     one piece unchanged, moved by no more than its number, so probes of the right side at those
     places meet it in an equi-join; ``levenshtein`` with cut-off verifies. Left records shorter
     than d + 1 have no piece and meet the right records of at most 2 d letters by an empty key.
+
+    A piece that more than ``hot`` left records share leaves the join. Its records are joined
+    again without it: what remains of two of them is within d edits too. This repeats until no
+    piece is hot, so nothing is dropped. Null sequences match nothing.
     """
-    width = F.floor(F.length("sa") / (d + 1)).cast("int")
-    pieces = f"transform(sequence(0, {d}), i -> named_struct('i', i, 'p', substring(sa, i * w + 1, w)))"
-    index = left.withColumn("w", width).select("a", "sa", "w", F.explode(F.expr(f"if(w = 0, array(named_struct('i', 0, 'p', '')), {pieces})")).alias("x"))
-    widths = F.expr(f"sequence(int(greatest(length(sb) - {d}, 0) / {d + 1}), int((length(sb) + {d}) / {d + 1}))")
-    places = f"flatten(transform(sequence(0, {d}), i -> transform(sequence(-i, i), s -> named_struct('i', i, 'at', i * w + s))))"
-    probe = right.select("b", "sb", F.explode(widths).alias("w"))
-    probe = probe.select("b", "sb", "w", F.explode(F.expr(f"if(w = 0, array(named_struct('i', 0, 'at', 0)), {places})")).alias("y"))
-    probe = probe.where("y.at >= 0 and y.at + w <= length(sb)").select("b", "sb", "w", F.col("y.i").alias("i"), F.expr("substring(sb, y.at + 1, w)").alias("p"))
-    index = index.select("a", "sa", "w", "x.i", "x.p")
-    pairs = index.join(probe, ["w", "i", "p"]).select("a", "b", "sa", "sb").distinct()
+    key, found = ["g", "w", "i", "p"], []
+    zero = F.lit(0).cast("long").alias("g")
+    rows = left.select("a", "sa", F.col("sa").alias("s"), zero).where("sa is not null")
+    probes = right.select("b", "sb", F.col("sb").alias("s"), zero).where("sb is not null")
+    while True:
+        index, probe = _index(rows, d), _probe(probes, d)
+        busy = cut(index.where("w > 0").groupBy(*key).count().where(F.col("count") > hot).select(*key))
+        none = busy.isEmpty()
+        i, p = (index, probe) if none else (index.join(busy, key, "left_anti"), probe.join(busy, key, "left_anti"))
+        found.append(i.select("a", "sa", *key).join(p.select("b", "sb", *key), key).select("a", "b", "sa", "sb").distinct())
+        if none:
+            break
+        rest, group = F.expr("concat(substring(s, 1, at), substring(s, at + w + 1))"), F.xxhash64(*key)
+
+        def again(side: DataFrame, own: list[str], busy: DataFrame = busy, rest: Column = rest, group: Column = group) -> DataFrame:
+            return cut(side.join(busy, key).select(*own, rest.alias("s"), group.alias("g")).distinct())
+
+        rows, probes = again(index, ["a", "sa"]), again(probe, ["b", "sb"])
+    pairs = reduce(DataFrame.union, found)
+    pairs = pairs.distinct() if len(found) > 1 else pairs
     return pairs.select("a", "b", F.levenshtein("sa", "sb", d).alias("dist")).where("dist >= 0")
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.indexing import with_index
+
 
 def positions(ordering: DataFrame) -> DataFrame:
     """``(sample_name, kmer, position)``: 0-based place of each k-mer of a sample by start."""
@@ -57,7 +59,7 @@ def vectors(long: DataFrame, feature: str = "feature") -> DataFrame:
     """``(sample_name, features)``: one dense array for each sample in the order of the feature
     names; missing values are 0."""
     names = long.select(feature).distinct()
-    num = names.withColumn("i", F.row_number().over(Window.orderBy(feature)) - 1)
+    num = with_index(names, [feature], "i").withColumn("i", F.col("i").cast("int"))
     width = num.agg(F.count("*").cast("int").alias("w")).withColumn("one", F.lit(1))
     per = long.join(num, feature).groupBy("sample_name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("i", "value")))).alias("m")).withColumn("one", F.lit(1))
     return per.join(width, "one").select("sample_name", F.expr("transform(sequence(0, w - 1), i -> coalesce(try_element_at(m, i), 0D))").alias("features"))

@@ -33,6 +33,10 @@ def test_translation(spark):
         assert value(spark, seq, sq.stop_free("seq")) == want
     assert value(spark, "GGNTAR", sq.translate("seq")) == "G*"
     assert value(spark, "", sq.translate("seq")) == ""
+    assert value(spark, "AT ATGTT", sq.translate("seq")) == "XM"  # no codon lies across two known ones
+    assert value(spark, "ATGAAATGAAGA", sq.translate("seq", 2)) == "MKW*"
+    assert value(spark, None, sq.translate("seq")) is None and value(spark, None, sq.stop_free("seq")) is None
+    assert value(spark, "ATGGCC" * 50_000, sq.translate("seq")) == "MA" * 50_000
 
 
 def test_translation_against_loop(spark):

@@ -84,11 +84,22 @@ def family():
 
 
 def test_edit_distance_join(spark, family):
-    d = spark.createDataFrame(list(enumerate(family)), "id long, seq string")
+    d = spark.createDataFrame([*enumerate(family), (-1, None)], "id long, seq string")
     want = {(i, j, lev(a, b)) for i, a in enumerate(family) for j, b in enumerate(family) if i < j and lev(a, b) <= 3}
     assert {tuple(x) for x in cluster.lev_pairs(d, 3).collect()} == want
 
 
+def test_edit_distance_join_hot_pieces(spark, family):
+    # all records share their first letters, so that the first piece is hot
+    r = random.Random(8)
+    ends = ["".join(r.choice("ACGT") for _ in range(24)) for _ in range(14)]
+    rows = sorted({"ACGTTGCA" + e for e in ends} | {"ACGTTGCA" + e[:9] + e[10:] + "A" for e in ends})
+    d = spark.createDataFrame(list(enumerate(rows)), "id long, seq string")
+    want = {(i, j, lev(a, b)) for i, a in enumerate(rows) for j, b in enumerate(rows) if lev(a, b) <= 3}
+    got = cluster.edit_distance_join(d.toDF("a", "sa"), d.toDF("b", "sb"), 3, hot=20)
+    assert {tuple(x) for x in got.collect()} == want and len(want) > len(rows)
+
+
 def test_leaders(spark, family):
     d = spark.createDataFrame(list(enumerate(family)), "id long, seq string")
     lead = []
@@ -136,6 +147,12 @@ def test_principal_components(spark):
         assert abs(u[r["pc"] - 1][int(r["kmer"][1:])] - r["loading"]) < 1e-6
 
 
+def test_vectors(spark):
+    d = spark.createDataFrame([("s1", "b", 2.0), ("s1", "a", 1.0), ("s2", "c", 3.0)], "sample_name string, feature string, value double")
+    got = {x["sample_name"]: x["features"] for x in features.vectors(d).collect()}
+    assert got == {"s1": [1.0, 2.0, 0.0], "s2": [0.0, 0.0, 3.0]}
+
+
 def test_fasta(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.fa").write_text(">x one\r\nACGT\nAC\n\n>y\n>z\nTT\n")
