@@ -83,7 +83,7 @@ def edit_distance_join(left: DataFrame, right: DataFrame, d: int, hot: int = HOT
         busy = cut(index.where("w > 0").groupBy(*key).count().where(F.col("count") > hot).select(*key))
         none = busy.isEmpty()
         i, p = (index, probe) if none else (index.join(busy, key, "left_anti"), probe.join(busy, key, "left_anti"))
-        found.append(i.select("a", "sa", *key).join(p.select("b", "sb", *key), key).select("a", "b", "sa", "sb").distinct())
+        found.append(i.select("a", "sa", *key).join(p.select("b", "sb", *key), key).select("a", "b", F.levenshtein("sa", "sb", d).alias("dist")).where("dist >= 0"))
         if none:
             break
         rest, group = F.expr("concat(substring(s, 1, at), substring(s, at + w + 1))"), F.xxhash64(*key)
@@ -92,9 +92,7 @@ def edit_distance_join(left: DataFrame, right: DataFrame, d: int, hot: int = HOT
             return cut(side.join(busy, key).select(*own, rest.alias("s"), group.alias("g")).distinct())
 
         rows, probes = again(index, ["a", "sa"]), again(probe, ["b", "sb"])
-    pairs = reduce(DataFrame.union, found)
-    pairs = pairs.distinct() if len(found) > 1 else pairs
-    return pairs.select("a", "b", F.levenshtein("sa", "sb", d).alias("dist")).where("dist >= 0")
+    return reduce(DataFrame.union, found).distinct()
 
 
 def lev_pairs(seqs: DataFrame, d: int = 5) -> DataFrame:
@@ -119,7 +117,7 @@ def assign_to_clusters(seqs: DataFrame, clusters: DataFrame, threshold: int = 10
     """``(id, cluster_id, dist)``: the cluster with the nearest member within ``threshold``; among
     equals the one listed first. ``clusters`` is (ord, cluster_id, seq)."""
     first = clusters.groupBy("cluster_id").agg(F.min("ord").alias("listed"))
-    m = clusters.join(first, "cluster_id").select(F.struct("listed", "cluster_id").alias("b"), F.col("seq").alias("sb"))
+    m = cut(clusters.join(first, "cluster_id").groupBy(F.col("seq").alias("sb")).agg(F.min(F.struct("listed", "cluster_id")).alias("b")).select("b", "sb"))
     hits = edit_distance_join(seqs.select(F.col("id").alias("a"), F.col("seq").alias("sa")), m, threshold)
     best = hits.groupBy("a").agg(F.min(F.struct("dist", "b")).alias("m"))
     return best.select(F.col("a").alias("id"), F.col("m.b.cluster_id").alias("cluster_id"), F.col("m.dist").alias("dist"))

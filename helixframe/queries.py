@@ -279,7 +279,7 @@ def nearest_seed(s, d):
 
 @query(f"WITH {SEEDS}, {CLUSTERS}, mb AS (SELECT cl.ord, cl.cluster_id, cl.anchor FROM cl WHERE cl.ord % 100 = 0), f AS (SELECT cluster_id, min(ord) AS listed FROM mb GROUP BY cluster_id) SELECT id, cluster_id, dist FROM (SELECT nd.id, mb.cluster_id, levenshtein(nd.seq, mb.anchor) AS dist, row_number() OVER (PARTITION BY nd.id ORDER BY levenshtein(nd.seq, mb.anchor), listed) AS k FROM nd JOIN mb ON levenshtein(nd.seq, mb.anchor) <= 5 JOIN f USING (cluster_id)) WHERE k = 1")
 def assign_to_clusters(s, d):
-    c = rel.clusters(s, d).where("ord % 100 = 0").withColumnRenamed("anchor", "seq")
+    c = rel.clusters(s, d).withColumnRenamed("anchor", "seq")
     return cluster.assign_to_clusters(cut(_lev_nodes(s, d)), c, 5).withColumn("dist", F.col("dist").cast("long"))
 
 
