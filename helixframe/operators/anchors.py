@@ -10,6 +10,9 @@ from helixframe.operators.indexing import with_index
 # Fixed value: labels that mark an anchor as an artefact, matched anywhere without regard to case.
 ARTIFACTS = "plas|illum|syn|arp|RF|JUNK|Ral|purge|P,|Univec"
 
+#: The reference keeps so many clusters.
+CLUSTERS = 4000
+
 
 def lookup(anchors: DataFrame, labels: DataFrame) -> DataFrame:
     """``(ord, query, stats)``: the label of each anchor, null where there is none. Of several
@@ -53,5 +56,5 @@ def reorder_clusters(clusters: DataFrame, stats: DataFrame, cutoff: float = 0.7)
     return d.join(first, "new_id").select(F.col("new_id").alias("cluster_id"), "anchor", (F.col("n") - F.col("first") + 1).alias("place"))
 
 
-def top_clusters(reordered: DataFrame, most: int = 4000) -> DataFrame:
+def top_clusters(reordered: DataFrame, most: int = CLUSTERS) -> DataFrame:
     return reordered.where(F.col("cluster_id") <= most).select("anchor")

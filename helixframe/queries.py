@@ -204,7 +204,7 @@ def sequence_lookup(s, d):
 
 @query(f"WITH {STATS}, {LABELS} SELECT anchor, effect_size_bin, number_nonzero_samples FROM st ANTI JOIN (SELECT anchor FROM lb WHERE regexp_matches(stats, '(?i)(plas|illum|syn|arp|RF|JUNK|Ral|purge|P,|Univec)')) USING (anchor) WHERE effect_size_bin >= 0.7 ORDER BY number_nonzero_samples DESC, anchor LIMIT 500")
 def select_anchors(s, d):
-    a = anchors.select_anchors(table(s, d, "anchor_stats"), rel.labels(s, d), 500)
+    a = anchors.select_anchors(table(s, d, "anchor_stats"), rel.labels(s, d))
     return a.withColumn("number_nonzero_samples", F.coalesce("number_nonzero_samples", F.lit(-1)))
 
 
@@ -221,7 +221,7 @@ def reorder_clusters(s, d):
 
 @query(f"WITH {RE} SELECT anchor FROM ro WHERE cluster_id <= 200")
 def top_clusters(s, d):
-    return anchors.top_clusters(anchors.reorder_clusters(rel.clusters(s, d), table(s, d, "anchor_stats")), 200)
+    return anchors.top_clusters(anchors.reorder_clusters(rel.clusters(s, d), table(s, d, "anchor_stats")))
 
 
 CS = f"""{SATC}, {BEST}, {RE}, li AS (SELECT cluster_id, anchor, place AS ord FROM ro WHERE cluster_id <= 200), dj AS (SELECT bt.sample, li.cluster_id, arg_min(bt.anchor || bt.target, li.ord) AS x FROM bt JOIN li USING (anchor) GROUP BY ALL),
@@ -230,7 +230,7 @@ CS = f"""{SATC}, {BEST}, {RE}, li AS (SELECT cluster_id, anchor, place AS ord FR
 
 @query(f"WITH {CS} SELECT s.sample, string_agg(coalesce(dj.x, df.x), '' ORDER BY df.cluster_id) AS seq FROM (SELECT DISTINCT sample FROM dj) s CROSS JOIN df LEFT JOIN dj ON dj.sample = s.sample AND dj.cluster_id = df.cluster_id GROUP BY s.sample")
 def cluster_sample_sequence(s, d):
-    ranked = cut(anchors.reorder_clusters(rel.clusters(s, d), table(s, d, "anchor_stats")).where("cluster_id <= 200"))
+    ranked = cut(anchors.reorder_clusters(rel.clusters(s, d), table(s, d, "anchor_stats")).where(F.col("cluster_id") <= anchors.CLUSTERS))
     return satc.cluster_sample_sequence(rel.satc(s, d), ranked.select(F.col("place").alias("ord"), "cluster_id", "anchor"))
 
 
@@ -448,7 +448,7 @@ def grouped_lasso(s, d):
 
 @query()
 def embedding_pipeline(s, d):
-    return pipeline.run(rel.satc(s, d), table(s, d, "anchor_stats"), rel.labels(s, d), anchors=2000, clusters=200, k=27, keep=10)
+    return pipeline.run(rel.satc(s, d), table(s, d, "anchor_stats"), rel.labels(s, d))
 
 
 @query()

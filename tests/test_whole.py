@@ -47,3 +47,27 @@ def test_assign_to_all_members(spark, listed):
         want.add((i, c, x))
     got = {tuple(x) for x in queries.assign_to_clusters(spark, d).collect()}
     assert got == want and len({c for _, c, _ in got}) == 12
+
+
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """Folder with 600 anchors, each a cluster of its own and seen in one of three samples."""
+    r, d = random.Random(12), tmp_path_factory.mktemp("many")
+    names = sorted({"".join(r.choice("ACGT") for _ in range(27)) for _ in range(600)})
+    put = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{d}/{name}.parquet")
+    put([(i, i, a) for i, a in enumerate(names)], "ord long, cluster_id long, anchor string", "anchor_clusters")
+    put([(a, 0.9, 1) for a in names], "anchor string, effect_size_bin double, number_nonzero_samples long", "anchor_stats")
+    put([(i, "clean") for i in range(1, 201)], "p_partkey long, p_name string", "part")
+    satc = "sample string, anchor string, target string, count long, counted_at timestamp, loaded_at timestamp"
+    put([(f"s{i % 3}", a, a[::-1], 1, None, None) for i, a in enumerate(names)], satc, "satc")
+    return str(d), names
+
+
+def test_production_sizes(spark, many):
+    d, names = many
+    assert {x["anchor"] for x in queries.select_anchors(spark, d).collect()} == set(names)
+    assert {x["anchor"] for x in queries.top_clusters(spark, d).collect()} == set(names)
+    want = {f"s{j}": "".join(a + (a[::-1] if i % 3 == j else "N" * 27) for i, a in enumerate(names)) for j in range(3)}
+    assert {x["sample"]: x["seq"] for x in queries.cluster_sample_sequence(spark, d).collect()} == want
+    # every place of 600 clusters has one k-mer of 54 letters a sample, of which 40 dimensions are kept
+    assert queries.embedding_pipeline(spark, d).select("feature").distinct().count() == 600 * 40
