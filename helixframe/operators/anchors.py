@@ -10,8 +10,8 @@ from helixframe.operators.indexing import with_index
 # Fixed value: labels that mark an anchor as an artefact, matched anywhere without regard to case.
 ARTIFACTS = "plas|illum|syn|arp|RF|JUNK|Ral|purge|P,|Univec"
 
-#: The reference keeps so many clusters.
-CLUSTERS = 4000
+#: So many anchors and clusters does the reference keep.
+ANCHORS, CLUSTERS = 150_000, 4000
 
 
 def lookup(anchors: DataFrame, labels: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def one_statistic(stats: DataFrame) -> DataFrame:
     return stats.where("anchor is not null").groupBy("anchor").agg(best).select("anchor", "b.effect_size_bin", "b.number_nonzero_samples")
 
 
-def select_anchors(stats: DataFrame, labels: DataFrame, n: int = 150_000, cutoff: float = 0.7) -> DataFrame:
+def select_anchors(stats: DataFrame, labels: DataFrame, n: int = ANCHORS, cutoff: float = 0.7) -> DataFrame:
     """``(anchor, effect_size_bin, number_nonzero_samples)``: anchors of at least ``cutoff``
     effect without an artefact label, the n with most samples; ties by anchor, nulls last.
     The limit keeps n rows a task before anything is sent."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequence import clean
+from helixframe.operators.indexing import with_index
 from helixframe.runtime import table
 
 
@@ -29,12 +30,11 @@ def clusters(spark: SparkSession, d: str) -> DataFrame:
     return a.where("cluster_id is not null and anchor <> ''")
 
 
-def anchor_list(spark: SparkSession, d: str, n: int = 40) -> DataFrame:
-    """``(ord, anchor)``: the n anchors of most samples, ties by text."""
-    per = satc(spark, d).groupBy("anchor").agg(F.count_distinct("sample").alias("c"))
-    top = per.orderBy(F.desc("c"), "anchor").limit(n)
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "anchor")))
-    return top.agg(listed.alias("x")).select(F.posexplode("x").alias("ord", "x")).select(F.col("ord").cast("long").alias("ord"), "x.anchor")
+def anchor_list(spark: SparkSession, d: str, n: int | None = None) -> DataFrame:
+    """``(ord, anchor)``: all anchors or the first n, those of most samples first, ties by text."""
+    per = satc(spark, d).groupBy("anchor").agg((-F.count_distinct("sample")).alias("minus"))
+    listed = with_index(per, ["minus", "anchor"], "ord").select(F.col("ord").cast("long").alias("ord"), "anchor")
+    return listed if n is None else listed.where(F.col("ord") < n)
 
 
 def labels(spark: SparkSession, d: str) -> DataFrame:

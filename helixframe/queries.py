@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,7 +111,10 @@ def kmer_ordering(s, d):
     w AS (SELECT record_id, rc, substr(s, CAST(i + 1 AS BIGINT), 12) AS anchor, substr(s, CAST(i + 13 AS BIGINT), 5) AS target FROM b, unnest(range(0, length(s) - 12)) AS u(i))
     SELECT record_id, anchor, target, rc AS reverse_complement FROM w JOIN aa USING (anchor)""")
 def anchor_hits(s, d):
-    return kmers.anchor_hits(rel.reads(s, d), rel.anchor_list(s, d).withColumn("anchor", F.substring("anchor", 1, 12)), 5)
+    listed = cut(rel.anchor_list(s, d))
+    lengths = [x["k"] for x in listed.select(F.length("anchor").alias("k")).distinct().collect()]
+    scans = [kmers.anchor_hits(rel.reads(s, d), listed.where(F.length("anchor") == k), 5, k) for k in sorted(lengths)]
+    return reduce(DataFrame.union, scans or [kmers.anchor_hits(rel.reads(s, d), listed, 5)])
 
 
 @query(f"WITH {READS} SELECT record_id, {protein('seq')} AS f1, {protein('(substr(seq, 2) || chr(78))')} AS f2, {protein('(substr(seq, 3) || chr(78) || chr(78))')} AS f3 FROM reads")
@@ -166,12 +170,12 @@ GRID = f"{SATC}, {ANCHORS}, {BEST}, sm AS (SELECT DISTINCT sample FROM sa SEMI J
 
 @query(f"WITH {GRID} SELECT sample, string_agg(target, '' ORDER BY ord) AS seq FROM g GROUP BY sample")
 def featurize(s, d):
-    return satc.featurize(rel.satc(s, d), rel.anchor_list(s, d))
+    return satc.featurize(rel.satc(s, d), cut(rel.anchor_list(s, d, anchors.ANCHORS)))
 
 
 @query(f"WITH {GRID} SELECT sample, string_agg(anchor || target, '' ORDER BY ord) AS seq FROM g GROUP BY sample")
 def featurize_with_anchor(s, d):
-    return satc.featurize(rel.satc(s, d), rel.anchor_list(s, d), include_anchor=True)
+    return satc.featurize(rel.satc(s, d), cut(rel.anchor_list(s, d, anchors.ANCHORS)), include_anchor=True)
 
 
 def _rep(order: str) -> str:

@@ -6,6 +6,7 @@ import pytest
 from test_tables import lev
 
 from helixframe import queries
+from pyspark.sql import functions as F
 
 
 def mutated(r, s, n):
@@ -71,3 +72,20 @@ def test_production_sizes(spark, many):
     assert {x["sample"]: x["seq"] for x in queries.cluster_sample_sequence(spark, d).collect()} == want
     # every place of 600 clusters has one k-mer of 54 letters a sample, of which 40 dimensions are kept
     assert queries.embedding_pipeline(spark, d).select("feature").distinct().count() == 600 * 40
+
+
+def test_all_anchors(spark, many, tmp_path):
+    d, names = many
+    got = queries.sequence_lookup(spark, d).collect()
+    assert {x["query"] for x in got} == set(names) and {x["ord"] for x in got} == set(range(600))
+    want = {f"s{j}": "".join(a[::-1] if i % 3 == j else "N" * 27 for i, a in enumerate(names)) for j in range(3)}
+    # all anchors have one sample, so the list is in the order of their text
+    assert {x["sample"]: x["seq"] for x in queries.featurize(spark, d).collect()} == want
+    # reads hold a late and a shorter anchor at whole length, and one that only starts like an anchor
+    reads = ["CC" + names[500] + "GATTA", "CC" + names[3][:20] + "GATTA", names[400][:12] + "A" * 20]
+    spark.createDataFrame([(i, i, x) for i, x in enumerate(reads)], "ord long, cluster_id long, anchor string").write.parquet(f"{tmp_path}/anchor_clusters.parquet")
+    t = spark.read.parquet(f"{d}/satc.parquet")
+    t.union(t.limit(1).withColumn("anchor", F.lit(names[3][:20]))).write.parquet(f"{tmp_path}/satc.parquet")
+    hits = {(x["record_id"], x["anchor"], x["target"]) for x in queries.anchor_hits(spark, str(tmp_path)).collect()}
+    assert hits >= {("r0", names[500], "GATTA"), ("r1", names[3][:20], "GATTA")}
+    assert not any(x[0] == "r2" for x in hits)
