@@ -264,12 +264,12 @@ def _lev_nodes(s, d):
 
 @query()  # all pairs in SQL take minutes on the whole table; tests compare a small one by brute force
 def lev_pairs(s, d):
-    return cluster.lev_pairs(cut(_lev_nodes(s, d)), 3).withColumn("dist", F.col("dist").cast("long"))
+    return cluster.lev_pairs(cut(_lev_nodes(s, d))).withColumn("dist", F.col("dist").cast("long"))
 
 
 @query()
 def lev_clusters(s, d):
-    return cluster.lev_clusters(cut(_lev_nodes(s, d)), 3)
+    return cluster.lev_clusters(cut(_lev_nodes(s, d)))
 
 
 SEEDS = f"{READS}, nd AS (SELECT seq, min(ord) AS id FROM reads GROUP BY seq), sd AS (SELECT id AS seed_id, seq FROM nd WHERE id % 100 = 0)"
@@ -294,8 +294,12 @@ def leader_clusters(s, d):
 
 @query()
 def spectral_clusters(s, d):
-    pairs = cluster.lev_pairs(cut(_lev_nodes(s, d)), 3)
-    return cluster.spectral_clusters(cut(pairs.select("src", "dst", (F.lit(4.0) - F.col("dist")).alias("weight"))), 10)
+    nodes = cut(_lev_nodes(s, d))
+    pairs = cluster.lev_pairs(nodes)
+    found = cut(cluster.spectral_clusters(cut(pairs.select("src", "dst", (F.lit(6.0) - F.col("dist")).alias("weight"))), 10))
+    # sequences without an edge are clusters of their own
+    alone = with_index(nodes.select("id").join(found, "id", "left_anti"), ["id"], "i")
+    return found.select("id", F.col("cluster").cast("long").alias("cluster")).union(alone.select("id", (F.col("i") + 10).cast("long").alias("cluster")))
 
 
 @query()

@@ -89,3 +89,21 @@ def test_all_anchors(spark, many, tmp_path):
     hits = {(x["record_id"], x["anchor"], x["target"]) for x in queries.anchor_hits(spark, str(tmp_path)).collect()}
     assert hits >= {("r0", names[500], "GATTA"), ("r1", names[3][:20], "GATTA")}
     assert not any(x[0] == "r2" for x in hits)
+
+
+def test_five_edits(spark, listed):
+    d, rows = listed
+    seen = nodes(rows)
+    want = {(i, j, lev(a, b)) for a, i in seen.items() for b, j in seen.items() if i < j and lev(a, b) <= 5}
+    assert {tuple(x) for x in queries.lev_pairs(spark, d).collect()} == want and any(x > 3 for _, _, x in want)
+    low = {i: i for i in seen.values()}
+    for _ in low:
+        for i, j, _ in want:
+            low[i] = low[j] = min(low[i], low[j])
+    groups = {}
+    for x in queries.lev_clusters(spark, d).collect():
+        groups.setdefault(x["cluster_id"], set()).add(x["id"])
+    assert {min(g): g for g in groups.values()} == {m: {i for i in low if low[i] == m} for m in set(low.values())}
+    spectral = {x["id"]: x["cluster"] for x in queries.spectral_clusters(spark, d).collect()}
+    alone = set(low) - {i for x in want for i in x[:2]}
+    assert set(spectral) == set(low) and alone and len({spectral[i] for i in alone}) == len(alone)
