@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.runtime import cut
+from helixframe.runtime import cut, drop, growing
 
 
 def scramble(v: Column) -> Column:
@@ -46,18 +46,20 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         )
         hook = cut(hook)
         up = hook.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        parent = cut(hook.join(up, "p").select("v", F.col("pp").alias("p")))
+        parent = cut(hook.join(growing(up), "p").select("v", F.col("pp").alias("p")))
+        old = label, live, hook, parent
         label = cut(
-            label.join(parent.withColumnRenamed("v", "label"), "label", "left").select(
+            label.join(growing(parent.withColumnRenamed("v", "label")), "label", "left").select(
                 "id", F.coalesce("p", "label").alias("label")
             )
         )
         live = cut(
-            live.join(parent.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a")
-            .join(parent.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
+            live.join(growing(parent.select(F.col("v").alias("a"), F.col("p").alias("pa"))), "a")
+            .join(growing(parent.select(F.col("v").alias("b"), F.col("p").alias("pb"))), "b")
             .where("pa <> pb")
             .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
             .distinct()
         )
+        drop(*old)
     smallest = label.groupBy("label").agg(F.min("id").alias("component"))
-    return label.join(smallest, "label").select("id", "component")
+    return label.join(growing(smallest), "label").select("id", "component")

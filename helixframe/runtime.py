@@ -25,16 +25,50 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """Folder of this application below the shared one; :func:`clear` ends it."""
+    return f"{shared_dir(spark)}/helixframe-{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    The result has no lineage, survives the loss of executors, and lets the planner see the
-    true size of the table (which is what makes a later broadcast a checked one).
+    The result has no lineage and survives the loss of executors. Its size on disk says little
+    about joins of what is exploded from it; :func:`growing` marks those.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = new_path(spark, "cut")
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`cut` that nothing reads any more, as the last round of a loop."""
+    for t in tables:
+        if path := getattr(t, "_cut_path", None):
+            _delete(t.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application, once its results are consumed."""
+    _delete(spark, run_dir(spark))
+
+
+def growing(df: DataFrame) -> DataFrame:
+    """Marks the side of a join that grows with the data, whatever the planner takes its size
+    for: it is joined by sorting and never broadcast."""
+    return df.hint("merge")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
