@@ -14,7 +14,7 @@ Three steps, all of them DataFrame joins:
    meet in an equi-join on that key.
 2. *Hamming filter* on the whole-record sketches: pairs further apart than ``2 * GRAM * d`` bits
    cannot be within ``d`` edits.
-3. *Verification* by ``levenshtein`` with cut-off.
+3. *Verification* by edit distances of whole batches of pairs.
 
 A segment that very many records share (a common leading stretch) would make a hot key. Such keys
 leave the join; their records are joined again among themselves without that segment, where the
@@ -32,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.functions.editing import flat_bytes, with_distance
 from helixframe.operators.graph import connected_components
-from helixframe.runtime import cut
+from helixframe.runtime import cut, growing
 
 GRAM = 4
 #: Records that share an index key above this count are joined again without the shared segment.
@@ -67,15 +68,6 @@ def size_bounds(d: int, top: int) -> list[int]:
     return out
 
 
-def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all strings of an Arrow column and the offsets between them."""
-    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    col = col.cast(pa.large_string())
-    offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
-    data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] else np.zeros(0, np.uint8)
-    return data[offs[0] : offs[-1]], offs - offs[0]
-
-
 def _letters(data: np.ndarray) -> np.ndarray:
     """Random 64-bit value of each letter."""
     return _mix((data.astype(np.uint64) + np.uint64(1)) * _MIX)
@@ -84,7 +76,7 @@ def _letters(data: np.ndarray) -> np.ndarray:
 def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, s) -> (id, s, lo, hi): 128-bit parity sketch of the GRAM-letter tokens."""
     for batch in batches:
-        data, offs = _flat(batch.column("s"))
+        data, offs = flat_bytes(batch.column("s"))
         n = max(len(data) - GRAM + 1, 0)
         tok = np.zeros(n, np.uint64)
         for j in range(GRAM):
@@ -102,7 +94,7 @@ def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keys(batch: pa.RecordBatch, d: int, probe: bool) -> pa.RecordBatch:
     """One list of (key, start, width) for every record: its segments, or all shifted probes."""
-    data, offs = _flat(batch.column("s"))
+    data, offs = flat_bytes(batch.column("s"))
     group = batch.column("g").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     size = np.diff(offs)
     bounds = np.array(size_bounds(d, int(size.max(initial=0)) + d), np.int64)
@@ -174,28 +166,28 @@ def close_pairs(distinct: DataFrame, d: int, hot: int = HOT) -> DataFrame:
         none = busy.isEmpty()
         i, p = index.select("id", "key", "lo", "hi"), probe.select("id", "key", "lo", "hi")
         if not none:
-            i, p = i.join(busy, "key", "left_anti"), p.join(busy, "key", "left_anti")
+            i, p = i.join(growing(busy), "key", "left_anti"), p.join(growing(busy), "key", "left_anti")
         i = i.select(F.col("id").alias("a"), "key", F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
         p = p.select(F.col("id").alias("b"), "key", F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
         apart = F.bit_count(F.col("alo").bitwiseXOR(F.col("blo"))) + F.bit_count(F.col("ahi").bitwiseXOR(F.col("bhi")))
-        found.append(cut(i.join(p, "key").where(F.col("a") < F.col("b")).where(apart <= 2 * GRAM * d).select("a", "b").distinct()))
+        found.append(cut(i.join(growing(p), "key").where(F.col("a") < F.col("b")).where(apart <= 2 * GRAM * d).select("a", "b").distinct()))
         if none:
             break
         rest = F.expr("concat(substring(s, 1, start), substring(s, start + width + 1))")
 
         def again(side: DataFrame, busy: DataFrame = busy) -> DataFrame:
-            return cut(side.join(busy, "key").select("id", rest.alias("s"), "lo", "hi", F.col("key").alias("g")).distinct())
+            return cut(side.join(growing(busy), "key").select("id", rest.alias("s"), "lo", "hi", F.col("key").alias("g")).distinct())
 
         rows, probes = again(index), again(probe)
     pairs = reduce(DataFrame.union, found)
     pairs = pairs.distinct() if len(found) > 1 else pairs
-    text = distinct.select("id", "s")
-    return (
-        pairs.join(text.toDF("a", "sa"), "a")
-        .join(text.toDF("b", "sb"), "b")
-        .select("a", "b", F.levenshtein("sa", "sb", d).alias("dist"))
-        .where("dist >= 0")
-    )
+    return with_distance(with_texts(pairs, distinct), d)
+
+
+def with_texts(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """``(a, b, sa, sb)`` of ``(a, b)``."""
+    a, b = (growing(distinct.select(F.col("id").alias(x), F.col("s").alias(f"s{x}"))) for x in "ab")
+    return pairs.select("a", "b").join(a, "a").join(b, "b")
 
 
 def distinct_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -207,10 +199,10 @@ def distinct_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def members(df: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(ord, id)``: the representative of every record."""
     s = df.select(F.col(id_col).alias("ord"), cleaned(F.col(text_col)).alias("s"))
-    return s.join(distinct.select("s", "id"), "s").select("ord", "id")
+    return s.join(growing(distinct.select("s", "id")), "s").select("ord", "id")
 
 
-def near_duplicate_pairs(df: DataFrame, id_col: str = "ord", text_col: str = "anchor", d: int = 4) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, id_col: str = "ord", text_col: str = "anchor", d: int = 4, block: int = 1024) -> DataFrame:
     """Every pair of different records within ``d`` edits, equal cleaned texts included.
 
     Records whose cleaned text is null or empty are left out; ids must be unique; other columns
@@ -219,12 +211,15 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "ord", text_col: str = "an
     u = cut(distinct_texts(df, id_col, text_col))
     m = cut(members(df, u, id_col, text_col))
     links = close_pairs(u.select("id", "s"), d).select("a", "b")
-    a, b = m.toDF("x", "a"), m.toDF("y", "b")
-    across = links.join(a, "a").join(b, "b").select("x", "y")
-    many = u.where("n > 1").select(F.col("id").alias("a"))
-    copies = m.toDF("x", "a").join(many, "a", "left_semi")
-    copies = copies.join(m.toDF("y", "a"), "a").where("x < y").select("x", "y")
-    both = across.union(copies)
+    across = links.join(growing(m.toDF("x", "a")), "a").join(growing(m.toDF("y", "b")), "b").select("x", "y")
+    # copies of one text meet block by block, so that no text is one task
+    many = u.where("n > 1").select("id", F.ceil(F.col("n") / block).cast("int").alias("k"))
+    copies = m.join(growing(many), "id").withColumn("blk", F.pmod(F.xxhash64("ord"), F.col("k")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    one = copies.select("id", F.col("ord").alias("x"), F.col("blk").alias("i"), others.alias("j"))
+    two = copies.select("id", F.col("ord").alias("y"), F.col("blk").alias("j"), others.alias("i"))
+    within = one.join(growing(two), ["id", "i", "j"]).where("x < y").select("x", "y")
+    both = across.union(within)
     return both.select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b"))
 
 
@@ -237,12 +232,12 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "ord", text_col: str = "a
     comp = connected_components(links, "a", "b")
     n = u.select(F.col("id").alias("b"), "n")
     both = links.union(links.select("b", "a"))
-    degree = both.join(n, "b").groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "id")
+    degree = both.join(growing(n), "b").groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "id")
     per = (
-        u.join(comp, "id", "left")
-        .join(degree, "id", "left")
+        u.join(growing(comp), "id", "left")
+        .join(growing(degree), "id", "left")
         .select("id", "n", F.coalesce("component", "id").alias("class_id"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("links"))
     )
     sizes = per.groupBy("class_id").agg(F.sum("n").alias("class_size"))
-    per = per.join(sizes, "class_id")
-    return members(df, u, id_col, text_col).join(per, "id").select(F.col("ord").alias(id_col), "class_id", "class_size", "links")
+    per = per.join(growing(sizes), "class_id")
+    return members(df, u, id_col, text_col).join(growing(per), "id").select(F.col("ord").alias(id_col), "class_id", "class_size", "links")

@@ -55,23 +55,85 @@ def test_near_groups(spark, anchors):
     assert neardup.near_duplicate_groups(df.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("hot", [400, 3])
-def test_linked_groups(spark, anchors, hot, monkeypatch):
-    df, clean = anchors
-    monkeypatch.setattr(clusters.seed_pairs, "__defaults__", (hot,))
-    left, want = set(i for i in clean if len(clean[i]) > 20), set()
+def groups_of(clean, d=8, least=4):
+    """(typical, member) by comparing all with all."""
+    left, want = set(clean), set()
     while left:
         todo, grp = [left.pop()], set()
         while todo:
             i = todo.pop()
             grp.add(i)
-            near = {j for j in left if lev(clean[i], clean[j]) <= 8}
+            near = {j for j in left if lev(clean[i], clean[j]) <= d}
             left -= near
             todo += near
-        if len(grp) >= 4:
+        if len(grp) >= least:
             t = min(grp, key=lambda i: (sum(lev(clean[i], clean[j]) for j in grp), i))
             want |= {(t, i) for i in grp}
-    assert {tuple(x) for x in clusters.linked_groups(df.where(F.length("anchor") > 20)).collect()} == want
+    return want
+
+
+@pytest.mark.parametrize("hot", [400, 3])
+def test_linked_groups(spark, anchors, hot, monkeypatch):
+    df, clean = anchors
+    monkeypatch.setattr(clusters.seed_pairs, "__defaults__", (hot,))
+    want = groups_of(clean)
+    assert {tuple(x) for x in clusters.linked_groups(df).collect()} == want
+    # the records of at most nine letters are a group of their own
+    assert {i for t, i in want if len(clean[i]) < 10} == {i for i in clean if len(clean[i]) < 10}
+    assert clusters.linked_groups(df.where("false")).count() == 0
+
+
+def test_short_records_and_one_hot_family(spark, monkeypatch):
+    r = random.Random(3)
+    names = ["".join(r.choice("ACGT") for _ in range(r.randrange(1, 9))) for _ in range(11)]
+    base = "".join(r.choice("ACGT") for _ in range(54))
+    for _ in range(150):  # one text with two letters replaced: every seed is hot
+        i, j = r.randrange(54), r.randrange(54)
+        s = list(base)
+        s[i], s[j] = r.choice("ACGT"), r.choice("ACGT")
+        names.append("".join(s))
+    monkeypatch.setattr(clusters.seed_pairs, "__defaults__", (20,))
+    d = spark.createDataFrame(list(enumerate(names)), "ord long, anchor string")
+    assert {tuple(x) for x in clusters.linked_groups(d).collect()} == groups_of(dict(enumerate(names)))
+
+
+def test_descent_adds_links(spark):
+    """Recall of links against all pairs; descent finds those that the seeds miss."""
+    r, names = random.Random(9), []
+    for _ in range(30):
+        base = "".join(r.choice("ACGT") for _ in range(54))
+        for _ in range(12):
+            s = list(base)
+            for _ in range(r.randrange(2, 7)):
+                i = r.randrange(len(s))
+                s[i : i + 1] = r.choice([[], [r.choice("ACGT")], [s[i], r.choice("ACGT")]])
+            names.append("".join(s))
+    d = spark.createDataFrame(list(enumerate(names)), "id long, s string")
+    links = {(i, j) for i, a in enumerate(names) for j, b in enumerate(names) if i < j and i // 12 == j // 12 and lev(a, b) <= 8}
+    few = clusters.seed_pairs(d, 8).where(F.xxhash64("a", "b") % 4 == 0)  # a quarter of the seeds
+    start = clusters.cut(clusters.with_distance(clusters.with_texts(few, d), 16))
+    before = {(x["a"], x["b"]) for x in start.where("dist <= 8").collect()}
+    after = {(x["a"], x["b"]) for x in clusters.descend(start, d, 16).where("dist <= 8").collect()}
+    assert before < after <= links and len(before) < 0.5 * len(links) and len(after) > 0.9 * len(links)
+
+
+def test_communities(spark):
+    # two cliques of six, joined by one weak link, and a pair
+    edges = [(i + s, j + s, 3.0) for s in (0, 10) for i in range(6) for j in range(i)] + [(0, 10, 1.0), (30, 31, 1.0)]
+    links = spark.createDataFrame(edges, "a long, b long, weight double")
+    parts = lambda df: {frozenset(x["ids"]) for x in df.groupBy("community").agg(F.collect_list("id").alias("ids")).collect()}
+    got = parts(clusters.communities(links))
+    assert got == {frozenset(range(6)), frozenset(range(10, 16)), frozenset({30, 31})}
+    assert parts(clusters.communities(links, 0.0)) == {frozenset([*range(6), *range(10, 16)]), frozenset({30, 31})}
+    assert clusters.communities(links.where("false")).count() == 0
+
+
+def test_communities_of_records(spark, anchors):
+    df, clean = anchors
+    got = clusters.similarity_communities(df).collect()
+    assert sum(x["size"] for x in got) == len(clean)
+    for x in got:
+        assert x["typical_1"] in clean and x["community"] <= x["typical_1"]
 
 
 def test_splits(spark):
