@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -71,5 +72,12 @@ def growing(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def checked(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A side of a join that is usually small: broadcast if it has at most ``most`` rows, which
+    are counted, and joined by sorting beyond that. Meant for tables of :func:`cut` with few and
+    narrow columns."""
+    return F.broadcast(df) if df.count() <= most else growing(df)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
