@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import clusters, leakage, neardup, pii, sampling, splits, tokenizer, topn
-from helixframe.runtime import table
+from helixframe.runtime import growing, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,13 +22,22 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return splits.conflicts(table(spark, d, "bed")).select("donor")
+    return splits.conflicts(table(spark, d, "bed"), table(spark, d, "split_targets")).select("donor")
 
 
 def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(table(spark, d, "bed"), table(spark, d, "split_targets"))
 
 
+def p2_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each split, and its rows whose donor lies in another split too."""
+    bed = table(spark, d, "bed").select("ord", splits.donor_of(F.col("sample_name")).alias("donor"))
+    s = splits.assign_splits(table(spark, d, "bed"), table(spark, d, "split_targets")).join(growing(bed), "ord")
+    torn = s.groupBy("donor").agg(F.count_distinct("split").alias("k")).where("donor is not null and k > 1").select("donor")
+    torn = s.join(growing(torn), "donor", "left_semi").groupBy("split").agg(F.count("*").alias("torn"))
+    return s.groupBy("split").agg(F.count("*").alias("n_rows")).join(torn, "split", "left").select("split", "n_rows", F.coalesce("torn", F.lit(0)).alias("torn"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(table(spark, d, "anchor_clusters"), "cluster_id", "rank", "ord", 5).select("cluster_id", "ord")
 
@@ -86,7 +95,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_splits, p3_found, p3_top_samples, p4_found, p4_sample, p4_report, p5_found, p5_communities, p6_ids, p6_decoded, p7_found, p7_proximity, p8_found, p8_redacted)
+    for f in (p1_found, p1_groups, p2_found, p2_splits, p2_balance, p3_found, p3_top_samples, p4_found, p4_sample, p4_report, p5_found, p5_communities, p6_ids, p6_decoded, p7_found, p7_proximity, p8_found, p8_redacted)
 }
 
 ORACLE: dict[str, str] = {
@@ -96,6 +105,9 @@ ORACLE: dict[str, str] = {
                      CASE WHEN s IN ('train', 'training', 'trn') THEN 'train' WHEN s IN ('val', 'valid', 'validation', 'dev', 'development') THEN 'val'
                           WHEN s IN ('test', 'testing', 'tst') THEN 'test' END AS named FROM b WHERE x.n <> '')
         SELECT donor FROM c GROUP BY donor HAVING count(DISTINCT named) >= 2""",
+    "p2_balance": """
+        WITH t AS (SELECT split, CAST(floor(share * (SELECT count(*) FROM bed) + 0.5) AS BIGINT) AS n, row_number() OVER (ORDER BY share DESC, split DESC) AS k FROM split_targets)
+        SELECT split, CAST(CASE WHEN k = 1 THEN (SELECT count(*) FROM bed) - (SELECT sum(n) FROM t WHERE k > 1) ELSE n END AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS torn FROM t""",
     "p3_found": """
         SELECT cluster_id, ord FROM (
             SELECT cluster_id, ord, row_number() OVER (PARTITION BY cluster_id ORDER BY rank, ord) AS k
@@ -110,5 +122,13 @@ ORACLE: dict[str, str] = {
         k AS (SELECT metadata, lower(trim(regexp_replace(class, '[\s_-]+', ' ', 'g'))) AS key, count(*) AS n FROM m GROUP BY 1, 2)
         SELECT t.metadata, t.class FROM class_targets t LEFT JOIN k ON k.metadata = t.metadata AND k.key = lower(t.class)
         WHERE coalesce(k.n, 0) < greatest(round(t.target_share * t.sample_size), t.min_rows)""",
+    "p4_report": r"""
+        WITH m AS (SELECT sample_name, metadata, arg_max(coalesce(class, ''), ord) AS class FROM metadata WHERE sample_name IS NOT NULL AND metadata IS NOT NULL GROUP BY 1, 2),
+        k AS (SELECT metadata, lower(trim(regexp_replace(class, '[\s_-]+', ' ', 'g'))) AS key, count(*) AS n FROM m GROUP BY 1, 2),
+        t AS (SELECT t.*, CAST(greatest(round(round(t.target_share * t.sample_size, 6)), t.min_rows) AS BIGINT) AS wanted, coalesce(k.n, 0) AS available
+              FROM class_targets t LEFT JOIN k ON k.metadata = t.metadata AND k.key = lower(trim(regexp_replace(t.class, '[\s_-]+', ' ', 'g')))),
+        o AS (SELECT metadata, class, sample_size, i, CASE WHEN i <= min_rows THEN -1 WHEN target_share > 0 THEN (i - 0.5::DOUBLE) / target_share END AS p FROM t, unnest(range(1, available + 1)) AS u(i)),
+        d AS (SELECT metadata, class, count(*) AS drawn FROM (SELECT *, row_number() OVER (PARTITION BY metadata ORDER BY p, class, i) AS r FROM o WHERE p IS NOT NULL) WHERE r <= sample_size GROUP BY 1, 2)
+        SELECT metadata, class, wanted, available, coalesce(drawn, 0) AS drawn, greatest(wanted - coalesce(drawn, 0), 0) AS missing FROM t LEFT JOIN d USING (metadata, class)""",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -37,7 +37,7 @@ def pool_of(meta: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def draw(meta: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
-    """``(metadata, class, sample_name, priority_rank)``: sample_size samples of each category.
+    """``(metadata, class, sample_name, rank_no)``: sample_size samples of each category.
 
     Within a class samples are numbered in random (hashed) order; the ``rank``-th has priority
     ``(rank - 0.5) / target_share``, so that taking the smallest priorities of the category hands
@@ -49,36 +49,45 @@ def draw(meta: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     ranked, everything below it is taken as it is. Nulls as in :func:`current_samples`; a table
     without matching rows gives no rows.
     """
+    return _drawn(meta, targets, seed)[0]
+
+
+def _drawn(meta: DataFrame, targets: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The drawn rows, and all rows on offer with their rank in the class."""
     pool = pool_of(meta, targets).select("metadata", "class", "sample_name", "target_share", "min_rows", "sample_size")
     ranked = distributed_rank(pool, ["metadata", "class"], F.xxhash64("sample_name", F.lit(seed)), ["sample_name"], "rank_no")
-    prio = F.when(F.col("rank_no") <= F.coalesce("min_rows", F.lit(0)), F.lit(-1.0)).otherwise((F.col("rank_no") - 0.5) / F.col("target_share"))
+    prio = F.when(F.col("rank_no") <= F.coalesce("min_rows", F.lit(0)), F.lit(-1.0)).when(F.col("target_share") > 0, (F.col("rank_no") - 0.5) / F.col("target_share"))
     # a class is drawn about share * size deep; the cell is the priority in 1/256 of that depth
-    ranked = ranked.where("rank_no <= min_rows or target_share > 0").withColumn("priority", prio)
-    ranked = cut(ranked.withColumn("cell", F.least(F.floor(F.col("priority") * 256 / F.greatest("sample_size", F.lit(1))), F.lit(1 << 40)).cast("long")))
+    cell = F.least(F.floor(F.col("priority") * 256 / F.greatest("sample_size", F.lit(1))), F.lit(1 << 40)).cast("long")
+    offered = cut(ranked.withColumn("priority", prio).withColumn("cell", cell))
+    ranked = offered.where("priority is not null")
     hist = ranked.groupBy("metadata", "cell").agg(F.count("*").alias("c"))
     below = F.sum("c").over(Window.partitionBy("metadata").orderBy("cell")) - F.col("c")
     hist = hist.select("metadata", "cell", "c", below.alias("below"))
     d = ranked.join(hist, ["metadata", "cell"]).where("below < sample_size")
     whole = d.where("below + c <= sample_size")
     edge = d.where("below + c > sample_size")
-    w = Window.partitionBy("metadata").orderBy("priority", F.xxhash64("sample_name", F.lit(seed)), "class", "sample_name")
+    w = Window.partitionBy("metadata").orderBy("priority", "class", F.xxhash64("sample_name", F.lit(seed)), "sample_name")
     edge = edge.withColumn("pos", F.row_number().over(w)).where("pos <= sample_size - below").drop("pos")
-    return whole.union(edge).select("metadata", "class", "sample_name", "rank_no")
-
-
-def shortages(meta: DataFrame, targets: DataFrame) -> DataFrame:
-    """``(metadata, class, wanted, available)`` of the target rows that cannot be met."""
-    have = pool_of(meta, targets).groupBy("metadata", "key").agg(F.count("*").alias("n"))
-    t = targets_of(targets)
-    out = t.join(have, ["metadata", "key"], "left").withColumn("available", F.coalesce("n", F.lit(0)))
-    return out.where("available < wanted").select("metadata", "class", "wanted", "available")
+    return whole.union(edge).select("metadata", "class", "sample_name", "rank_no"), offered
 
 
 def report(meta: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
-    """One row for each target: rows wanted, available, drawn and missing."""
-    got = draw(meta, targets, seed).groupBy("metadata", "class").agg(F.count("*").alias("drawn"))
-    have = pool_of(meta, targets).groupBy("metadata", "class").agg(F.count("*").alias("available"))
+    """One row for each target: rows wanted, available, drawn and missing.
+
+    Every class is offered the larger of its share and its floor; what it has to offer is counted
+    over the numbered rows of :func:`draw`, what it got over the drawn ones.
+    """
+    drawn, offered = _drawn(meta, targets, seed)
+    got = drawn.groupBy("metadata", "class").agg(F.count("*").alias("drawn"))
+    have = offered.groupBy("metadata", "class").agg(F.max("rank_no").alias("available"))
     t = targets_of(targets).select("metadata", "class", "wanted")
     t = t.join(have, ["metadata", "class"], "left").join(got, ["metadata", "class"], "left")
     t = t.select("metadata", "class", "wanted", F.coalesce("available", F.lit(0)).alias("available"), F.coalesce("drawn", F.lit(0)).alias("drawn"))
     return t.withColumn("missing", F.greatest(F.col("wanted") - F.col("drawn"), F.lit(0)))
+
+
+def shortages(meta: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
+    """``(metadata, class, wanted, available, drawn)`` of the rows of :func:`report` whose class
+    has fewer samples than it is offered."""
+    return report(meta, targets, seed).where("available < wanted").select("metadata", "class", "wanted", "available", "drawn")

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.operators.graph import connected_components
 from helixframe.operators.ranking import distributed_rank
-from helixframe.runtime import cut
-
-#: Largest split total for which sums are searched exactly; above it whole large components are
-#: placed greedily first. 2**26 flags are 64 MB on the driver.
-EXACT_LIMIT = 1 << 26
+from helixframe.runtime import cut, growing
 
 #: Fixed spellings of the three splits, compared after trimming and lower-casing.
 TRAIN_NAMES = ["train", "training", "trn", "tr", "trainset"]
@@ -48,52 +43,55 @@ def components_of(df: DataFrame, row_id: str, keys: dict[str, Column]) -> DataFr
     for i in range(len(keys)):
         own = rows.select("r", F.col(f"k{i}").alias("k")).dropna()
         hub = own.groupBy("k").agg(F.min("r").alias("h"))
-        e = own.join(hub, "k").select("r", "h")
+        e = own.join(growing(hub), "k").select("r", "h")
         edges = e if edges is None else edges.union(e)
     comp = connected_components(edges, "r", "h")
-    return rows.select("r").join(comp, F.col("r") == F.col("id"), "left").select(F.col("r").alias(row_id), F.coalesce("component", "r").alias("component"))
+    return rows.select("r").join(growing(comp), F.col("r") == F.col("id"), "left").select(F.col("r").alias(row_id), F.coalesce("component", "r").alias("component"))
+
+
+def nearest_bit(bits: int, at: int) -> int:
+    """Number of the set bit nearest to ``at``, the lower of two; bit 0 is set."""
+    below = (bits & ((1 << (at + 1)) - 1)).bit_length() - 1
+    above = bits >> (at + 1)
+    if not above:
+        return below
+    up = at + 1 + (above & -above).bit_length() - 1
+    return below if at - below <= up - at else up
 
 
 def choose_sizes(sizes: list[tuple[int, int]], target: int) -> dict[int, int]:
     """How many components of each size to take so that the total is as near ``target`` as can be.
 
-    ``sizes`` holds (size, multiplicity). A bitset over totals is shifted by each size times
-    1, 2, 4 ... copies; the total reached nearest the target is traced back through the step that
-    reached each total first.
+    ``sizes`` holds (size, multiplicity). Totals are the bits of one integer, which each size
+    times 1, 2, 4 ... copies shifts and joins; it ends when the target itself is reached or no
+    size is left. The total is traced back from bitsets kept at every eighth step, between which
+    they are made again. Exact for any number of rows; each bitset takes target / 8 bytes.
     """
-    take: dict[int, int] = {}
-    left, have = target, dict(sizes)
-    for s in sorted(have, reverse=True):
-        if left <= EXACT_LIMIT:
-            break
-        k = min(have[s], (left - EXACT_LIMIT) // s + 1, left // s)
-        if k > 0:
-            take[s], have[s], left = k, have[s] - k, left - k * s
+    have = sorted(((s, m) for s, m in sizes if s > 0 and m > 0), reverse=True)
     # the nearest total lies at most the target below it, or less than one component above
-    top = min(2 * left, left + max([s for s, m in have.items() if m] or [0]))
-    reach = np.zeros(top + 1, bool)
-    reach[0] = True
-    by = np.full(top + 1, -1, np.int32)
+    top = min(2 * target, target + max([s for s, _ in have] or [0]))
+    limit, reach = (1 << (top + 1)) - 1, 1
     steps: list[tuple[int, int]] = []
-    for s, m in sorted(have.items(), reverse=True):
-        m, c = min(m, top // s if s else 0), 1
-        while m > 0:
+    kept = []
+    for s, m in have:
+        m, c = min(m, top // s), 1
+        while m > 0 and not reach >> target & 1:
             c = min(c, m)
-            w = s * c
-            if w <= top:
-                new = np.zeros_like(reach)
-                new[w:] = reach[: top + 1 - w]
-                new &= ~reach
-                by[new] = len(steps)
-                steps.append((s, c))
-                reach |= new
+            if len(steps) % 8 == 0:
+                kept.append(reach)
+            steps.append((s, c))
+            reach |= (reach << (s * c)) & limit
             m, c = m - c, c * 2
-    totals = np.nonzero(reach)[0]
-    at = int(totals[np.argmin(np.abs(totals - left))])
-    while at > 0:
-        s, c = steps[by[at]]
-        take[s] = take.get(s, 0) + c
-        at -= s * c
+    at, take = nearest_bit(reach, target), {}
+    for k in range(len(kept) - 1, -1, -1):
+        part = steps[8 * k : 8 * k + 8]
+        bits = [kept[k]]
+        for s, c in part:
+            bits.append(bits[-1] | (bits[-1] << (s * c)) & limit)
+        for (s, c), before in zip(reversed(part), reversed(bits[:-1]), strict=True):
+            if not before >> at & 1:
+                take[s] = take.get(s, 0) + c
+                at -= s * c
     return take
 
 
@@ -115,7 +113,7 @@ def assign_splits(df: DataFrame, targets: DataFrame, row_id: str = "ord", keys:
     plan: list[tuple[int, int, str]] = []
     start = dict.fromkeys(have, 0)
     for share, name in shares[:-1]:
-        took = choose_sizes(sorted(have.items()), round(share * rows))
+        took = choose_sizes(sorted(have.items()), int(share * rows + 0.5))
         for s, k in took.items():
             plan.append((s, start[s], start[s] + k, name))
             start[s] += k
@@ -125,16 +123,16 @@ def assign_splits(df: DataFrame, targets: DataFrame, row_id: str = "ord", keys:
     ranges = spark.createDataFrame(plan or [(0, 0, 0, "")], "size long, above long, upto long, split string")
     ranked = distributed_rank(size, ["size"], F.xxhash64("component", F.lit(seed)), ["component"], "rank_no")
     chosen = ranked.join(ranges, "size").where("rank_no > above and rank_no <= upto").select("component", "split")
-    return comp.join(chosen, "component").select(row_id, "component", "split")
+    return comp.join(growing(chosen), "component").select(row_id, "component", "split")
 
 
-def conflicts(df: DataFrame, row_id: str = "ord") -> DataFrame:
-    """``(donor, n_splits)`` of donors whose rows already name two or three different splits.
+def conflicts(df: DataFrame, targets: DataFrame, row_id: str = "ord") -> DataFrame:
+    """``(donor, split, n_splits)`` of donors whose rows already name two or three different
+    splits, with the split that :func:`assign_splits` gives them instead.
 
-    Names are gathered over the components of the donor link, the ones that
-    :func:`assign_splits` keeps together.
+    Names are gathered over the components of that assignment. Rows without a donor are left out.
     """
-    d = df.select(F.col(row_id).alias("r"), donor_of(F.col("sample_name")).alias("donor"), split_named(F.col("split")).alias("named"))
-    comp = components_of(d.where("donor is not null"), "r", {"donor": F.col("donor")})
-    per = d.join(comp, "r").groupBy("component").agg(F.min("donor").alias("donor"), F.count_distinct("named").alias("n_splits"))
-    return per.where("n_splits >= 2").select("donor", "n_splits")
+    given = assign_splits(df, targets, row_id)
+    d = df.select(row_id, donor_of(F.col("sample_name")).alias("donor"), split_named(F.col("split")).alias("named")).where("donor is not null")
+    per = d.join(growing(given), row_id).groupBy("component").agg(F.min("donor").alias("donor"), F.min("split").alias("split"), F.count_distinct("named").alias("n_splits"))
+    return per.where("n_splits >= 2").select("donor", "split", "n_splits")

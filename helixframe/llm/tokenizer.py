@@ -1,7 +1,9 @@
 """Byte-level BPE encoding of a whole corpus with a public vocabulary.
 
-Each text is cut into words by the tokenizer's pattern. In every task the different words go, as token-position rows, to one recursive DuckDB query that joins neighbouring
-tokens with the merge table and contracts each word's leftmost pair of minimum rank until nothing
+Each text is cut into words by the tokenizer's pattern, and words once more between two bytes that
+stand side by side in no token at all, where nothing can merge. In every task the different words
+go in batches, as token-position rows, to a recursive DuckDB query that joins neighbouring tokens
+with the merge table and contracts each piece's leftmost pair of minimum rank until nothing
 merges. The ids of the words are then laid out in text order. No shuffle, no row leaves its task.
 """
 
@@ -26,7 +28,8 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 KEPT_WORDS = 300_000
 #: Bytes of words encoded by one recursive query, and letters of text handled at a time.
 QUERY_BYTES, STEP_LETTERS = 1 << 19, 1 << 20
-#: Words of more bytes contract all places of their best pair in one step instead of the leftmost.
+#: Pieces of more bytes contract all places of their best pair in one step instead of the leftmost,
+#: with equal results; they too go in batches.
 LONG = 64
 
 #: A row is one token of a word; ``r`` orders the pairs of a word by rank, then place.
@@ -103,7 +106,12 @@ def load(folder: str, name: str) -> dict:
         "id": pa.array([vocab[a + b] for a, b in pairs], pa.int32()),
     })
     letters = byte_letters()
-    return {"merges": merges, "byte": np.array([vocab[c] for c in letters], np.int32), "vocab": vocab, "letters": letters}
+    at = {c: i for i, c in enumerate(letters)}
+    touch = np.zeros((256, 256), bool)  # bytes side by side in some token
+    for token in vocab:
+        code = [at[c] for c in token if c in at]
+        touch[code[:-1], code[1:]] = True
+    return {"merges": merges, "byte": np.array([vocab[c] for c in letters], np.int32), "vocab": vocab, "letters": letters, "touch": touch}
 
 
 class Encoder:
@@ -129,36 +137,46 @@ class Encoder:
             cls._of[folder, name] = cls(folder, name)
         return cls._of[folder, name]
 
-    def contract(self, words: list[str], query: str) -> None:
-        raw = [w.encode() for w in words]
+    def contract(self, words: list[str], raw: list[bytes], query: str) -> None:
         size = np.array([len(b) for b in raw])
-        w = np.repeat(np.arange(len(raw), dtype=np.int32), size)
-        start = np.cumsum(size) - size
-        p = (np.arange(len(w)) - start[w]).astype(np.int32)
-        tok = self.model["byte"][np.frombuffer(b"".join(raw), np.uint8)]
-        self.con.register("base", pa.table({"w": w, "p": p, "tok": tok}))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        word = np.repeat(np.arange(len(raw)), size)
+        first = np.ones(len(data), bool)
+        first[1:] = ~self.model["touch"][data[:-1], data[1:]] | (word[1:] != word[:-1])
+        start = np.nonzero(first)[0]
+        piece = np.cumsum(first) - 1
+        place = (np.arange(len(data)) - start[piece]).astype(np.int32)
+        self.con.register("base", pa.table({"w": piece.astype(np.int32), "p": place, "tok": self.model["byte"][data]}))
         got = self.con.execute(query).fetchnumpy()
-        ends = np.searchsorted(got["w"], np.arange(len(raw) + 1))
         flat = np.asarray(got["tok"], np.int32)
+        ends = np.searchsorted(word[start][got["w"]], np.arange(len(raw) + 1))
         self.ids.update((x, flat[a:b]) for x, a, b in zip(words, ends[:-1], ends[1:], strict=True))
 
+    def longest(self, raw: bytes) -> int:
+        """Bytes of the longest piece of a word."""
+        data = np.frombuffer(raw, np.uint8)
+        at = np.nonzero(~self.model["touch"][data[:-1], data[1:]])[0]
+        return int(np.diff(np.concatenate([[-1], at, [len(data) - 1]])).max())
+
     def learn(self, words: list[str]) -> None:
         new = [w for w in words if w not in self.ids]
         if len(self.ids) + len(new) > KEPT_WORDS:
             self.ids.clear()
             new = words
-        part, size = [], 0
+        parts: dict[str, tuple[list[str], list[bytes]]] = {CONTRACT: ([], []), CONTRACT_LONG: ([], [])}
+        sizes = dict.fromkeys(parts, 0)
         for w in new:
-            if 4 * len(w) > LONG and len(w.encode()) > LONG:
-                self.contract([w], CONTRACT_LONG)
-                continue
-            part.append(w)
-            size += len(w)
-            if size > QUERY_BYTES:
-                self.contract(part, CONTRACT)
-                part, size = [], 0
-        if part:
-            self.contract(part, CONTRACT)
+            b = w.encode()
+            query = CONTRACT_LONG if len(b) > LONG and self.longest(b) > LONG else CONTRACT
+            parts[query][0].append(w)
+            parts[query][1].append(b)
+            sizes[query] += len(b)
+            if sizes[query] > QUERY_BYTES:
+                self.contract(*parts[query], query)
+                parts[query], sizes[query] = ([], []), 0
+        for query, (some, raw) in parts.items():
+            if some:
+                self.contract(some, raw, query)
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         cut = [self.find(t) if t else [] for t in texts]

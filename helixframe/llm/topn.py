@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.runtime import cut
+from helixframe.runtime import cut, growing
 
 #: Cells of the score histogram.
 CELLS = 64
@@ -51,7 +51,10 @@ def top_n(df: DataFrame, group: str, score: str, tie: str, n: int = 5, salts: in
         .where(F.col("all") > n)
         .select("g", "last")
     )
-    kept = d.join(limit, "g", "left").where("last is null or cell <= last").withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(salts)))
+    # the limits stand once for each salt, so that the rows of a hot group meet them in many tasks
+    limit = limit.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    salted = d.withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(salts)).cast("long"))
+    kept = salted.join(growing(limit), ["g", "salt"], "left").where("last is null or cell <= last")
     order = [F.col("v").asc(), F.col("t").asc_nulls_first()]
     part = kept.withColumn("rn", F.row_number().over(Window.partitionBy("g", "salt").orderBy(*order))).where(F.col("rn") <= n)
     out = part.withColumn("position", F.row_number().over(Window.partitionBy("g").orderBy(*order))).where(F.col("position") <= n)

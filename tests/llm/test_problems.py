@@ -140,8 +140,12 @@ def test_splits(spark):
     names = ["Kv000165_L7", "kv-165.L1", "KV00165_L2", None, "HX000001_L1", " hx1_L2", "HX0010_L1"]
     named = ["train", " VAL ", "NA", "test", "dev", "Development", ""]
     d = spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate(zip(names, named, strict=True))], "ord long, sample_name string, split string")
-    assert [tuple(x) for x in splits.conflicts(d).collect()] == [("KV165", 2)]
     t = spark.createDataFrame([("train", 0.7), ("val", 0.15), ("test", 0.15)], "split string, share double")
+    assert [(x["donor"], x["n_splits"]) for x in splits.conflicts(d, t).collect()] == [("KV165", 2)]
+    # two keys: rows 0, 1, 2 hang together by either, row 3 has none
+    two = spark.createDataFrame([(0, "a", "x"), (1, "a", "y"), (2, "b", "y"), (3, None, None), (4, "c", None)], "ord long, author string, source string")
+    comp = splits.components_of(two, "ord", {"author": F.col("author"), "source": F.col("source")})
+    assert {x["ord"]: x["component"] for x in comp.collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}
     many = spark.createDataFrame([(i, f"AB{(i % 7) * (i % 3)}_x") for i in range(300)] + [(300 + i, f"CD{i}_x") for i in range(100)], "ord long, sample_name string")
     got = splits.assign_splits(many, t)
     assert got.count() == 400
@@ -161,6 +165,10 @@ def test_choose_sizes():
         took = splits.choose_sizes(list(have.items()), target)
         assert all(k <= have[s] for s, k in took.items())
         assert abs(sum(s * k for s, k in took.items()) - target) == min(abs(x - target) for x in sums)
+    # 400 sizes of up to 30,000 rows, none of them even, and an odd target
+    sizes = {2 * r.randrange(1, 15_000): 1 for _ in range(400)}
+    took = splits.choose_sizes(list(sizes.items()), 2_000_001)
+    assert abs(sum(s * k for s, k in took.items()) - 2_000_001) == 1
 
 
 def test_top_n(spark):
@@ -191,6 +199,8 @@ def test_tokens(spark):
     t = tokenizers.Tokenizer.from_file(f"{tokenizer.TOKENIZERS}/byte_bpe_50k.json")
     t.encode_special_tokens = True
     texts = [None, "", "  ", "\n\n a", "Hello world's über-Straße 12,5 € 👍", "a" * 3000, "<|endoftext|>", "ab" * 200, "\x1c\x85 x"]
+    r = random.Random(5)
+    texts += [" ".join("".join(r.choice("abcdefgh") for _ in range(100)) for _ in range(30)), "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(500)), "".join(r.choice("ACGT") for _ in range(2000)), "9" * 300 + "-" * 200]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x["doc_id"]: x["ids"] for x in tokenizer.encode(d).collect()}
     assert got == {i: t.encode(s, add_special_tokens=False).ids if s else [] for i, s in enumerate(texts)}
@@ -212,6 +222,20 @@ def test_leakage(spark):
     assert {tuple(x) for x in got.collect()} == want and want
 
 
+def test_short_runs_and_proximity(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(4000)]
+    items = [(i, " ".join(r.choices(words, k=60))) for i in range(6)] + [(50, "alpha beta"), (51, None)]
+    part = items[2][1].split()[10:42]
+    r.shuffle(part)
+    docs = [(k, " ".join(r.choices(words, k=200))) for k in range(20)]
+    docs += [(100, docs[0][1] + " " + " ".join(part) + " " + docs[1][1]), (101, "beta of alpha"), (102, None), (103, "")]
+    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
+    assert {(x["doc_id"], x["item_id"]) for x in leakage.proximity_matches(d, t).collect()} == {(100, 2), (101, 50)}
+    assert {x["doc"] for x in leakage.leaked_runs(d, t.where("item_id = 50"), 1).collect()} == {101}
+    assert leakage.leaked_items(d, t).count() == 0
+
+
 def kinds(text):
     return {(k, text[a:b]) for k, a, b in pii.detect(text)}
 
