@@ -1,17 +1,22 @@
 """Personal items in free text: offset-preserving normalisation, detection, placeholders.
 
-A text first passes two transducers: one replaces characters one for one (homoglyphs, full-width
-forms, odd blanks), the other rewrites stretches (wrong decodings, ligatures, combining and
-invisible characters, words broken at line ends, page headers inside sentences) and keeps where
-each stretch came from. Items are detected in the normalised text and mapped back to the source.
-Every document is handled on its own, in Arrow batches; nothing is shuffled.
+A text first passes transducers: one replaces characters one for one (homoglyphs, full-width
+forms, odd blanks), the others rewrite stretches (wrong decodings, ligatures, combining and
+invisible characters, words broken at line ends, page headers inside sentences, then spelled
+digits and the words of e-mail signs) and keep where each stretch came from. Items are detected in
+the normalised text and mapped back to the source. Every document is handled on its own, in Arrow
+batches; nothing is shuffled.
+
+What is bounded, and why: a page header is a line of under 110 characters that ends in a page
+number; a local part is sought in the 254 characters before its sign, the length of an address; a
+name has at most six words, of which three are not initials or particles.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -86,8 +91,66 @@ def _edits(t: str) -> list[tuple[int, int, str]]:
     return kept
 
 
+#: The digits in four languages.
+DIGIT_WORDS = [
+    "zero null zéro cero oh nought", "one eins ein un uno", "two zwei zwo deux dos", "three drei trois tres", "four vier quatre cuatro",
+    "five fünf fuenf cinq cinco", "six sechs seis", "seven sieben sept siete", "eight acht huit ocho", "nine neun neuf nueve",
+]
+DIGIT = {w: str(i) for i, words in enumerate(DIGIT_WORDS) for w in words.split()}
+TIMES = {"double": 2, "doppel": 2, "triple": 3}
+_SPELT = "|".join(sorted(DIGIT, key=len, reverse=True))
+#: Six or more digits, spelled or some of them figures.
+SPELT_DIGITS = re.compile(rf"(?i)(?<![\w-])(?:plus[\s,]+)?(?:(?:double\s|doppel\s|triple\s)?(?:{_SPELT})[\s,.\-]{{1,3}}){{5,}}(?:double\s|triple\s)?(?:{_SPELT})(?![\w-])")
+DIGIT_TOKENS = {w + sign for w in DIGIT for sign in ("", ",", ".")}
+
+
+def _digits(run: str) -> str:
+    out, times = [], 1
+    for w in re.findall(r"\w+", run.lower()):
+        if w == "plus":
+            out.append("+")
+        elif w in TIMES:
+            times = TIMES[w]
+        else:
+            out.append(DIGIT[w] * times)
+            times = 1
+    return "".join(out)
+
+
+_DOT = r"(?:\.|\s*[\(\[\{<]\s*(?i:dot|punkt|point|punto)\s*[\)\]\}>]\s*|\s+(?:DOT|dot|punkt|punto|point)\s+)"
+DOT_SIGN = re.compile(_DOT)
+BRACKETED = re.compile(r"[\(\[\{<]\s*(?i:at|ät|arroba|arobase|klammeraffe)\s*[\)\]\}>]\s*")
+SPELT = re.compile(r"\s(?P<word>AT|at|arroba|arobase)\s+")
+DOT_WORDS = ("AT", "DOT", " dot", "punkt", "punto", "point", "arroba", "arobase")
+#: A local part before a spelled sign may have spelled dots; letters only may stand before those.
+SPELT_LOCAL = re.compile(rf"(?<![\w.+\-@█*])[A-Za-z0-9][\w.+\-]*(?:{_DOT}[\w+\-]+)*$")
+DOMAIN = re.compile(rf"\s*[A-Za-z0-9][\w\-]*(?P<rest>(?:{_DOT}[A-Za-z][\w\-]*)+)")
+
+
+def _mail_signs(t: str) -> Iterator[tuple[int, int, str]]:
+    """Words of e-mail signs to rewrite: the place of the sign between local part and domain, and
+    the dots of both."""
+    places = [(m.start(), m.end(), "(") for m in BRACKETED.finditer(t)]
+    if any(w in t for w in DOT_WORDS):
+        places += [(m.start(), m.end(), m["word"]) for m in SPELT.finditer(t)]
+    for a, b, sign in sorted(places):
+        while a and t[a - 1].isspace():
+            a -= 1
+        domain = DOMAIN.match(t, b)
+        local = domain and SPELT_LOCAL.search(t, max(0, a - 254), a)
+        # the bare word "at" counts only if the dots are words too
+        if not local or (sign in ("at", "arroba", "arobase") and "." in domain["rest"]):
+            continue
+        for m in DOT_SIGN.finditer(t, local.start(), a):
+            yield m.start(), m.end(), "."
+        yield a, b, "@"
+        for m in DOT_SIGN.finditer(t, *domain.span("rest")):
+            yield m.start(), m.end(), "."
+
+
 class Normalised:
-    """Normalised text and the way back: ``source(i)`` is the source position of its letter i."""
+    """Normalised text and the way back: ``source(i)`` is the source position of its letter i.
+    ``spelt`` are the stretches that were digits in words."""
 
     def __init__(self, text: str) -> None:
         t = text
@@ -95,55 +158,58 @@ class Normalised:
             t = t.replace(odd, plain)
         if not t.isascii():
             t = ODD.sub(lambda m: ONE[ord(m.group())], t)
-        self.at, self.shift = [0], [0]
-        parts, last, size = [], 0, 0
-        for a, b, new in _edits(t):
+        self.layers: list[tuple[list[int], list[int]]] = []
+        t = self._rewrite(t, _edits(t))
+        spelt = [(m.start(), m.end(), _digits(m.group())) for m in SPELT_DIGITS.finditer(t)] if sum(map(DIGIT_TOKENS.__contains__, t.lower().replace("-", " ").split())) > 5 else []
+        edits = sorted([*spelt, *_mail_signs(t)])
+        kept = [x for k, x in enumerate(edits) if not k or x[0] >= edits[k - 1][1]]
+        self.text = self._rewrite(t, kept) if kept else t
+        self.spelt, moved = [], 0
+        for a, b, new in kept:
+            if len(new) > 5:
+                self.spelt.append((a + moved, a + moved + len(new)))
+            moved += len(new) - (b - a)
+
+    def _rewrite(self, t: str, edits: list[tuple[int, int, str]]) -> str:
+        if not edits:
+            return t
+        at, shift, parts, last, size = [0], [0], [], 0, 0
+        for a, b, new in edits:
             parts += [t[last:a], new]
             size += a - last + len(new)
             last = b
             if len(new) > 1:  # its further letters come from the last source letter
-                self.at.append(size - len(new) + 1)
-                self.shift.append(b - 1 - self.at[-1])
-            self.at.append(size)
-            self.shift.append(last - size)
-        self.text = "".join([*parts, t[last:]]) if parts else t
+                at.append(size - len(new) + 1)
+                shift.append(b - 1 - at[-1])
+                for i in range(2, len(new)):
+                    at.append(size - len(new) + i)
+                    shift.append(b - 1 - at[-1])
+            at.append(size)
+            shift.append(last - size)
+        self.layers.append((at, shift))
+        return "".join([*parts, t[last:]])
 
     def source(self, i: int) -> int:
-        return i + self.shift[bisect_right(self.at, i) - 1]
+        for at, shift in reversed(self.layers):
+            i += shift[bisect_right(at, i) - 1]
+        return i
 
 
 # ---------------------------------------------------------------- contacts and numbers
 
-_DOT = r"(?:\.|\s*[\(\[\{<]\s*(?i:dot|punkt|point|punto)\s*[\)\]\}>]\s*|\s+(?:DOT|dot|punkt|punto|point)\s+)"
-BRACKETED = re.compile(r"[\(\[\{<]\s*(?i:at|ät|arroba|arobase|klammeraffe)\s*[\)\]\}>]")
-SPELT = re.compile(r"\s(?:AT|at|arroba|arobase)(?=\s)")
-DOT_WORDS = ("AT", "DOT", " dot", "punkt", "punto", "point", "arroba", "arobase")
 LOCAL = re.compile(r"(?<![\w.+\-@█*])[A-Za-z0-9][\w.+\-]*\s*$")
-DOMAIN = re.compile(rf"\s*[A-Za-z0-9][\w\-]*(?P<rest>(?:{_DOT}[A-Za-z][\w\-]*)+)")
 
 
-def signs(t: str) -> Iterator[tuple[int, int, str]]:
-    """Places that may stand for the sign between local part and domain."""
+def emails(t: str) -> Iterator[tuple[int, int]]:
     i = t.find("@")
     while i >= 0:
         # blank on one side only: the local part was taken out
         if t[i - 1 : i].isspace() == t[i + 1 : i + 2].isspace():
-            yield i, i + 1, "@"
+            domain = DOMAIN.match(t, i + 1)
+            local = domain and LOCAL.search(t, max(0, i - 254), i)
+            if local:
+                yield local.start(), domain.end()
         i = t.find("@", i + 1)
-    for m in BRACKETED.finditer(t):
-        yield m.start(), m.end(), "("
-    if any(w in t for w in DOT_WORDS):
-        for m in SPELT.finditer(t):
-            yield m.start(), m.end(), m.group()[1:]
-
-
-def emails(t: str) -> Iterator[tuple[int, int]]:
-    for a, b, sign in signs(t):
-        domain = DOMAIN.match(t, b)
-        local = domain and LOCAL.search(t, max(0, a - 80), a)
-        # the bare word "at" counts only if the dots are words too
-        if local and (sign not in ("at", "arroba", "arobase") or "." not in domain["rest"]):
-            yield local.start(), domain.end()
 
 
 #: A line may break inside a number, and the next one may be indented.
@@ -154,14 +220,17 @@ _BLANK = rf"(?: |{_BREAK})?"
 _DASH = rf"(?:[ \-]|{_BREAK})"
 PHONE = re.compile(
     r"(?<![\w/.\-+*█])(?:"
-    rf"\+\d{{1,3}}{_SEP}(?:\(0\){_SEP})?\d(?:{_SEP}\d){{5,12}}"
+    rf"\+\d{{1,3}}{_SEP}(?:\(\d{{1,5}}\){_SEP})?\d(?:{_SEP}\d){{5,12}}"
     rf"|00\d{{2,3}}{_GAP}\d{{1,5}}(?:{_GAP}\d{{2,6}}){{1,3}}"
-    rf"|\(0?\d{{2,5}}\)(?:\s|{_BREAK})?\d{{3,4}}{_GAP}?\d{{3,4}}"
+    rf"|\(0?\d{{2,5}}\)(?:\s| ?{_BREAK})?\d{{3,4}}{_GAP}?\d{{3,4}}"
     rf"|0\d(?:(?:[ .]{{1,2}}|[ .]?{_BREAK})\d{{2}}){{4}}"
     rf"|0\d{{2,4}}(?:/|{_GAP})\d{{3,8}}(?:{_GAP}\d{{2,4}})*"
-    r"|555-\d{4}"
+    r"|\d{3}[\-.]\d{3}[\-.]\d{4}"
     r")(?![\w/*█]|[ \-.]?[*█]|-\d)"
 )
+#: Seven figures are a local number where a word for telephoning stands before them.
+LOCAL_PHONE = re.compile(r"(?<![\w/.\-+*█)])\d{3}-\d{4}(?![\w/*█]|[ \-.]?[*█]|-\d)")
+PHONE_WORD = re.compile(r"(?i)\b(?:tel|t[ée]l[ée]ph?on|phon|fax|call|rang|ring|rung|dial|mobil|cell|handy|ruf|anruf|appel|joign|llam|contact|number|nummer|num[ée]ro|at|unter|au|al)\w*[\s.:,\-]{0,12}(?:(?:facilitado|given|angegebene|no|nr|on|is|was|to|the|number|auf|unter|sur|le|al|n[°º])\b[\s.:,]*){0,3}$|[(;]\s*$")
 _ID_END = r"(?![\w*█]|-\d|/\d)"
 ID_LETTERS = re.compile(
     rf"[A-Za-z](?:[A-Za-z](?:{_DASH}?\d{{2}}{_DASH}?\d{{2}}{_DASH}?\d{{2}}{_DASH}?[A-Da-d]"
@@ -173,6 +242,28 @@ ID_DIGITS = re.compile(rf"\d{{3}}(?:{_DASH}\d{{2}}{_DASH}\d{{4}}|\d{{3}}-\d{{4}}
 DIGITS = re.compile(r"\d\d[\d .\-\n]{3,}")
 
 
+#: Words that make the number after them somebody's own, whatever its form.
+ID_WORD = re.compile(
+    r"(?i)(?:passport|reisepass|passeport|pasaporte|personalausweis|identity\s+card|identit[ée]|identidad|\bDNI|\bNI[EF]|national\s+insurance|versicherungsnummer|steuer(?:nummer|-?id\w*)|social\s+security|sécurité\s+sociale|seguridad\s+social|\btax)"
+    r"[\s\-]*(?:card|identification)?[\s\-]*(?:number|no|nr|num|nummer|id|número|numéro|n[°º])?[\s.:,#]{0,3}(?:is|was|ist|lautet|es|est)?[\s:]*$"
+)
+OWN_NUMBER = re.compile(rf"(?:[A-Z]{{1,2}}[ \-]?)?\d(?:[ \-./]?\d){{5,16}}[A-Z]?{_ID_END}")
+PREFIX = re.compile(r"(?:(?<![A-Za-z])[A-Z]{1,2}[ \-]?)?$")
+#: Check letters of the Spanish numbers, by remainder.
+CHECK_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+CHECKED = re.compile(rf"(?:\d{{8}}|[XYZ]-?\d{{7}})-?[A-HJ-NP-TV-Z]{_ID_END}|[12] ?\d\d ?[01]\d ?\d[\dAB] ?\d{{3}} ?\d{{3}} ?\d\d{_ID_END}")
+
+
+def _checks(number: str) -> bool:
+    """Check letter of Spanish numbers, check figures of French ones."""
+    n = re.sub(r"[ \-]", "", number)
+    if n[-1].isdigit():
+        return (int(n[:-2].replace("2A", "19").replace("2B", "18")) + int(n[-2:])) % 97 == 0 if not set(n) & set("AB") - set(n[5:7]) else False
+    head = n[:-1]
+    head = str("XYZ".index(head[0])) + head[1:] if head[0] in "XYZ" else head
+    return CHECK_LETTERS[int(head) % 23] == n[-1]
+
+
 def id_numbers(t: str) -> Iterator[tuple[int, int]]:
     for m in DIGITS.finditer(t):
         a = m.start()
@@ -181,6 +272,15 @@ def id_numbers(t: str) -> Iterator[tuple[int, int]]:
             if len(left) >= back and left[-back].isalpha() and (hit := ID_LETTERS.match(t, a - back)):
                 yield hit.span()
                 break
+        else:
+            checked = (back for back in (0, 1, 2) if not back or left[-back : len(left) - back + 1] in "XYZ12")
+            hit = next((h for back in checked if (h := CHECKED.match(t, a - back)) and _checks(h.group())), None)
+            if hit is None and OWN_NUMBER.match(t, a):
+                start = a - len(PREFIX.search(left).group())
+                if ID_WORD.search(t, max(0, start - 60), start):
+                    hit = OWN_NUMBER.match(t, start)
+            if hit:
+                yield hit.span()
     for m in ID_DIGITS.finditer(t):
         yield m.span()
 
@@ -188,7 +288,7 @@ def id_numbers(t: str) -> Iterator[tuple[int, int]]:
 #: What stands before numbers that are nobody's own.
 NOT_PERSONAL = re.compile(r"(?i)(?:account|acct|konto\w*|compte|cuenta|file|reference|exhibit|anlage|pi[eè]ce|documento|docket|order|dossier|az|aktenzeichen|bundle|tab|case|ref|invoice|rechnung|iban)\W{0,3}(?:no\b|nr\b|n\b|n°|nº)?[\W]{0,4}$")
 
-_NO = r"\d{1,4}\s?[a-d]?(?:\s?-\s?\d{1,4}\s?[a-d]?)?"
+_NO = r"\d{1,4}(?:\s?[a-d]|[A-Z])?(?:\s?-\s?\d{1,4}\s?[a-d]?)?"
 _CAP = r"[A-ZÀ-Þ][\w']*"
 STREETS = [
     re.compile(
@@ -197,10 +297,18 @@ STREETS = [
     re.compile(rf"\d{{1,4}}(?:\s?-\s?\d{{1,4}})?\s?(?:bis|ter|quater|[a-d])?,?\s+(?i:rue|quai|place|avenue|allée|allee|chemin|impasse|boulevard|cours|square|passage|route|sentier|bd|av\.)\s+(?:(?:de|du|des|la|le|les)\s+|de\s+l'|d'|l')*[A-ZÀ-Þ]"),
     re.compile(r"\b(?i:calle|plaza|avenida|avda\.|paseo|camino|ronda|travesía|carretera|c/)\s+(?:(?:del|de|la|las|los|el)\s+)*[A-ZÀ-Þ][\w']*(?:\s+[A-ZÀ-Þ][\w']*)*,?\s*(?:(?i:n\.?\s?[º°]|núm\.|n[úu]mero)\s*)?\d{1,4}\b(?![*█])"),
     re.compile(
-        r"(?<![\w])(?:(?:Am|An|Im|In|Auf|Zum|Zur|Unter|Hinter)\s+(?:(?:der|den|dem)\s+)?)?(?:[A-ZÄÖÜ][a-zäöüß]+(?:er|e|en)\s+)?(?:[A-ZÄÖÜ][\wäöüß-]*(?:stra(?:ß|ss)e|str\.|allee|weg|gasse|ring|platz|ufer|damm|speicher|markt|steig|chaussee)|Stra(?:ß|ss)e|Str\.|Allee|Weg|Gasse|Ring|Platz|Ufer|Damm|Speicher|Markt|Steig)\s+\d{1,4}\s?[a-d]?\b(?![*█])"
+        r"(?<![\w])(?:(?:Am|An|Im|In|Auf|Zum|Zur|Unter|Hinter)\s+(?:(?:der|den|dem)\s+)?)?(?:[A-ZÄÖÜ][a-zäöüß]+(?:er|e|en)\s+)?(?:[A-ZÄÖÜ][\wäöüß-]*(?:stra(?:ß|ss)e|str\.|allee|weg|gasse|ring|platz|ufer|damm|speicher|markt|steig|chaussee)|Stra(?:ß|ss)e|Str\.|Allee|Weg|Gasse|Ring|Platz|Ufer|Damm|Speicher|Markt|Steig)\s+\d{1,4}(?:\s?[a-d])?\b(?![*█])"
     ),
 ]
 
+#: Words of which each pattern needs one, folded: a text without them is not searched.
+STREET_WORDS = [
+    "street row lane road drive close hill avenue terrace walk mews square way gardens quay wharf crescent grove st ln rd dr cl ave av ter sq".split(),
+    [f" {w} " for w in "rue quai place avenue allée allee chemin impasse boulevard cours square passage route sentier bd av.".split()],
+    "calle plaza avenida avda paseo camino ronda travesía carretera c/".split(),
+    "strasse str. allee weg gasse ring platz ufer damm speicher markt steig chaussee".split(),
+]
+
 # ---------------------------------------------------------------- persons
 
 TITLES = set("Mr Mrs Ms Miss Mx Dr Prof Professor Sir Dame Herr Herrn Frau Mme Mlle Me Madame Monsieur Maître Sr Sra Srta Señor Señora Don Doña Doctor Doctora MR MRS MS DR Rechtsanwalt Rechtsanwältin".split())
@@ -210,10 +318,10 @@ PARTICLES = {"de", "du", "von", "van", "di", "da", "la", "le", "zu", "DE", "DU",
 #: Words that make a capitalised run something other than a person.
 NOT_PERSON = {x.casefold() for x in
     """Ltd Limited plc PLC AG GmbH KG SA SL LLP Inc Holdings Estates Cooperative Insurance Mutual Freight Reederei Bau Textil Société Energía
-    Transportes Authority Port Union Workers Ferry Municipality Trust Grain Bank Court Tribunal Family Commercial Supreme High Appeal Registry
+    Transportes Authority Port Union Workers Municipality Trust Grain Bank Court Tribunal Family Commercial Supreme High Appeal Registry
     Street Row Lane Road Drive Close Hill Avenue Terrace Walk Mews Square Way Gardens Quay Ave Rd Ln St Act Code Rules Ordinance Regulations
     Protection Evidence Civil Land Goods Welfare Carriage Insolvency Harbours Tenancies Reform Wages Carriage Exhibit Paragraph Section Page Version Arbeitsgericht
-    Landgericht Oberlandesgericht Amtsgericht Audiencia Provincial Cour Judiciaire Sala Senat Speicher Straße Torallee Calle Plaza Paseo Camino Avenida Viejo
+    Landgericht Oberlandesgericht Amtsgericht Audiencia Provincial Cour Judiciaire Sala Senat Speicher Straße Boulevard Via Allee Gasse Platz Calle Plaza Paseo Camino Avenida
     University Department Ministry Company Council Sons Brothers Partners Group Services Logistics
     Anlage Anexo Annexe Pièce Oberlandesgericht d'appel Juzgado Social Corrected Judgment Societe Energia Strasse St. Registrierung Kammer Chambre""".split()
 }
@@ -227,7 +335,7 @@ COMMON = set(
     Revision Zeuge Zeugin Zeugenaussage Angaben Rückfragen Rechtsstreit Ausweis Tel Fax Beschluss Beweislast Januar Februar März Mai Juni Juli Oktober Dezember
     Le La Les Un Une L' D' Il Elle Aux Au En Ont Par Joignable Attendu Vu Et ET ENTRE Entre Appelante Appelant Intimé Intimée Demanderesse Défendeur CA
     El Los Las Una Se Según Comparecieron Declaró Conforme Consta No Por Para Partes PARTES SAP Del Que Parte Contra
-    AND BETWEEN IN THE MATTER OF NOT DO ALL TIMES AT TO ON KLR VCA OC DOT REG RG HC FC CC AP NO ET OR BY""".split()
+    AND BETWEEN IN THE MATTER OF NOT DO ALL TIMES AT TO ON OC DOT REG RG HC FC CC AP NO ET OR BY""".split()
 )
 _TOKEN = r"[A-ZÀ-ÞŠŽ](?:'[A-ZÀ-Þ])?\w*(?:-[A-ZÀ-ÞŠŽ](?:'[A-ZÀ-Þ])?\w*)*"
 _DOTTED = r"(?:[A-ZÀ-Þ]|Mr|Mrs|Ms|Dr|Prof|Mme|Mlle|Sr|Sra|Srta|St|ST|MR|MRS|DR)\.(?=\s)"
@@ -237,6 +345,7 @@ RUN = re.compile(
 PIECE = re.compile(r"\S+")
 REVERSED = re.compile(rf",\s+(?P<given>{_TOKEN})(?:\s+[A-ZÀ-Þ]\.)?(?![\w*█])")
 MASKED = re.compile(r"[*█_…]|\.\.\.|\[|'?\w|@")
+STREET_END = re.compile(r"[a-zäöü](?:stra(?:ß|ss)e|allee|gasse|chaussee)$")
 CAPS_AFTER = re.compile(r"\s*(?:[—–-]|v\.? |vs\.? |\./\.|,? *(?:appel|intim|demand|défend|Kläg|Bekl)|(?:AND|ET|UND|Y|CONTRA|contra|gegen|and|et|und|y)\b|\n|$)")
 
 
@@ -291,7 +400,9 @@ _GLUED = set("'@.*█-/+&_0123456789abcdefghijklmnopqrstuvwxyzäöüß")
 def _judged(text: str, piece: list[tuple[str, int, int]], titled: bool, last: bool) -> Iterator[tuple[int, int]]:
     words = [t for t, _, _ in piece]
     end = piece[-1][2]
-    if any(_bare(w).casefold() in NOT_PERSON or "_" in w for w in words):  # "_" blacks out letters
+    if any(_bare(w).casefold() in NOT_PERSON or "_" in w or STREET_END.search(w) for w in words):  # "_" blacks out letters
+        return
+    if words[-1].isupper() and text[end : end + 1] == " " and text[end + 1 : end + 2].isdigit():  # a law report with its page
         return
     while words and words[-1] in PARTICLES:
         words.pop()
@@ -349,17 +460,26 @@ def detect(text: str | None) -> list[tuple[str, int, int]]:
     for m in PHONE.finditer(t):
         if not NOT_PERSONAL.search(t, max(0, m.start() - 30), m.start()):
             spans.append(("phone", m.start(), m.end()))
-    german, spanish = " der " in t or " die " in t or " ging an " in t, " el " in t or " los " in t or " del " in t
+    for m in LOCAL_PHONE.finditer(t):
+        if PHONE_WORD.search(t, max(0, m.start() - 40), m.start()):
+            spans.append(("phone", m.start(), m.end()))
+    for a, b in n.spelt:
+        if not NOT_PERSONAL.search(t, max(0, a - 30), a):
+            spans.append(("id_number" if ID_WORD.search(t, max(0, a - 60), a) else "phone", a, b))
+    low = t.casefold().replace("\n", " ")
     french = t.count(" les ") + t.count(" des ") + t.count(" du ") + t.count(" été ") > t.count(" the ") + t.count(" of ")
-    for p, used in zip(STREETS, (True, " du " in t or " le " in t or " des " in t or " au " in t, spanish, german), strict=True):
-        if used:
+    for p, words in zip(STREETS, STREET_WORDS, strict=True):
+        if any(w in low for w in words):
             spans += [("address", *m.span()) for m in p.finditer(t) if not m.start() or t[m.start() - 1] not in _BEFORE_STREET]
     spans += [("person", a, b) for a, b in persons(t, french)]
     out: list[tuple[str, int, int]] = []
-    taken: list[tuple[int, int]] = []
+    starts: list[int] = []  # of the disjoint items taken so far, in order, with their ends
+    ends: list[int] = []
     for kind, a, b in spans:  # in order of strictness
-        if not any(a < y and x < b for x, y in taken):
-            taken.append((a, b))
+        k = bisect_left(starts, b)
+        if not k or ends[k - 1] <= a:
+            starts.insert(k, a)
+            ends.insert(k, b)
             out.append((kind, n.source(a), n.source(b - 1) + 1))
     return sorted(out, key=lambda x: x[1])
 

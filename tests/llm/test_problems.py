@@ -267,3 +267,22 @@ def test_blacked_out_names_and_broken_numbers():
     text = "Faxes go to +44 (0)1632\n    960 364. He resides at 107 Upper Moss St. J. Orroux gave evidence."
     assert found(text) == [("phone", "+44 (0)1632\n    960 364"), ("address", "107 Upper Moss St"), ("person", "J. Orroux")]
     assert found("No answer on 01 99 00\n    45 20, so far.") == [("phone", "01 99 00\n    45 20")]
+
+
+def test_disguised_and_general_forms():
+    def found(text):
+        return [(kind, text[a:b]) for kind, a, b in pii.detect(text)]
+
+    assert found("Call zero two zero seven nine four six zero nine five eight now.") == [("phone", "zero two zero seven nine four six zero nine five eight")]
+    assert found("Rufen Sie null drei null eins zwei drei vier an.") == [("phone", "null drei null eins zwei drei vier")]
+    assert found("Her passport number is one two three four five six seven eight nine, she said.") == [("id_number", "one two three four five six seven eight nine")]
+    assert found("write to john dot smith at example dot com today") == [("email", "john dot smith at example dot com")]
+    assert found("phone +1 (212) 555-0100, 212-555-0101 or tel. 555-0102; pp. 100-1200") == [("phone", "+1 (212) 555-0100"), ("phone", "212-555-0101"), ("phone", "555-0102")]
+    assert found("passport 123456789, DNI 12345678Z, 12345678A and NIR 1 85 05 78 006 084 91") == [("id_number", "123456789"), ("id_number", "12345678Z"), ("id_number", "1 85 05 78 006 084 91")]
+    assert found("He left 221B Baker Street for Hauptstraße 5 in Berlin.") == [("address", "221B Baker Street"), ("address", "Hauptstraße 5")]
+    assert found("Ferry Miller met them on Sunset Boulevard near Via Roma; a sum of 123456789 was paid.") == [("person", "Ferry Miller")]
+
+
+def test_many_items_in_one_text():
+    text = "; ".join(f"tel. +44 20 7946 {i:04d}" for i in range(6000))
+    assert len(pii.detect(text)) == 6000
