@@ -28,8 +28,21 @@ DIFFERENCES = {
     9: {"AAA": "N", "AGA": "S", "AGG": "S", "TGA": "W"},
     10: {"TGA": "C"},
     12: {"CTG": "S"},
+    13: {"AGA": "G", "AGG": "G", "ATA": "M", "TGA": "W"},
+    14: {"AAA": "N", "AGA": "S", "AGG": "S", "TAA": "Y", "TGA": "W"},
+    16: {"TAG": "L"},
+    21: {"AAA": "N", "AGA": "S", "AGG": "S", "ATA": "M", "TGA": "W"},
+    22: {"TCA": "*", "TAG": "L"},
+    23: {"TTA": "*"},
+    24: {"AGA": "S", "AGG": "K", "TGA": "W"},
+    25: {"TGA": "G"},
+    26: {"CTG": "A"},
+}
+TABLE_NAMES = {
+    "Standard": 1, "Vertebrate Mitochondrial": 2, "Yeast Mitochondrial": 3, "Mold Mitochondrial": 4, "Invertebrate Mitochondrial": 5, "Ciliate Nuclear": 6,
+    "Echinoderm Mitochondrial": 9, "Euplotid Nuclear": 10, "Bacterial": 11, "Alternative Yeast Nuclear": 12, "Ascidian Mitochondrial": 13,
+    "Alternative Flatworm Mitochondrial": 14, "Chlorophycean Mitochondrial": 16, "Trematode Mitochondrial": 21,
 }
-TABLE_NAMES = {"Standard": 1, "Vertebrate Mitochondrial": 2, "Yeast Mitochondrial": 3, "Bacterial": 11}
 IUPAC = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT"}
 
 

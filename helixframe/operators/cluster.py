@@ -5,17 +5,23 @@ Pairs come from equi-joins on pieces of the sequences, never from comparing all
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions.editing import flat_bytes, with_distance
 from helixframe.operators.graph import connected_components
 from helixframe.operators.indexing import with_index
-from helixframe.runtime import cut
+from helixframe.runtime import cut, drop, growing
 
-#: A piece that more left records share is refined in another round of the join.
+#: A key that more left records share is refined in another round of the join.
 HOT = 400
+#: Single pieces of fewer letters meet too many records; keys are pairs of pieces then.
+SELECTIVE = 8
 
 
 def shift_edges(seqs: DataFrame, max_shift: int = 5) -> DataFrame:
@@ -25,17 +31,17 @@ def shift_edges(seqs: DataFrame, max_shift: int = 5) -> DataFrame:
     d = seqs.select("id", "seq", F.explode(F.sequence(F.lit(1), F.lit(max_shift))).alias("shift")).where(F.length("seq") > F.col("shift"))
     right = d.select(F.col("id").alias("src"), "shift", F.expr("substring(seq, shift + 1)").alias("key"))
     left = d.select(F.col("id").alias("dst"), "shift", F.expr("substring(seq, 1, length(seq) - shift)").alias("key"))
-    return right.join(left, ["shift", "key"]).select("src", "dst").distinct()
+    return right.join(growing(left), ["shift", "key"]).select("src", "dst").distinct()
 
 
 def clusters_by_size(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(cluster_id, id)`` for all nodes: components numbered from 0 by size, largest first, then
     by smallest id. Nodes without an edge are clusters of one."""
     comp = connected_components(edges, "src", "dst").select("id", "component")
-    lab = cut(nodes.select("id").join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+    lab = cut(nodes.select("id").join(growing(comp), "id", "left").select("id", F.coalesce("component", "id").alias("component")))
     size = lab.groupBy("component").agg((-F.count("*")).alias("minus"))
     num = with_index(size, ["minus", "component"], "cluster_id")
-    return lab.join(num, "component").select("cluster_id", "id")
+    return lab.join(growing(num), "component").select("cluster_id", "id")
 
 
 def shift_clusters(seqs: DataFrame, max_shift: int = 5, merge_unknown: bool = False) -> DataFrame:
@@ -45,54 +51,117 @@ def shift_clusters(seqs: DataFrame, max_shift: int = 5, merge_unknown: bool = Fa
     return clusters_by_size(seqs, shift_edges(s, max_shift))
 
 
-def _index(rows: DataFrame, d: int) -> DataFrame:
-    """Pieces of the left records: where they start (``at``), width, number and letters."""
-    pieces = f"transform(sequence(0, {d}), i -> named_struct('i', i, 'at', i * w))"
-    x = rows.withColumn("w", F.floor(F.length("s") / (d + 1)).cast("int"))
-    x = x.withColumn("x", F.explode(F.expr(f"if(w = 0, array(named_struct('i', 0, 'at', 0)), {pieces})")))
-    return x.select("a", "sa", "s", "g", "w", "x.i", "x.at", F.expr("substring(s, x.at + 1, w)").alias("p"))
-
-
-def _probe(rows: DataFrame, d: int) -> DataFrame:
-    """Stretches of the right records at which such a piece may stand unchanged."""
-    widths = F.expr(f"sequence(int(greatest(length(s) - {d}, 0) / {d + 1}), int((length(s) + {d}) / {d + 1}))")
-    places = f"flatten(transform(sequence(0, {d}), i -> transform(sequence(-i, i), s -> named_struct('i', i, 'at', i * w + s))))"
-    x = rows.withColumn("w", F.explode(widths))
-    x = x.withColumn("x", F.explode(F.expr(f"if(w = 0, array(named_struct('i', 0, 'at', 0)), {places})")))
-    return x.where("x.at >= 0 and x.at + w <= length(s)").select("b", "sb", "s", "g", "w", "x.i", "x.at", F.expr("substring(s, x.at + 1, w)").alias("p"))
+def _piece_keys(d: int, probe: bool):
+    """(id, s, g) -> (id, g, key, at, to, w): keys of the pieces of left records, or of the stretches
+    of right records at which such pieces may stand unchanged. ``to`` is -1 for a single piece."""
+    mul = np.uint64(0x9E3779B97F4A7C15)
+
+    def mix(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(31))) * mul
+        return x ^ (x >> np.uint64(29))
+
+    def plans(length: int) -> tuple[int, int]:
+        """Pieces in a key and letters in a piece for a left record of so many letters."""
+        one, two = length // (d + 1), length // (d + 2)
+        return (2, two) if one < SELECTIVE and two else (1, one)
+
+    def places(pieces: int, w: int) -> list[tuple[int, int, int, int]]:
+        """(i, j, at, to) of a key; single pieces have j = to = -1."""
+        moves = (lambda k: range(-k, k + 1)) if probe else (lambda k: (0,))
+        if pieces == 1:
+            return [(i, -1, i * w + x, -1) for i in range(d + 1 if w else 1) for x in (moves(i) if w else (0,))]
+        return [(i, j, i * w + x, j * w + x + y) for i in range(d + 2) for j in range(i + 1, d + 2) for x in moves(i) for y in moves(j - 1 - i)]
+
+    def keys(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        data, offs = flat_bytes(batch.column("s"))
+        size = np.diff(offs)
+        group = batch.column("g").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        # hash of any stretch from hashes of prefixes
+        base, upto = np.uint64(0x5851F42D4C957F2D), np.zeros(len(data) + 1, np.uint64)
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), base)]), dtype=np.uint64)
+        inverse = np.uint64(pow(int(base), -1, 1 << 64))
+        back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), inverse)]), dtype=np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=upto[1:], dtype=np.uint64)
+        stretch = lambda a, w: (upto[a + w] - upto[a]) * back[a]
+        wanted: dict[tuple[int, int], list[int]] = {}
+        for n in np.unique(size).tolist():
+            for plan in {plans(m) for m in (range(max(n - d, 0), n + d + 1) if probe else (n,))}:
+                wanted.setdefault(plan, []).append(n)
+        for (pieces, w), sizes in sorted(wanted.items()):
+            mine = np.nonzero(np.isin(size, sizes))[0]
+            spots = np.array(places(pieces, w), np.int64)
+            step = max(1, (1 << 20) // len(spots))
+            for lo in range(0, len(mine), step):
+                rows = np.repeat(mine[lo : lo + step], len(spots))
+                i, j, at, to = np.tile(spots, (len(mine[lo : lo + step]), 1)).T
+                ok = (at >= 0) & (at + w <= size[rows]) & ((j < 0) | ((to >= at + w) & (to + w <= size[rows])))
+                rows, i, j, at, to = rows[ok], i[ok], j[ok], at[ok], to[ok]
+                key = stretch(offs[rows] + at, w)
+                if pieces == 2:
+                    key = mix(key) + stretch(offs[rows] + to, w)
+                tag = ((i * 64 + j + 1) * 8 + pieces) * 4096 + w
+                key = mix(mix(key + mix(tag.astype(np.uint64))) ^ mix(group[rows]))
+                take = pa.array(rows)
+                cols = [batch.column("id").take(take), batch.column("g").take(take), pa.array(key.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(to.astype(np.int32)), pa.array(np.full(len(rows), w, np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "g", "key", "at", "to", "w"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from keys(batch)
+
+    return run
+
+
+def _keyed(rows: DataFrame, d: int, probe: bool) -> DataFrame:
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "s", "g").mapInArrow(_piece_keys(d, probe), f"id {kind}, g long, key long, at int, to int, w int")
 
 
 def edit_distance_join(left: DataFrame, right: DataFrame, d: int, hot: int = HOT) -> DataFrame:
-    """``(a, b, dist)`` for ``left(a, sa)`` and ``right(b, sb)`` within ``d`` edits.
-
-    Left records are cut into d + 1 pieces of ``length // (d + 1)`` letters. At most d edits leave
-    one piece unchanged, moved by no more than its number, so probes of the right side at those
-    places meet it in an equi-join; ``levenshtein`` with cut-off verifies. Left records shorter
-    than d + 1 have no piece and meet the right records of at most 2 d letters by an empty key.
-
-    A piece that more than ``hot`` left records share leaves the join. Its records are joined
-    again without it: what remains of two of them is within d edits too. This repeats until no
-    piece is hot, so nothing is dropped. Null sequences match nothing.
+    """``(a, b, dist)`` for ``left(a, sa)`` and ``right(b, sb)`` within ``d`` edits, of plain text.
+
+    Left records are cut into d + 1 pieces. At most d edits leave one unchanged, moved by no more
+    than its number, so probes of the right side at those places meet it in an equi-join. Where
+    such pieces have fewer than ``SELECTIVE`` letters, d + 2 pieces are cut, of which two stay
+    unchanged: counting pieces less edits from the left, take the last piece that brings the count
+    to 1 and the last that brings it to 2. Before the first, i, lie exactly i edits, between it and
+    the second, j, exactly j - 1 - i, which bounds both moves; the key is both pieces. Left
+    records shorter than d + 1 meet the right records of at most 2 d letters by an empty key.
+
+    A key that more than ``hot`` left records share (and sixteen times as many as usual) leaves
+    the join. Its records are joined again without its pieces: what remains of two of them is
+    within d edits too. This repeats until no key is hot, so nothing is dropped. Pairs are made
+    distinct before any text is carried, and verified in batches. Null sequences match nothing.
     """
-    key, found = ["g", "w", "i", "p"], []
+    found = []
     zero = F.lit(0).cast("long").alias("g")
-    rows = left.select("a", "sa", F.col("sa").alias("s"), zero).where("sa is not null")
-    probes = right.select("b", "sb", F.col("sb").alias("s"), zero).where("sb is not null")
+    rows = left.select(F.col("a").alias("id"), F.col("sa").alias("s"), zero).where("s is not null")
+    probes = right.select(F.col("b").alias("id"), F.col("sb").alias("s"), zero).where("s is not null")
     while True:
-        index, probe = _index(rows, d), _probe(probes, d)
-        busy = cut(index.where("w > 0").groupBy(*key).count().where(F.col("count") > hot).select(*key))
+        index, probe = _keyed(rows, d, False), _keyed(probes, d, True)
+        count = index.where("w > 0").groupBy("key").count()
+        usual = count.agg(F.avg("count")).first()[0] or 0.0
+        busy = cut(count.where(F.col("count") > max(float(hot), 16 * usual)).select("key"))
         none = busy.isEmpty()
-        i, p = (index, probe) if none else (index.join(busy, key, "left_anti"), probe.join(busy, key, "left_anti"))
-        found.append(i.select("a", "sa", *key).join(p.select("b", "sb", *key), key).select("a", "b", F.levenshtein("sa", "sb", d).alias("dist")).where("dist >= 0"))
+        i, p = index.select(F.col("id").alias("a"), "key"), probe.select(F.col("id").alias("b"), "key")
+        if not none:
+            i, p = i.join(growing(busy), "key", "left_anti"), p.join(growing(busy), "key", "left_anti")
+        found.append(cut(i.join(growing(p), "key").select("a", "b").distinct()))
         if none:
             break
-        rest, group = F.expr("concat(substring(s, 1, at), substring(s, at + w + 1))"), F.xxhash64(*key)
+        one = F.concat(F.expr("substring(s, 1, at)"), F.expr("substring(s, at + w + 1, if(to < 0, length(s), to - at - w))"))
+        rest = F.concat(one, F.expr("if(to < 0, '', substring(s, to + w + 1))")).alias("s")
 
-        def again(side: DataFrame, own: list[str], busy: DataFrame = busy, rest: Column = rest, group: Column = group) -> DataFrame:
-            return cut(side.join(busy, key).select(*own, rest.alias("s"), group.alias("g")).distinct())
+        def again(side: DataFrame, texts: DataFrame, busy: DataFrame = busy, rest: Column = rest) -> DataFrame:
+            # a record may stand in several groups, each with another rest
+            hit = side.join(growing(busy), "key")
+            return cut(hit.join(growing(texts.select("id", "g", "s")), ["id", "g"]).select("id", rest, F.col("key").alias("g")).distinct())
 
-        rows, probes = again(index, ["a", "sa"]), again(probe, ["b", "sb"])
-    return reduce(DataFrame.union, found).distinct()
+        rows, probes = again(index, rows), again(probe, probes)
+    pairs = reduce(DataFrame.union, found)
+    pairs = pairs.distinct() if len(found) > 1 else pairs
+    texts = pairs.join(growing(left.select("a", "sa")), "a").join(growing(right.select("b", "sb")), "b")
+    return with_distance(texts.select("a", "b", "sa", "sb"), d)
 
 
 def lev_pairs(seqs: DataFrame, d: int = 5) -> DataFrame:
@@ -113,39 +182,67 @@ def nearest_seed(seqs: DataFrame, seeds: DataFrame, bound: int) -> DataFrame:
     return best.select(F.col("a").alias("id"), F.col("m.b").alias("seed_id"), F.col("m.dist").alias("dist"))
 
 
-def assign_to_clusters(seqs: DataFrame, clusters: DataFrame, threshold: int = 10) -> DataFrame:
-    """``(id, cluster_id, dist)``: the cluster with the nearest member within ``threshold``; among
-    equals the one listed first. ``clusters`` is (ord, cluster_id, seq)."""
-    first = clusters.groupBy("cluster_id").agg(F.min("ord").alias("listed"))
-    m = cut(clusters.join(first, "cluster_id").groupBy(F.col("seq").alias("sb")).agg(F.min(F.struct("listed", "cluster_id")).alias("b")).select("b", "sb"))
-    hits = edit_distance_join(seqs.select(F.col("id").alias("a"), F.col("seq").alias("sa")), m, threshold)
-    best = hits.groupBy("a").agg(F.min(F.struct("dist", "b")).alias("m"))
-    return best.select(F.col("a").alias("id"), F.col("m.b.cluster_id").alias("cluster_id"), F.col("m.dist").alias("dist"))
+def sampled_pairs(seqs: DataFrame, d: int = 5, share: float = 0.5, seed: int = 7) -> DataFrame:
+    """``(src, dst, dist)`` of two samples of the sequences, each of about ``share`` of them by
+    hash, within ``d`` edits; src and dst may come in either order and be equal."""
+    part = lambda k: F.pmod(F.xxhash64("id", F.lit(seed + k)), F.lit(1 << 20)) < int(share * (1 << 20))
+    a = seqs.where(part(0)).select(F.col("id").alias("a"), F.col("seq").alias("sa"))
+    b = seqs.where(part(1)).select(F.col("id").alias("b"), F.col("seq").alias("sb"))
+    return edit_distance_join(a, b, d).select(F.col("a").alias("src"), F.col("b").alias("dst"), "dist")
 
 
-def leader_clusters(seqs: DataFrame, d: int, order: str = "id") -> DataFrame:
+def assign_to_clusters(seqs: DataFrame, clusters: DataFrame, threshold: int = 10, most: int | None = None, seed: int = 7) -> DataFrame:
+    """``(id, cluster_id, dist)``: the cluster with the nearest member within ``threshold``; among
+    equals the one listed first. ``clusters`` is (ord, cluster_id, seq). With ``most`` each cluster
+    is known by so many of its members, drawn by hash; ranks are cut before the shuffle too."""
+    first = clusters.groupBy("cluster_id").agg(F.min("ord").alias("listed"))
+    if most is not None:
+        w = Window.partitionBy("cluster_id").orderBy(F.xxhash64("ord", F.lit(seed)), "ord")
+        clusters = clusters.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
+    m = clusters.join(growing(first), "cluster_id").groupBy(F.col("seq").alias("sb")).agg(F.min(F.struct("listed", "cluster_id")).alias("c"))
+    m = with_index(m.where("sb is not null"), ["sb"], "b")
+    m = cut(m.withColumn("b", F.col("b").cast("long")))
+    hits = edit_distance_join(seqs.select(F.col("id").alias("a"), F.col("seq").alias("sa")), m.select("b", "sb"), threshold).join(growing(m.select("b", "c")), "b")
+    best = hits.groupBy("a").agg(F.min(F.struct("dist", "c")).alias("m"))
+    return best.select(F.col("a").alias("id"), F.col("m.c.cluster_id").alias("cluster_id"), F.col("m.dist").alias("dist"))
+
+
+def leader_clusters(seqs: DataFrame, d: int = 10, order: Column | str | None = None, most: int | None = None, seed: int = 7) -> DataFrame:
     """``(id, leader)``: greedy leaders in the order of ``order``, every sequence closer than ``d``
-    to an earlier leader follows the nearest one.
+    to a leader follows the nearest one.
 
     The sequential scan makes a sequence a leader unless an earlier leader is nearer than d. Its
     result is the first independent set of the graph of near pairs, found in rounds: sequences
     all of whose earlier neighbours are settled followers lead, their later neighbours follow.
+    Without ``order`` sequences are shuffled by hash, as the scan asks for; then the rounds, which
+    are the length of the longest chain of ascending neighbours at most, are few (logarithmic in
+    the rows). With ``most`` the scan ends after so many leaders, and sequences near none of them
+    get no row.
     """
-    near = cut(lev_pairs(seqs, d - 1).select("src", "dst", "dist"))
-    state = cut(seqs.select("id").distinct().withColumn("lead", F.lit(None).cast("boolean")))
+    by = F.xxhash64("id", F.lit(seed)) if order is None else (F.col(order) if isinstance(order, str) else order)
+    rank = F.struct(by.alias("by"), F.col("id").alias("own"))
+    ranks = cut(seqs.select("id", rank.alias("r")).distinct())
+    near = lev_pairs(seqs, d - 1).select("src", "dst", "dist")
+    near = near.join(growing(ranks.toDF("src", "rs")), "src").join(growing(ranks.toDF("dst", "rd")), "dst")
+    up = F.col("rs") < F.col("rd")
+    near = cut(near.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("dst"), "dist"))
+    state = cut(ranks.select("id").withColumn("lead", F.lit(None).cast("boolean")))
     while True:
-        before = near.join(state.select(F.col("id").alias("src"), "lead"), "src").groupBy("dst").agg(
+        before = near.join(growing(state.select(F.col("id").alias("src"), "lead")), "src").groupBy("dst").agg(
             F.max(F.coalesce("lead", F.lit(False))).alias("led"), F.max(F.col("lead").isNull()).alias("open")
         )
-        s = state.join(before, state["id"] == before["dst"], "left")
+        s = state.join(growing(before), state["id"] == before["dst"], "left")
         now = F.when(F.col("led"), False).when(~F.coalesce("open", F.lit(False)), True)
-        state = cut(s.select("id", F.coalesce("lead", now).alias("lead")))
+        old, state = state, cut(s.select("id", F.coalesce("lead", now).alias("lead")))
+        drop(old)
         if state.where("lead is null").isEmpty():
             break
     leaders = state.where("lead").select("id")
-    both = near.union(near.select("dst", "src", "dist")).join(leaders.withColumnRenamed("id", "src"), "src", "left_semi")
+    if most is not None:
+        leaders = cut(leaders.join(growing(ranks), "id").orderBy("r").limit(most).select("id"))
+    both = near.select("src", "dst", "dist").union(near.select("dst", "src", "dist")).join(growing(leaders.withColumnRenamed("id", "src")), "src", "left_semi")
     best = both.groupBy("dst").agg(F.min(F.struct("dist", "src")).alias("m")).select(F.col("dst").alias("id"), F.col("m.src").alias("leader"))
-    return leaders.select("id", F.col("id").alias("leader")).union(best.join(leaders, "id", "left_anti"))
+    return leaders.select("id", F.col("id").alias("leader")).union(best.join(growing(leaders), "id", "left_anti"))
 
 
 def spectral_clusters(edges: DataFrame, k: int, iterations: int = 20) -> DataFrame:
@@ -155,13 +252,21 @@ def spectral_clusters(edges: DataFrame, k: int, iterations: int = 20) -> DataFra
     return PowerIterationClustering(k=k, maxIter=iterations, weightCol="weight", initMode="degree").assignClusters(edges).select("id", "cluster")
 
 
-def profile_clusters(seqs: DataFrame, clusters: int, k: int = 3, seed: int = 7) -> DataFrame:
-    """``(id, cluster)`` by bisecting k-means on counts of k-letter words."""
+def profile_clusters(seqs: DataFrame, clusters: int = 3000, k: int = 3, seed: int = 7) -> DataFrame:
+    """``(id, cluster)`` by bisecting k-means on counts of k-letter words; at most ``clusters``."""
     from pyspark.ml.clustering import BisectingKMeans
     from pyspark.ml.feature import CountVectorizer
 
     from helixframe.operators.kmers import window_array
 
     words = seqs.select("id", window_array(F.col("seq"), k, 1).alias("words")).where("words is not null")
-    v = CountVectorizer(inputCol="words", outputCol="features", vocabSize=4**k).fit(words).transform(words)
+    v = CountVectorizer(inputCol="words", outputCol="features", vocabSize=5**k).fit(words).transform(words)
     return BisectingKMeans(k=clusters, seed=seed).fit(v).transform(v).select("id", F.col("prediction").alias("cluster"))
+
+
+def ordered_by_effect(members: DataFrame, stats: DataFrame) -> DataFrame:
+    """``(place, cluster, anchor, effect_size_bin)`` of ``members(cluster, anchor)``: by cluster,
+    then largest effect, nulls last, then text; numbered from 0 over range partitions."""
+    d = members.join(growing(stats.select("anchor", "effect_size_bin")), "anchor", "left")
+    d = d.withColumn("_minus", F.coalesce(-F.col("effect_size_bin"), F.lit(float("inf"))))
+    return with_index(d, ["cluster", "_minus", "anchor"], "place").select("place", "cluster", "anchor", "effect_size_bin")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators.indexing import with_index
+from helixframe.runtime import cut, growing, with_totals
 
 
 def positions(ordering: DataFrame) -> DataFrame:
@@ -27,7 +28,7 @@ def position_kmers(ordering: DataFrame) -> DataFrame:
 
 def long_features(ordering: DataFrame, embeddings: DataFrame) -> DataFrame:
     """``(sample_name, position, dim, value)``; dims count from 1. K-mers without embedding drop out."""
-    d = positions(ordering).join(embeddings, "kmer")
+    d = positions(ordering).join(growing(embeddings), "kmer")
     return d.select("sample_name", "position", F.posexplode("embedding").alias("d", "v")).select(
         "sample_name", "position", (F.col("d") + 1).alias("dim"), F.col("v").cast("double").alias("value")
     )
@@ -55,14 +56,45 @@ def first_clusters(ordering: DataFrame, embeddings: DataFrame, n: int = 200) ->
     return long_features(ordering, embeddings).where(F.col("position") < n)
 
 
+def sparse_rows(long: DataFrame, feature: str = "feature") -> tuple[DataFrame, DataFrame]:
+    """``(sample_name, indices, vals, width)`` with ascending indices, and ``(feature, i)``, the
+    number of each feature by name. Of repeated values of a sample the largest counts."""
+    names = cut(with_index(long.select(feature).distinct(), [feature], "i").withColumn("i", F.col("i").cast("int")))
+    width = names.agg(F.count("*").cast("int").alias("width"))
+    one = long.join(growing(names), feature).groupBy("sample_name", "i").agg(F.max("value").alias("value"))
+    got = F.array_sort(F.collect_list(F.struct("i", "value")))
+    per = one.groupBy("sample_name").agg(got.alias("x")).select("sample_name", F.col("x.i").alias("indices"), F.col("x.value").alias("vals"))
+    return with_totals(per, width), names
+
+
 def vectors(long: DataFrame, feature: str = "feature") -> DataFrame:
     """``(sample_name, features)``: one dense array for each sample in the order of the feature
-    names; missing values are 0."""
-    names = long.select(feature).distinct()
-    num = with_index(names, [feature], "i").withColumn("i", F.col("i").cast("int"))
-    width = num.agg(F.count("*").cast("int").alias("w")).withColumn("one", F.lit(1))
-    per = long.join(num, feature).groupBy("sample_name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("i", "value")))).alias("m")).withColumn("one", F.lit(1))
-    return per.join(width, "one").select("sample_name", F.expr("transform(sequence(0, w - 1), i -> coalesce(try_element_at(m, i), 0D))").alias("features"))
+    names; missing values are 0. The gaps between the values present are filled in one pass."""
+    rows, _ = sparse_rows(long, feature)
+    gap = "array_repeat(0D, {} - if(k = 0, 0, indices[k - 1] + 1))"
+    parts = F.expr(f"flatten(transform(indices, (i, k) -> concat({gap.format('i')}, array(vals[k]))))")
+    return rows.select("sample_name", F.concat(parts, F.expr("array_repeat(0D, width - indices[size(indices) - 1] - 1)")).alias("features"))
+
+
+def prefixed_components(ordering: DataFrame, loadings: DataFrame) -> DataFrame:
+    """``(sample_name, feature, value)``: the loadings of the k-mer at each position of a sample,
+    named ``cluster_{p}_PC_{i}``; the wide table of samples by components in long form."""
+    name = F.concat(F.lit("cluster_"), F.col("position"), F.lit("_PC_"), F.col("pc"))
+    return positions(ordering).join(growing(loadings), "kmer").select("sample_name", name.alias("feature"), F.col("loading").alias("value"))
+
+
+def feature_parts(df: DataFrame, feature: str = "feature") -> DataFrame:
+    """Adds ``position`` and ``dim`` taken from names ``cluster_{p}_{kind}_{d}``; null where a name
+    has another form."""
+    part = lambda i: F.nullif(F.regexp_extract(feature, r"^cluster_(\d+)_[A-Za-z]+_(\d+)$", i), F.lit("")).cast("long")
+    return df.withColumn("position", part(1)).withColumn("dim", part(2))
+
+
+def annotated(coefs: DataFrame, ordering: DataFrame) -> DataFrame:
+    """Coefficients with ``position``, ``dim`` and ``kmers``, the k-mers at that position; features
+    of another form, as the intercept, keep nulls."""
+    kmers = position_kmers(ordering).select(F.col("position").cast("long").alias("position"), "kmers")
+    return feature_parts(coefs).join(kmers, "position", "left")
 
 
 def principal_components(embeddings: DataFrame, n: int = 10, scale: bool = True, drop_first: bool = False) -> tuple[DataFrame, list[float]]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.sequence import reverse_complement
 from helixframe.operators.indexing import with_index
+from helixframe.runtime import growing
 
 
 def window_array(seq: Column, k: int, step: int, last: int = 0) -> Column:
@@ -21,6 +22,24 @@ def window_array(seq: Column, k: int, step: int, last: int = 0) -> Column:
     return F.when(n >= 0, F.when(F.octet_length(seq) == F.length(seq), by_bytes).otherwise(by_letters))
 
 
+#: Letters of a piece into which long records are cut before their windows are listed.
+CHUNK = 1 << 16
+
+
+def chunks(df: DataFrame, step: int, beyond: int) -> DataFrame:
+    """Records cut into pieces ``seq`` that start at ``off``, a multiple of ``step``, and reach
+    ``beyond - step`` letters into the next, so that no window of ``beyond`` letters is lost and
+    the windows of a whole chromosome never stand in one array."""
+    size = step * -(-CHUNK // step)
+    keep = [c for c in df.columns if c != "seq"]
+    offs = F.explode(F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(size)))
+    d = df.where("seq is not null").select(*keep, "seq", offs.alias("off"))
+    length = F.lit(size + beyond - step)
+    by_bytes = F.substring(F.col("seq").cast("binary"), F.col("off") + 1, length).cast("string")
+    piece = F.when(F.octet_length("seq") == F.length("seq"), by_bytes).otherwise(F.substring(F.col("seq"), F.col("off") + 1, length))
+    return d.select(*keep, "off", piece.alias("seq"))
+
+
 def windows(df: DataFrame, k: int = 27, step: int = 1, both_strands: bool = False) -> DataFrame:
     """One row for each window: all columns but seq, ``strand``, ``start``, ``end``, ``kmer``.
     Records shorter than k, empty and null ones give no rows."""
@@ -28,8 +47,9 @@ def windows(df: DataFrame, k: int = 27, step: int = 1, both_strands: bool = Fals
     if both_strands:
         d = d.unionByName(df.withColumn("seq", reverse_complement("seq")).withColumn("strand", F.lit("-")))
     keep = [c for c in d.columns if c != "seq"]
-    w = d.select(*keep, F.posexplode(window_array(F.col("seq"), k, step)).alias("i", "kmer"))
-    return w.select(*keep, (F.col("i") * step).alias("start"), (F.col("i") * step + k).alias("end"), "kmer")
+    w = chunks(d, step, k).select(*keep, "off", F.posexplode(window_array(F.col("seq"), k, step)).alias("i", "kmer"))
+    start = F.col("off") + F.col("i") * step
+    return w.select(*keep, start.alias("start"), (start + k).alias("end"), "kmer")
 
 
 def motifs(df: DataFrame, n: int = 9) -> DataFrame:
@@ -46,7 +66,7 @@ def distinct_kmers(df: DataFrame, k: int, step: int | None = None) -> DataFrame:
 
 def kmer_ordering(df: DataFrame, k: int, step: int | None = None) -> DataFrame:
     """``(record_id, kmer, kmer_id, start, end)`` of every window."""
-    return windows(df, k, step or k).join(distinct_kmers(df, k, step), "kmer").select("record_id", "kmer", "kmer_id", "start", "end")
+    return windows(df, k, step or k).join(growing(distinct_kmers(df, k, step)), "kmer").select("record_id", "kmer", "kmer_id", "start", "end")
 
 
 def anchor_hits(df: DataFrame, anchors: DataFrame, size: int = 5, k: int | None = None) -> DataFrame:
@@ -63,7 +83,14 @@ def anchor_hits(df: DataFrame, anchors: DataFrame, size: int = 5, k: int | None
         k = row["k"]
     wanted = anchors.select("anchor").union(anchors.select(reverse_complement("anchor"))).distinct()
     strands = F.explode(F.array(F.struct(F.col("seq").alias("s"), F.lit(False).alias("rc")), F.struct(reverse_complement("seq").alias("s"), F.lit(True).alias("rc"))))
-    d = df.select("record_id", strands.alias("x")).select("record_id", "x.s", "x.rc")
-    w = d.select("record_id", "s", "rc", F.posexplode(window_array(F.col("s"), k, 1, 1)).alias("i", "anchor"))
-    target = F.substring(F.col("s"), F.col("i") + k + 1, F.lit(size))
-    return w.join(wanted, "anchor", "left_semi").select("record_id", "anchor", target.alias("target"), F.col("rc").alias("reverse_complement"))
+    d = df.select("record_id", strands.alias("x")).select("record_id", "x.rc", F.col("x.s").alias("seq"))
+    # each window brings its own target along, so that no record is carried into the join
+    d = chunks(d, 1, k + max(size, 1))
+    starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - k - 1, F.lit(0)))
+    cut = F.transform(F.array(F.col("seq").cast("binary")), lambda b: F.transform(starts, lambda i: F.substring(b, i + 1, F.lit(k + size)).cast("string")))[0]
+    letters = F.transform(starts, lambda i: F.substring(F.col("seq"), i + 1, F.lit(k + size)))
+    w = F.when(F.length("seq") > k, F.when(F.octet_length("seq") == F.length("seq"), cut).otherwise(letters))
+    w = d.select("record_id", "rc", "off", F.posexplode(w).alias("i", "w"))
+    # a window that starts in the overlap belongs to the next piece
+    w = w.where(F.col("i") < CHUNK).select("record_id", "rc", F.substring("w", 1, k).alias("anchor"), F.expr(f"substring(w, {k + 1})").alias("target"))
+    return w.join(wanted, "anchor", "left_semi").select("record_id", "anchor", "target", F.col("rc").alias("reverse_complement"))

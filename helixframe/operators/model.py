@@ -2,57 +2,104 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators import splits
+from helixframe.operators.features import sparse_rows, vectors
+from helixframe.operators.ranking import distributed_rank
 from helixframe.operators.splits import uniform
-from helixframe.runtime import cut
+from helixframe.runtime import cut, growing
+
+#: Classes that come to the driver at most; a label of more is no label for such a model.
+MAX_CLASSES = 200
+#: Rows of a task of a fit.
+ROWS = 2000
+
+
+def classes_of(df: DataFrame, label: str, most: int = MAX_CLASSES) -> list[str]:
+    """The classes in order, few by definition: more than ``most`` are an error."""
+    found = [r[0] for r in df.select(F.col(label).cast("string").alias("c")).where("c is not null").distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{label} has more than {most} classes")
+    return sorted(found)
 
 
 def labelled(df: DataFrame, features: str, label: str) -> tuple[DataFrame, list[str]]:
-    """Vectors and numeric labels; the classes, in order, are few and come to the driver."""
-    classes = [r[0] for r in df.select(F.col(label).cast("string")).distinct().orderBy(label).collect()]
-    at = F.array_position(F.array(*map(F.lit, classes)), F.col(label).cast("string")) - 1
-    return df.withColumn("x", array_to_vector(features)).withColumn("y", at.cast("double")), classes
+    """Vectors ``x`` and numeric labels ``y``; rows without a label are left out."""
+    classes = classes_of(df, label)
+    at = F.array_position(F.array(*map(F.lit, classes or [""])), F.col(label).cast("string")) - 1
+    return df.where(F.col(label).isNotNull()).withColumn("x", array_to_vector(features)).withColumn("y", at.cast("double")), classes
 
 
 def _lasso(penalty: float, iterations: int) -> LogisticRegression:
     return LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", elasticNetParam=1.0, regParam=penalty, standardization=True, maxIter=iterations)
 
 
-def fit_lasso(df: DataFrame, key: str, features: str, label: str, folds: int = 3, penalties: int = 5, iterations: int = 30):
+def penalty_path(d: DataFrame, n: int = 10, ratio: float = 0.01) -> list[float]:
+    """Descending penalties from the data: from the least at which all coefficients are 0, which
+    is the largest class share times distance of the class mean from the mean in deviations,
+    down to ``ratio`` of it, evenly in logarithms. One pass gathers a mean for each class."""
+    every = d.select(Summarizer.metrics("mean", "std", "count").summary(F.col("x")).alias("s")).select("s.mean", "s.std", "s.count").first()
+    mean, std, total = every["mean"].toArray(), every["std"].toArray(), every["count"]
+    per = d.groupBy("y").agg(Summarizer.mean(F.col("x")).alias("m"), F.count("*").alias("n")).collect()
+    scale = np.where(std > 0, std, np.inf)
+    top = max([float(np.max(r["n"] / total * np.abs(r["m"].toArray() - mean) / scale)) for r in per if total] or [0.0])
+    return [top * ratio ** (i / max(n - 1, 1)) for i in range(n)] if top > 0 else [1.0]
+
+
+def fit_lasso(df: DataFrame, key: str, features: str, label: str, folds: int = 3, penalties: int = 10, iterations: int = 50, parallel: int = 8):
     """Multinomial lasso at the penalty of best cross-validated accuracy (the larger of equals).
 
-    Folds come from a hash of ``key``; the path is log-spaced between 0.2 and 0.002. Returns the
-    model, the classes and the chosen penalty; None if there are fewer than two classes.
+    Folds come from a hash of ``key``, the penalties from :func:`penalty_path`. Returns the model,
+    the classes and the chosen penalty; None if there are fewer than two classes.
     """
     d, classes = labelled(df, features, label)
     if len(classes) < 2:
         return None
     d = cut(d.withColumn("fold", F.floor(uniform(F.col(key), 1) * folds)).select("x", "y", "fold"))
-    path = [0.2 * math.exp(-i * math.log(100) / max(penalties - 1, 1)) for i in range(penalties)]
-    scores = []
-    for p in path:
-        right = total = 0
-        for f in range(folds):
-            m = _lasso(p, iterations).fit(d.where(F.col("fold") != f))
-            row = m.transform(d.where(F.col("fold") == f)).agg(F.sum((F.col("prediction") == F.col("y")).cast("int")).alias("r"), F.count("*").alias("n")).first()
-            right, total = right + (row["r"] or 0), total + row["n"]
-        scores.append(right / total if total else 0.0)
-    best = path[scores.index(max(scores))]
-    return _lasso(best, iterations).fit(d), classes, best
-
-
-def coefficients(spark, model, classes: list[str], names: list[str]) -> DataFrame:
-    """``(feature, class, coefficient)``, the intercept included."""
+    # every iteration of a fit is a job: few rows go to few tasks, and stay in memory for all fits
+    d = d.coalesce(d.count() // ROWS + 1).persist()
+    path = penalty_path(d, penalties)
+
+    def right(job: tuple[float, int]) -> float:
+        p, f = job
+        m = _lasso(p, iterations).fit(d.where(F.col("fold") != f))
+        return m.transform(d.where(F.col("fold") == f)).agg(F.sum((F.col("prediction") == F.col("y")).cast("int"))).first()[0] or 0
+
+    used = [r["fold"] for r in d.groupBy("fold").count().collect()] if len(path) > 1 else []
+    jobs = [(p, f) for p in path for f in used if len(used) > 1]
+    with ThreadPoolExecutor(parallel) as pool:
+        hits = list(pool.map(right, jobs))
+    score = {p: sum(h for (q, _), h in zip(jobs, hits, strict=True) if q == p) for p in path}
+    best = max(path, key=lambda p: (score[p], p))
+    chosen = _lasso(best, iterations).fit(d)
+    d.unpersist()
+    return chosen, classes, best
+
+
+def coefficients(spark, model, classes: list[str], names: DataFrame | list[str]) -> DataFrame:
+    """``(feature, class, coefficient)``: the intercept, and every feature with a coefficient other
+    than 0 in some class; the model itself lives on the driver, names may be a table
+    ``(feature, i)`` that does not."""
+    import pandas as pd
+
     m, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
-    rows = [("Intercept", c, float(b[i])) for i, c in enumerate(classes)]
-    rows += [(n, c, float(m[i, j])) for j, n in enumerate(names) for i, c in enumerate(classes)]
-    return spark.createDataFrame(rows, "feature string, class string, coefficient double")
+    kept = np.nonzero(np.any(m != 0, axis=0))[0]
+    cells = pd.DataFrame({"i": np.repeat(kept, len(classes)).astype("int32"), "class": np.tile(np.array(classes, object), len(kept)), "coefficient": m[:, kept].T.ravel()})
+    if isinstance(names, list):
+        names = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "feature string, i int")
+    own = spark.createDataFrame(cells, "i int, class string, coefficient double").join(growing(names.select("feature", "i")), "i").select("feature", "class", "coefficient")
+    return own.union(spark.createDataFrame([("Intercept", c, float(x)) for c, x in zip(classes, b, strict=True)], "feature string, class string, coefficient double"))
 
 
 def nonzero(coefs: DataFrame) -> DataFrame:
@@ -76,24 +123,124 @@ def scores(matrix: DataFrame) -> DataFrame:
     return d.select("class", (F.col("tp") / F.col("p")).alias("sensitivity"), (1 - fp / rest).alias("specificity"), (F.col("right") / F.col("all")).alias("accuracy"))
 
 
-def grouped_lasso(long: DataFrame, labels: DataFrame, penalty: float = 0.02, steps: int = 200) -> DataFrame:
-    """``(position, dim)`` kept by a first-stage lasso fitted at each position on its own.
+@dataclass
+class Fits:
+    """What the loop over labels gives, in long form over all labels."""
+
+    coefficients: DataFrame  # label, feature, class, coefficient
+    confusion: DataFrame  # label, true_class, predicted_class, n
+    scores: DataFrame  # label, class, sensitivity, specificity, accuracy
+    labels: DataFrame  # label, status, n_rows, classes, penalty
+
+
+Selector = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def label_samples(long: DataFrame, meta: DataFrame, *, minimum: int = 30, rows: int = 90, max_classes: int | None = None, train: float = 0.5, even: bool = False, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """``(label, sample_name, class, split)`` for all labels at once, and ``(label, status, n_rows,
+    classes)`` of every label with a class of more than ``minimum`` samples.
+
+    Of ``meta(ord, sample_name, metadata, class)`` count the samples that ``long`` has too, each by
+    its last row; empty classes are none. Every class of more than ``minimum`` samples gives
+    floor(train * size of the label's smallest) of them to train, the others test, or with
+    ``even`` only as many as even out the classes. A label of fewer than ``rows`` samples, fewer
+    than two or more than ``max_classes`` classes is not ``ready``.
+    """
+    now = meta.dropna(subset=["sample_name", "metadata"]).groupBy("sample_name", F.col("metadata").alias("label"))
+    now = now.agg(F.max_by(F.coalesce("class", F.lit("")), "ord").alias("class")).where("class <> ''")
+    now = cut(splits.mutual(now, long)[0])
+    size = now.groupBy("label", "class").agg(F.count("*").alias("n")).where(F.col("n") > minimum)
+    per = size.groupBy("label").agg(F.sum("n").alias("n_rows"), F.count("*").alias("classes"), F.min("n").alias("least"))
+    status = F.when(F.col("n_rows") < rows, "too few rows").when(F.col("classes") < 2, "too few classes")
+    status = status.when(F.col("classes") > (max_classes or MAX_CLASSES), "too many classes").otherwise("ready")
+    per = cut(per.withColumn("status", status))
+    d = now.join(growing(size.select("label", "class")), ["label", "class"], "left_semi")
+    d = distributed_rank(d, ["label", "class"], splits.drawn(F.col("sample_name"), seed), [splits.draw(F.col("sample_name"), seed), "sample_name"], "k")
+    d = d.join(growing(per.where("status = 'ready'").select("label", "least")), "label")
+    d = d.where(F.col("k") <= F.col("least")) if even else d
+    split = F.when(F.col("k") <= F.floor(F.col("least") * train + 1e-9), "train").otherwise("test")
+    return d.select("label", "sample_name", "class", split.alias("split")), per.select("label", "status", "n_rows", "classes")
+
+
+def fit_labels(long: DataFrame, meta: DataFrame, *, select: Selector | None = None, samples: dict | None = None, **fit) -> Fits:
+    """One multinomial lasso for each ready label of :func:`label_samples` on the features
+    ``long(sample_name, feature, value)``: the fit on train and its confusion on test.
+
+    A label whose fit fails twice is left out; ``labels`` says so. ``select`` may choose features
+    for a label from its samples ``(sample_name, class)`` first, the grouped lasso for one.
+    """
+    spark = long.sparkSession
+    every, ready = label_samples(long, meta, **(samples or {}))
+    every = cut(every)
+    wide, table = (None, None) if select else _matrix(long)
+    coefs, matrices, status = [], [], []
+    for name, state, n, k in ready.orderBy("label").limit(10_000).collect():
+        if state != "ready":
+            status.append((name, state, n, k, None))
+            continue
+        d = every.where(F.col("label") == name).drop("label")
+        if select:
+            chosen = long.join(growing(select(long, d.select("sample_name", "class"))), "feature", "left_semi")
+            wide, table = _matrix(chosen)
+        x = cut(wide.join(growing(d), "sample_name"))
+        got = None
+        for _ in range(2):
+            try:
+                got = fit_lasso(x.where("split = 'train'"), "sample_name", "features", "class", **fit)
+                break
+            except Exception:  # noqa: BLE001, S112 - a fit that fails is tried once more, then left out
+                continue
+        if got is None:
+            status.append((name, "no fit", n, k, None))
+            continue
+        model, classes, penalty = got
+        status.append((name, "fitted", n, k, float(penalty)))
+        at = F.array(*map(F.lit, classes))
+        test = labelled_as(x.where("split = 'test'"), classes)
+        guess = model.transform(test).select(F.col("class").alias("true_class"), F.element_at(at, (F.col("prediction") + 1).cast("int")).alias("predicted_class"))
+        matrices.append(confusion(guess, "true_class", "predicted_class").select(F.lit(name).alias("label"), "*"))
+        coefs.append(coefficients(spark, model, classes, table).select(F.lit(name).alias("label"), "*"))
+    none = lambda schema: spark.createDataFrame([], schema)
+    matrix = cut(reduce(DataFrame.union, matrices)) if matrices else none("label string, true_class string, predicted_class string, n long")
+    per = [scores(matrix.where(F.col("label") == s[0]).drop("label")).select(F.lit(s[0]).alias("label"), "*") for s in status if s[1] == "fitted"]
+    return Fits(
+        reduce(DataFrame.union, coefs) if coefs else none("label string, feature string, class string, coefficient double"),
+        matrix,
+        reduce(DataFrame.union, per) if per else none("label string, class string, sensitivity double, specificity double, accuracy double"),
+        spark.createDataFrame(status, "label string, status string, n_rows long, classes long, penalty double"),
+    )
+
+
+def _matrix(long: DataFrame) -> tuple[DataFrame, DataFrame]:
+    long = cut(long.select("sample_name", "feature", "value"))
+    return cut(vectors(long)), sparse_rows(long)[1]
+
+
+def labelled_as(df: DataFrame, classes: list[str]) -> DataFrame:
+    """Vectors and the numbers of known classes; rows of other classes are left out."""
+    at = F.array_position(F.array(*map(F.lit, classes)), F.col("class").cast("string")) - 1
+    return df.withColumn("x", array_to_vector("features")).withColumn("y", at.cast("double")).where("y >= 0")
+
+
+def grouped_lasso(long: DataFrame, labels: DataFrame, penalties: int = 10, folds: int = 3, steps: int = 80) -> DataFrame:
+    """``(position, dim)`` kept by a first-stage lasso fitted at each position on its own, at the
+    penalty of best cross-validated accuracy there.
 
     ``long`` is (sample_name, position, dim, value), ``labels`` (sample_name, label). One small
-    proximal-gradient fit a position, the positions spread over the tasks; a group is the samples
-    of one position, the unit the model is defined on.
+    proximal-gradient fit a penalty and fold, warm from the penalty before; the positions are
+    spread over the tasks. A group is the samples of one position, the unit the model is defined
+    on. Positions of one class keep nothing; a missing dim counts as 0.
     """
-    import numpy as np
     import pandas as pd
 
-    per = long.groupBy("sample_name", "position").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("v"))
-    d = per.join(labels.dropna(), "sample_name").select("position", F.col("label").cast("string").alias("label"), F.transform("v", lambda x: x["dim"]).alias("dims"), F.transform("v", lambda x: x["value"]).alias("x"))
+    per = long.groupBy("sample_name", "position").agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("v"))
+    d = per.join(growing(labels.dropna()), "sample_name").select("position", F.col("label").cast("string").alias("label"), F.floor(uniform(F.col("sample_name"), 1) * folds).cast("int").alias("fold"), "v")
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.vstack(pdf["x"].to_numpy())
-        x = (x - x.mean(0)) / np.maximum(x.std(0), 1e-9)
-        y = pd.get_dummies(pdf["label"]).to_numpy(float)
-        w, b = np.zeros((x.shape[1], y.shape[1])), np.zeros(y.shape[1])
+    def path_of(x: np.ndarray, y: np.ndarray) -> list[float]:
+        top = float(np.abs(x.T @ (y - y.mean(0))).max() / len(x)) if len(x) else 0.0
+        return [top * 0.02 ** (i / max(penalties - 1, 1)) for i in range(penalties)]
+
+    def descend(x, y, penalty, w, b):
         rate = len(x) / (np.linalg.norm(x, 2) ** 2 / 2 + 1e-9)
         for _ in range(steps):
             z = x @ w + b
@@ -102,8 +249,41 @@ def grouped_lasso(long: DataFrame, labels: DataFrame, penalty: float = 0.02, ste
             w = w - rate * (x.T @ q)
             w = np.sign(w) * np.maximum(np.abs(w) - rate * penalty, 0)
             b = b - q.sum(0)
+        return w, b
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        dims = sorted({k for v in pdf["v"] for k in dict(v)})
+        none = pd.DataFrame({"position": np.zeros(0, np.int64), "dim": np.zeros(0, np.int64)})
+        y = pd.get_dummies(pdf["label"]).to_numpy(float)
+        if y.shape[1] < 2 or not dims:
+            return none
+        x = np.array([[dict(v).get(k, 0.0) for k in dims] for v in pdf["v"]])
+        x = (x - x.mean(0)) / np.maximum(x.std(0), 1e-9)
+        path, fold = path_of(x, y), pdf["fold"].to_numpy()
+        right = np.zeros(len(path))
+        start = lambda: (np.zeros((x.shape[1], y.shape[1])), np.zeros(y.shape[1]))
+        for f in np.unique(fold) if len(np.unique(fold)) > 1 else ():
+            w, b = start()
+            for i, p in enumerate(path):
+                w, b = descend(x[fold != f], y[fold != f], p, w, b)
+                right[i] += ((x[fold == f] @ w + b).argmax(1) == y[fold == f].argmax(1)).sum()
+        w, b = start()
+        for p in path[: int(right.argmax()) + 1]:
+            w, b = descend(x, y, p, w, b)
         kept = np.nonzero(np.abs(w).sum(1))[0]
-        dims = np.asarray(pdf["dims"].iloc[0])
-        return pd.DataFrame({"position": np.full(len(kept), pdf["position"].iloc[0]), "dim": dims[kept]})
+        return pd.DataFrame({"position": np.full(len(kept), pdf["position"].iloc[0], np.int64), "dim": np.array(dims, np.int64)[kept]})
 
     return d.groupBy("position").applyInPandas(fit, "position long, dim long")
+
+
+def grouped_two_stage(ordered: DataFrame, meta: DataFrame, **options) -> Fits:
+    """The grouped lasso: for each label the features kept at any position by the first stage on
+    all its samples, and on their union the second fit with its split, as in :func:`fit_labels`.
+    ``ordered`` is (sample_name, position, dim, value)."""
+    ordered = cut(ordered)
+    name = F.concat(F.lit("cluster_"), F.col("position"), F.lit("_embedding_"), F.col("dim"))
+
+    def select(_: DataFrame, samples: DataFrame) -> DataFrame:
+        return cut(grouped_lasso(ordered, samples.withColumnRenamed("class", "label")).select(name.alias("feature")))
+
+    return fit_labels(ordered.select("sample_name", name.alias("feature"), "value"), meta, select=select, **options)

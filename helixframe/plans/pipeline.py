@@ -13,6 +13,7 @@ from helixframe.operators.cluster import shift_clusters
 from helixframe.operators.features import selected_features
 from helixframe.operators.kmers import distinct_kmers, kmer_ordering
 from helixframe.operators.satc import cluster_sample_sequence
+from helixframe.operators.model import Fits, fit_labels
 from helixframe.runtime import cut
 
 
@@ -52,3 +53,8 @@ def run(satc: DataFrame, stats: DataFrame, labels: DataFrame, *, anchors: int =
     proteins = unique.select(F.col("kmer_id").alias("kmer"), longest_frame("kmer", table)["protein"].alias("protein"))
     order = kmer_ordering(seqs, k, k).select(F.col("record_id").alias("sample_name"), F.col("kmer_id").alias("kmer"), "start")
     return selected_features(cut(order), cut(embedder(proteins)), keep)
+
+
+def models(features: DataFrame, metadata: DataFrame, **options) -> Fits:
+    """Last stage: a sparse model for every usable label on the features of :func:`run`."""
+    return fit_labels(features, metadata, **options)

@@ -14,7 +14,7 @@ from helixframe.operators.graph import connected_components
 from helixframe.operators.indexing import with_index
 from helixframe.plans import pipeline
 from helixframe.plans import relations as rel
-from helixframe.runtime import cut, table
+from helixframe.runtime import cut, growing, new_path, table
 from helixframe.sources import fasta, tables
 from helixframe.streaming.sequences import windowed_counts
 
@@ -39,7 +39,7 @@ SATC = f"""c0 AS (SELECT sample, {CLEAN.format('anchor')} AS anchor, {CLEAN.form
     c1 AS (SELECT sample, anchor, target, counted_at, max(struct_pack(l := loaded_at, c := count)).c AS count FROM c0
            WHERE sample IS NOT NULL AND anchor <> '' AND target <> '' AND count IS NOT NULL GROUP BY ALL),
     sa AS (SELECT sample, anchor, target, CAST(sum(count) AS BIGINT) AS count FROM c1 GROUP BY ALL)"""
-ANCHORS = "al AS (SELECT row_number() OVER (ORDER BY c DESC, anchor) - 1 AS ord, anchor FROM (SELECT anchor, count(DISTINCT sample) AS c FROM sa GROUP BY anchor ORDER BY c DESC, anchor LIMIT 40))"
+ANCHORS = "al AS (SELECT row_number() OVER (ORDER BY c DESC, anchor) - 1 AS ord, anchor FROM (SELECT anchor, count(DISTINCT sample) AS c FROM sa GROUP BY anchor))"
 CLUSTERS = f"cl AS (SELECT ord, cluster_id, {CLEAN.format('anchor')} AS anchor FROM anchor_clusters WHERE cluster_id IS NOT NULL AND {CLEAN.format('anchor')} <> '')"
 RC = "translate(reverse({}), 'ACGT', 'TGCA')"
 STATS = "st AS (SELECT anchor, b.e AS effect_size_bin, b.n AS number_nonzero_samples FROM (SELECT anchor, max(struct_pack(e := coalesce(effect_size_bin, -1), n := coalesce(number_nonzero_samples, -1))) AS b FROM anchor_stats WHERE anchor IS NOT NULL GROUP BY anchor))"
@@ -106,12 +106,12 @@ def kmer_ordering(s, d):
     return o.withColumn("start", F.col("start").cast("long")).withColumn("end", F.col("end").cast("long"))
 
 
-@query(f"""WITH {READS}, {SATC}, {ANCHORS}, a8 AS (SELECT DISTINCT substr(anchor, 1, 12) AS anchor FROM al), aa AS (SELECT anchor FROM a8 UNION SELECT {RC.format('anchor')} FROM a8),
+@query(f"""WITH {READS}, {SATC}, a0 AS (SELECT DISTINCT anchor FROM sa), aa AS (SELECT anchor FROM a0 UNION SELECT {RC.format('anchor')} FROM a0), ks AS (SELECT DISTINCT length(anchor) AS k FROM a0),
     b AS (SELECT record_id, seq AS s, false AS rc FROM reads UNION ALL SELECT record_id, {RC.format('seq')}, true FROM reads),
-    w AS (SELECT record_id, rc, substr(s, CAST(i + 1 AS BIGINT), 12) AS anchor, substr(s, CAST(i + 13 AS BIGINT), 5) AS target FROM b, unnest(range(0, length(s) - 12)) AS u(i))
+    w AS (SELECT record_id, rc, substr(s, CAST(i + 1 AS BIGINT), k) AS anchor, substr(s, CAST(i + k + 1 AS BIGINT), 5) AS target FROM b, ks, unnest(range(0, length(s) - k)) AS u(i))
     SELECT record_id, anchor, target, rc AS reverse_complement FROM w JOIN aa USING (anchor)""")
 def anchor_hits(s, d):
-    listed = cut(rel.anchor_list(s, d))
+    listed = cut(rel.satc(s, d).select("anchor").distinct().withColumn("ord", F.lit(0).cast("long")))
     lengths = [x["k"] for x in listed.select(F.length("anchor").alias("k")).distinct().collect()]
     scans = [kmers.anchor_hits(rel.reads(s, d), listed.where(F.length("anchor") == k), 5, k) for k in sorted(lengths)]
     return reduce(DataFrame.union, scans or [kmers.anchor_hits(rel.reads(s, d), listed, 5)])
@@ -206,7 +206,7 @@ def sequence_lookup(s, d):
     return anchors.lookup(rel.anchor_list(s, d), rel.labels(s, d))
 
 
-@query(f"WITH {STATS}, {LABELS} SELECT anchor, effect_size_bin, number_nonzero_samples FROM st ANTI JOIN (SELECT anchor FROM lb WHERE regexp_matches(stats, '(?i)(plas|illum|syn|arp|RF|JUNK|Ral|purge|P,|Univec)')) USING (anchor) WHERE effect_size_bin >= 0.7 ORDER BY number_nonzero_samples DESC, anchor LIMIT 500")
+@query(f"WITH {STATS}, {LABELS} SELECT anchor, effect_size_bin, number_nonzero_samples FROM st ANTI JOIN (SELECT anchor FROM lb WHERE regexp_matches(stats, '(?i)(plas|illum|syn|arp|RF|JUNK|Ral|purge|P,|Univec)')) USING (anchor) WHERE effect_size_bin >= 0.7 ORDER BY number_nonzero_samples DESC, anchor LIMIT 150000")
 def select_anchors(s, d):
     a = anchors.select_anchors(table(s, d, "anchor_stats"), rel.labels(s, d))
     return a.withColumn("number_nonzero_samples", F.coalesce("number_nonzero_samples", F.lit(-1)))
@@ -223,12 +223,12 @@ def reorder_clusters(s, d):
     return r.select(F.col("cluster_id").cast("long").alias("cluster_id"), "anchor", F.col("place").cast("long").alias("place"))
 
 
-@query(f"WITH {RE} SELECT anchor FROM ro WHERE cluster_id <= 200")
+@query(f"WITH {RE} SELECT anchor FROM ro WHERE cluster_id <= 4000")
 def top_clusters(s, d):
     return anchors.top_clusters(anchors.reorder_clusters(rel.clusters(s, d), table(s, d, "anchor_stats")))
 
 
-CS = f"""{SATC}, {BEST}, {RE}, li AS (SELECT cluster_id, anchor, place AS ord FROM ro WHERE cluster_id <= 200), dj AS (SELECT bt.sample, li.cluster_id, arg_min(bt.anchor || bt.target, li.ord) AS x FROM bt JOIN li USING (anchor) GROUP BY ALL),
+CS = f"""{SATC}, {BEST}, {RE}, li AS (SELECT cluster_id, anchor, place AS ord FROM ro WHERE cluster_id <= 4000), dj AS (SELECT bt.sample, li.cluster_id, arg_min(bt.anchor || bt.target, li.ord) AS x FROM bt JOIN li USING (anchor) GROUP BY ALL),
     df AS (SELECT cluster_id, arg_min(anchor, ord) || repeat('N', 27) AS x FROM li GROUP BY cluster_id)"""
 
 
@@ -275,36 +275,60 @@ def lev_clusters(s, d):
 SEEDS = f"{READS}, nd AS (SELECT seq, min(ord) AS id FROM reads GROUP BY seq), sd AS (SELECT id AS seed_id, seq FROM nd WHERE id % 100 = 0)"
 
 
-@query(f"WITH {SEEDS} SELECT id, seed_id, dist FROM (SELECT nd.id, sd.seed_id, levenshtein(nd.seq, sd.seq) AS dist, row_number() OVER (PARTITION BY nd.id ORDER BY levenshtein(nd.seq, sd.seq), sd.seed_id) AS k FROM nd JOIN sd ON levenshtein(nd.seq, sd.seq) < 6) WHERE k = 1")
+@query(f"WITH {SEEDS} SELECT id, seed_id, dist FROM (SELECT nd.id, sd.seed_id, levenshtein(nd.seq, sd.seq) AS dist FROM nd JOIN sd ON abs(length(nd.seq) - length(sd.seq)) <= 5) WHERE dist <= 5")
+def lev_search(s, d):
+    """The sequences whose id is divisible by 100 against all, within five edits."""
+    n = cut(_lev_nodes(s, d))
+    hits = cluster.edit_distance_join(n.select(F.col("id").alias("a"), F.col("seq").alias("sa")), n.where("id % 100 = 0").select(F.col("id").alias("b"), F.col("seq").alias("sb")), 5)
+    return hits.select(F.col("a").alias("id"), F.col("b").alias("seed_id"), F.col("dist").cast("long").alias("dist"))
+
+
+@query()
+def lev_sampled(s, d):
+    return cluster.sampled_pairs(cut(_lev_nodes(s, d)))
+
+
+@query(f"WITH {SEEDS} SELECT id, seed_id, dist FROM (SELECT id, seed_id, dist, row_number() OVER (PARTITION BY id ORDER BY dist, seed_id) AS k FROM (SELECT nd.id, sd.seed_id, levenshtein(nd.seq, sd.seq) AS dist FROM nd JOIN sd ON abs(length(nd.seq) - length(sd.seq)) < 10) WHERE dist < 10) WHERE k = 1")
 def nearest_seed(s, d):
     n = cut(_lev_nodes(s, d))
-    return cluster.nearest_seed(n, n.where("id % 100 = 0").select(F.col("id").alias("seed_id"), "seq"), 6).withColumn("dist", F.col("dist").cast("long"))
+    return cluster.nearest_seed(n, n.where("id % 100 = 0").select(F.col("id").alias("seed_id"), "seq"), 10).withColumn("dist", F.col("dist").cast("long"))
 
 
-@query(f"WITH {SEEDS}, {CLUSTERS}, mb AS (SELECT cl.ord, cl.cluster_id, cl.anchor FROM cl WHERE cl.ord % 100 = 0), f AS (SELECT cluster_id, min(ord) AS listed FROM mb GROUP BY cluster_id) SELECT id, cluster_id, dist FROM (SELECT nd.id, mb.cluster_id, levenshtein(nd.seq, mb.anchor) AS dist, row_number() OVER (PARTITION BY nd.id ORDER BY levenshtein(nd.seq, mb.anchor), listed) AS k FROM nd JOIN mb ON levenshtein(nd.seq, mb.anchor) <= 5 JOIN f USING (cluster_id)) WHERE k = 1")
+@query(f"WITH {SEEDS}, {CLUSTERS}, f AS (SELECT cluster_id, min(ord) AS listed FROM cl GROUP BY cluster_id) SELECT id, cluster_id, dist FROM (SELECT sd.seed_id AS id, cl.cluster_id, levenshtein(sd.seq, cl.anchor) AS dist, row_number() OVER (PARTITION BY sd.seed_id ORDER BY levenshtein(sd.seq, cl.anchor), listed) AS k FROM sd JOIN cl ON levenshtein(sd.seq, cl.anchor) <= 10 JOIN f USING (cluster_id)) WHERE k = 1")
 def assign_to_clusters(s, d):
+    """The sequences whose id is divisible by 100, against every member of every cluster."""
     c = rel.clusters(s, d).withColumnRenamed("anchor", "seq")
-    return cluster.assign_to_clusters(cut(_lev_nodes(s, d)), c, 5).withColumn("dist", F.col("dist").cast("long"))
+    return cluster.assign_to_clusters(cut(_lev_nodes(s, d).where("id % 100 = 0")), c, 10).withColumn("dist", F.col("dist").cast("long"))
 
 
 @query()
 def leader_clusters(s, d):
-    return cluster.leader_clusters(cut(_lev_nodes(s, d)), 5)
+    return cluster.leader_clusters(cut(_lev_nodes(s, d)), 10, most=5000)
 
 
 @query()
 def spectral_clusters(s, d):
+    """As many clusters as the reference asks for, 5,000, or half the linked sequences if fewer."""
     nodes = cut(_lev_nodes(s, d))
-    pairs = cluster.lev_pairs(nodes)
-    found = cut(cluster.spectral_clusters(cut(pairs.select("src", "dst", (F.lit(6.0) - F.col("dist")).alias("weight"))), 10))
+    pairs = cut(cluster.lev_pairs(nodes).select("src", "dst", (F.lit(6.0) - F.col("dist")).alias("weight")))
+    linked = pairs.select("src").union(pairs.select("dst")).distinct().count()
+    k = max(min(5000, linked // 2), 2)
+    found = cut(cluster.spectral_clusters(pairs, k))
     # sequences without an edge are clusters of their own
-    alone = with_index(nodes.select("id").join(found, "id", "left_anti"), ["id"], "i")
-    return found.select("id", F.col("cluster").cast("long").alias("cluster")).union(alone.select("id", (F.col("i") + 10).cast("long").alias("cluster")))
+    alone = with_index(nodes.select("id").join(growing(found), "id", "left_anti"), ["id"], "i")
+    return found.select("id", F.col("cluster").cast("long").alias("cluster")).union(alone.select("id", (F.col("i") + k).cast("long").alias("cluster")))
 
 
 @query()
 def profile_clusters(s, d):
-    return cluster.profile_clusters(cut(_lev_nodes(s, d)), 8)
+    return cluster.profile_clusters(cut(_lev_nodes(s, d)))
+
+
+@query(f"""WITH {CLUSTERS}, {STATS}, m AS (SELECT DISTINCT cluster_id AS cluster, anchor FROM cl), e AS (SELECT anchor, nullif(effect_size_bin, -1) AS effect_size_bin FROM st)
+    SELECT row_number() OVER (ORDER BY cluster, effect_size_bin DESC NULLS LAST, anchor) - 1 AS place, cluster, anchor, effect_size_bin FROM m LEFT JOIN e USING (anchor)""")
+def members_by_effect(s, d):
+    m = rel.clusters(s, d).select(F.col("cluster_id").alias("cluster"), "anchor").distinct()
+    return cluster.ordered_by_effect(m, anchors.one_statistic(table(s, d, "anchor_stats"))).withColumn("place", F.col("place").cast("long"))
 
 
 @query(f"WITH {LONG} SELECT position, string_agg(kmer, ',' ORDER BY s, kmer) AS kmers FROM (SELECT position, kmer, min(sample_name) AS s FROM ps GROUP BY ALL) GROUP BY position")
@@ -370,9 +394,27 @@ def bernoulli_split(s, d):
     return splits.bernoulli_split(rel.bed(s, d), "ord").select("ord", "split")
 
 
-@query(f"SELECT ord, {BERN} AS split FROM (SELECT ord, {_u('split_part(sample_name, chr(95), 1)')} AS u FROM bed WHERE sample_name IS NOT NULL)")
+SHARES = "CASE WHEN k <= floor(n * 0.7 + 1e-9) THEN 'train' WHEN k <= floor(n * 0.85 + 1e-9) THEN 'val' ELSE 'test' END"
+
+
+@query(f"WITH p AS (SELECT prefix, count(*) OVER () AS n, row_number() OVER (ORDER BY md5(prefix || '#42'), prefix) AS k FROM (SELECT DISTINCT split_part(sample_name, '_', 1) AS prefix FROM bed WHERE sample_name IS NOT NULL)) SELECT ord, {SHARES} AS split FROM bed JOIN p ON prefix = split_part(sample_name, '_', 1)")
 def prefix_split(s, d):
-    return splits.prefix_split(rel.bed(s, d).where("sample_name is not null"), "sample_name").select("ord", "split")
+    return splits.prefix_split(rel.bed(s, d), "sample_name").select("ord", "split")
+
+
+PREFIX_META = "WITH m AS (SELECT sample_name, last(class ORDER BY ord) AS v FROM metadata WHERE sample_name IS NOT NULL GROUP BY 1), pm AS (SELECT split_part(sample_name, '_', 1) AS prefix, arg_min(v, ord) AS metadata FROM bed JOIN m USING (sample_name) WHERE v <> '' GROUP BY 1)"
+
+
+@query(f"{PREFIX_META}, p AS (SELECT prefix, count(*) OVER (PARTITION BY metadata) AS n, row_number() OVER (PARTITION BY metadata ORDER BY md5(prefix || '#42'), prefix) AS k FROM pm) SELECT ord, {SHARES} AS split FROM bed JOIN p ON prefix = split_part(sample_name, '_', 1)")
+def prefix_stratified_split(s, d):
+    return splits.prefix_stratified_split(rel.bed(s, d), "sample_name", splits.prefix_metadata(rel.bed(s, d), rel.metadata(s, d))).select("ord", "split")
+
+
+@query("""WITH m AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM metadata WHERE metadata IS NOT NULL GROUP BY metadata)),
+    x AS (SELECT ord, count(*) OVER (PARTITION BY metadata) AS n, row_number() OVER (PARTITION BY metadata ORDER BY md5(ord || '#42'), ord) AS k, floor(m * 0.7 + 1e-9) AS f FROM metadata, m WHERE metadata IS NOT NULL)
+    SELECT ord, CASE WHEN k <= f THEN 'train' WHEN k <= f + floor((n - f) * 0.5 + 1e-9) THEN 'val' ELSE 'test' END AS split FROM x""")
+def balanced_three_way_split(s, d):
+    return splits.balanced_three_way_split(rel.metadata(s, d), "ord", "metadata").select("ord", "split")
 
 
 @query("""SELECT ord, CASE WHEN k <= floor(n * 0.7 + 1e-9) THEN 'train' WHEN k <= floor(n * 0.85 + 1e-9) THEN 'val' ELSE 'test' END AS split
@@ -395,8 +437,7 @@ def replicate_train(s, d):
 
 @query("SELECT doc_id, unnest(regexp_extract_all(text, '[a-z.]+@([a-z]+)', 1)) AS url FROM documents")
 def urls(s, d):
-    t = table(s, d, "documents")
-    return t.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[a-z.]+@([a-z]+)"), F.lit(1))).alias("url"))
+    return tables.urls_of(table(s, d, "documents").select("doc_id", "text"), "text", "[a-z.]+@([a-z]+)")
 
 
 @query("SELECT time_bucket(INTERVAL '30 days', counted_at, TIMESTAMP '1970-01-01') AS start, sample, " + CLEAN.format("anchor") + " AS anchor, CAST(sum(count) AS BIGINT) AS total FROM satc WHERE sample IS NOT NULL AND count IS NOT NULL AND " + CLEAN.format("anchor") + " <> '' AND counted_at IS NOT NULL GROUP BY ALL")
@@ -406,13 +447,9 @@ def windowed_counts_batch(s, d):
 
 @query(f"WITH {READS} SELECT record_id, seq FROM reads")
 def fasta_roundtrip(s, d):
-    from helixframe.runtime import shared_dir
-    import uuid
-
-    path = f"{shared_dir(s)}/fasta-{uuid.uuid4().hex}"
+    path = new_path(s, "fasta")
     fasta.write_fasta(rel.reads(s, d), path, 60)
-    fasta.register(s)
-    return s.read.format("fasta").load(path).select("record_id", "seq")
+    return fasta.read_fasta(s, path).select("record_id", "seq")
 
 
 @query(f"WITH {READS} SELECT 'seq_' || (row_number() OVER (ORDER BY ord) - 1) AS record_id, seq FROM reads")
@@ -434,8 +471,7 @@ def _labelled(s, d):
 @query()
 def lasso_coefficients(s, d):
     data = splits.balanced_split(_labelled(s, d), "id", "label", 0.8)
-    got = model.fit_lasso(data.where("split = 'train'"), "id", "features", "label", penalties=3)
-    m, classes, _ = got
+    m, classes, _ = model.fit_lasso(data.where("split = 'train'"), "id", "features", "label")
     return model.nonzero(model.coefficients(s, m, classes, [f"embedding_{i + 1}" for i in range(m.numFeatures)]))
 
 
@@ -443,10 +479,61 @@ def lasso_coefficients(s, d):
 def lasso_scores(s, d):
     data = splits.balanced_split(_labelled(s, d), "id", "label", 0.8)
     d1, classes = model.labelled(data, "features", "label")
-    m, _, _ = model.fit_lasso(data.where("split = 'train'"), "id", "features", "label", penalties=3)
+    m, _, _ = model.fit_lasso(data.where("split = 'train'"), "id", "features", "label")
     return model.scores(model.confusion(m.transform(d1.where("split = 'test'"))))
 
 
+PREDICTED = "pr AS (SELECT CAST(label AS VARCHAR) AS t, CAST(CASE WHEN vec_id % 3 = 0 THEN (label + 1) % 10 ELSE label END AS VARCHAR) AS g FROM embeddings WHERE label IS NOT NULL), cm AS (SELECT t AS true_class, g AS predicted_class, count(*) AS n FROM pr GROUP BY ALL)"
+
+
+def _predicted(s, d):
+    """A guess for each vector that is wrong for every third."""
+    guess = F.when(F.col("vec_id") % 3 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return table(s, d, "embeddings").where("label is not null").select(F.col("label").cast("string").alias("t"), guess.cast("string").alias("g"))
+
+
+@query(f"WITH {PREDICTED} SELECT * FROM cm")
+def confusion_counts(s, d):
+    return model.confusion(_predicted(s, d), "t", "g")
+
+
+@query(f"""WITH {PREDICTED}, a AS (SELECT sum(n) AS every, sum(n) FILTER (true_class = predicted_class) AS hit FROM cm), t AS (SELECT true_class AS class, sum(n) AS p, coalesce(sum(n) FILTER (true_class = predicted_class), 0) AS tp FROM cm GROUP BY 1), g AS (SELECT predicted_class AS class, sum(n) AS g FROM cm GROUP BY 1)
+    SELECT class, round(tp / p, 6) AS sensitivity, round(1 - (coalesce(g, 0) - tp) / (every - p), 6) AS specificity, round(hit / every, 6) AS accuracy FROM t LEFT JOIN g USING (class), a""")
+def confusion_scores(s, d):
+    x = model.scores(model.confusion(_predicted(s, d), "t", "g"))
+    return x.select("class", *[F.round(c, 6).alias(c) for c in ("sensitivity", "specificity", "accuracy")])
+
+
+def _composition(s, d):
+    """``(sample_name, feature, value)``: how often each three-letter word stands in the targets of
+    a sample, weighted by count, on a logarithmic scale."""
+    t = rel.satc(s, d).select(F.col("sample").alias("sample_name"), "count", F.col("target").alias("seq"))
+    w = kmers.windows(t, 3).groupBy("sample_name", F.col("kmer").alias("feature")).agg(F.sum("count").alias("n"))
+    return w.select("sample_name", "feature", F.log1p("n").alias("value"))
+
+
+LS = f"""{SATC}, m AS (SELECT sample_name, metadata AS label, arg_max(coalesce(class, ''), ord) AS class FROM metadata WHERE sample_name IS NOT NULL AND metadata IS NOT NULL GROUP BY ALL),
+    nw AS (SELECT * FROM m WHERE class <> '' AND sample_name IN (SELECT sample FROM sa WHERE length(target) >= 3)), sz AS (SELECT label, class, count(*) AS n FROM nw GROUP BY ALL HAVING count(*) > 30),
+    pl AS (SELECT label, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS classes, min(n) AS least FROM sz GROUP BY label),
+    st AS (SELECT *, CASE WHEN n_rows < 90 THEN 'too few rows' WHEN classes < 2 THEN 'too few classes' WHEN classes > 200 THEN 'too many classes' ELSE 'ready' END AS status FROM pl)"""
+
+
+@query(f"WITH {LS} SELECT label, status, n_rows, classes FROM st")
+def label_status(s, d):
+    return model.label_samples(_composition(s, d), rel.metadata(s, d))[1]
+
+
+@query(f"WITH {LS} SELECT label, sample_name, class, CASE WHEN k <= floor(least * 0.5 + 1e-9) THEN 'train' ELSE 'test' END AS split FROM (SELECT nw.*, least, row_number() OVER (PARTITION BY nw.label, nw.class ORDER BY md5(nw.sample_name || '#42'), nw.sample_name) AS k FROM nw JOIN sz USING (label, class) JOIN st ON st.label = nw.label AND st.status = 'ready')")
+def label_samples(s, d):
+    return model.label_samples(_composition(s, d), rel.metadata(s, d))[0]
+
+
+@query()
+def label_models(s, d):
+    """The loop over all usable labels, with the coefficients of each."""
+    return model.fit_labels(_composition(s, d), rel.metadata(s, d)).coefficients
+
+
 @query()
 def grouped_lasso(s, d):
     lab = table(s, d, "embeddings").select(F.concat(F.lit("s"), (F.col("vec_id") % 50).cast("string")).alias("sample_name"), "label")
@@ -454,6 +541,29 @@ def grouped_lasso(s, d):
     return model.grouped_lasso(cut(features.long_features(rel.ordering(s, d), rel.embeddings(s, d))), lab)
 
 
+@query()
+def grouped_two_stage(s, d):
+    """Words of three letters as positions, their counts in four parts of a sample's targets as
+    dimensions: the first stage at each word, the second on what it keeps."""
+    t = rel.satc(s, d).select(F.col("sample").alias("sample_name"), "count", "target", F.col("target").alias("seq"))
+    w = kmers.windows(t, 3).where(~F.contains("kmer", F.lit("N"))).groupBy("sample_name", "kmer", (F.pmod(F.xxhash64("target"), F.lit(4)) + 1).alias("dim")).agg(F.sum("count").alias("n"))
+    position = sum((F.instr(F.lit("ACGT"), F.substring("kmer", i + 1, 1)) - 1) * 4**i for i in range(3))
+    long = w.select("sample_name", position.cast("long").alias("position"), "dim", F.log1p("n").alias("value"))
+    return model.grouped_two_stage(long, rel.metadata(s, d)).coefficients
+
+
+@query(f"WITH {LONG}, nm AS (SELECT DISTINCT 'cluster_' || position || '_embedding_' || dim AS feature, position AS p, dim AS e FROM lf), k AS (SELECT position, string_agg(kmer, ',' ORDER BY s, kmer) AS kmers FROM (SELECT position, kmer, min(sample_name) AS s FROM ps GROUP BY ALL) GROUP BY position) SELECT feature, p AS position, e AS dim, kmers FROM nm LEFT JOIN k ON k.position = p")
+def annotated_features(s, d):
+    long = features.selected_features(rel.ordering(s, d), rel.embeddings(s, d), 1 << 30)
+    a = features.annotated(long.select("feature").distinct(), rel.ordering(s, d))
+    return a.select("feature", *[F.col(c).cast("long").alias(c) for c in ("position", "dim")], "kmers")
+
+
+@query()
+def pc_features(s, d):
+    return features.prefixed_components(rel.ordering(s, d), features.principal_components(rel.embeddings(s, d), 10)[0])
+
+
 @query()
 def embedding_pipeline(s, d):
     return pipeline.run(rel.satc(s, d), table(s, d, "anchor_stats"), rel.labels(s, d))
@@ -462,12 +572,108 @@ def embedding_pipeline(s, d):
 @query()
 def text_sources(s, d):
     """SATC, cluster and BED tables written as tab-separated text and read again."""
-    from helixframe.runtime import shared_dir
-    import uuid
-
-    path = f"{shared_dir(s)}/tsv-{uuid.uuid4().hex}"
+    path = new_path(s, "tsv")
     tables.write_tsv(rel.satc(s, d), path)
     return tables.read_satc(s, path)
 
 
 ORACLE["text_sources"] = ORACLE["satc_build"]
+
+
+@query(f"WITH {READS} SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, record_id, seq FROM reads")
+def sequence_table_file(s, d):
+    path = new_path(s, "tsv")
+    tables.write_tsv(rel.reads(s, d).orderBy("ord").select("record_id", "seq"), path)
+    return tables.read_sequence_table(s, path).select(F.col("ord").cast("long").alias("ord"), "record_id", "seq")
+
+
+@query(f"WITH {READS} SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, seq AS anchor FROM reads")
+def anchor_list_file(s, d):
+    path = new_path(s, "txt")
+    rel.reads(s, d).orderBy("ord").select("seq").write.text(path)
+    return tables.read_anchor_list(s, path).select(F.col("ord").cast("long").alias("ord"), "anchor")
+
+
+def _cluster_file(s, d):
+    path = new_path(s, "tsv")
+    tables.write_tsv(rel.clusters(s, d).orderBy("ord").select("cluster_id", "anchor"), path)
+    return tables.read_clusters(s, path)
+
+
+@query(f"WITH {CLUSTERS} SELECT anchor, arg_max(cluster_id, ord) AS cluster_id FROM cl GROUP BY anchor")
+def cluster_of_anchor_file(s, d):
+    return tables.cluster_of_anchor(_cluster_file(s, d))
+
+
+@query(f"WITH {CLUSTERS} SELECT cluster_id, md5(string_agg(anchor, ',' ORDER BY ord)) AS anchors FROM cl GROUP BY cluster_id")
+def anchors_of_cluster_file(s, d):
+    return tables.anchors_of_cluster(_cluster_file(s, d)).select("cluster_id", F.md5(F.array_join("anchors", ",")).alias("anchors"))
+
+
+@query(f"WITH {CLUSTERS} SELECT cluster_id, anchor, row_number() OVER (PARTITION BY cluster_id ORDER BY ord) AS place FROM cl")
+def ranked_members_file(s, d):
+    return tables.ranked_members(_cluster_file(s, d)).select("cluster_id", "anchor", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT anchor, effect_size_bin, coalesce(number_nonzero_samples, -1) AS number_nonzero_samples FROM anchor_stats WHERE effect_size_bin >= 0.7 AND anchor IS NOT NULL")
+def stats_file(s, d):
+    path = new_path(s, "tsv")
+    tables.write_tsv(table(s, d, "anchor_stats").where("anchor is not null"), path, header=True)
+    return tables.read_stats(s, path, 0.7).withColumn("number_nonzero_samples", F.coalesce("number_nonzero_samples", F.lit(-1)))
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS kmer, CAST(len(embedding) AS BIGINT) AS dims, round(embedding[1]::DOUBLE, 5) AS first, round(embedding[-1]::DOUBLE, 5) AS last FROM embeddings")
+def embeddings_file(s, d):
+    path = new_path(s, "tsv")
+    e = rel.embeddings(s, d)
+    e.select(F.concat_ws("\t", F.col("kmer").cast("string"), F.col("embedding").cast("array<double>").cast("array<string>"))).write.text(path)
+    e = tables.read_embeddings(s, path)
+    return e.select("kmer", F.size("embedding").cast("long").alias("dims"), F.round(F.element_at("embedding", 1), 5).alias("first"), F.round(F.element_at("embedding", -1), 5).alias("last"))
+
+
+@query(f"WITH {ORDERING} SELECT sample_name, CAST(kmer AS VARCHAR) AS kmer, start FROM od")
+def ordering_file(s, d):
+    path = new_path(s, "tsv")
+    o = rel.ordering(s, d).select("sample_name", F.lit("ACGT").alias("seq"), "kmer", "start", (F.col("start") + 27).alias("end"))
+    tables.write_tsv(o, path)
+    return tables.read_ordering(s, path)
+
+
+@query("SELECT sample_name, metadata, class FROM (SELECT sample_name, metadata, nullif(class, '') AS class FROM metadata WHERE sample_name <> '' AND metadata <> '')")
+def metadata_file(s, d):
+    """The key column goes by another name in the file."""
+    path = new_path(s, "tsv")
+    m = rel.metadata(s, d).where("sample_name <> '' and metadata <> ''").select(F.col("sample_name").alias("Run"), "metadata", "class")
+    tables.write_tsv(m, path, header=True)
+    return tables.read_metadata(s, path)
+
+
+@query("SELECT sample_name, start, coalesce(stop, -1) AS stop FROM bed WHERE sample_name <> '' AND sample_name = trim(sample_name)")
+def bed_file(s, d):
+    path = new_path(s, "bed")
+    tables.write_tsv(rel.bed(s, d).where("sample_name <> '' and sample_name = trim(sample_name)").select("sample_name", "start", "stop"), path)
+    return tables.read_bed(s, path).withColumn("stop", F.coalesce("stop", F.lit(-1)))
+
+
+@query(f"WITH {LONG} SELECT sample_name, 'cluster_' || position || '_embedding_' || dim AS feature, value FROM lf WHERE position < 5")
+def matrix_file(s, d):
+    path = new_path(s, "matrix")
+    long = features.first_clusters(rel.ordering(s, d), rel.embeddings(s, d), 5)
+    name = F.concat(F.lit("cluster_"), F.col("position"), F.lit("_embedding_"), F.col("dim"))
+    tables.write_matrix(long.select("sample_name", name.alias("feature"), "value"), path)
+    return tables.read_matrix(s, path)
+
+
+@query(f"WITH {READS} SELECT 'seq_' || (row_number() OVER (ORDER BY ord) - 1) AS record_id, seq FROM reads")
+def plain_sequences_file(s, d):
+    path = new_path(s, "txt")
+    rel.reads(s, d).orderBy("ord").select("seq").write.text(path)
+    return tables.read_plain_sequences(s, path)
+
+
+@query(f"WITH {READS} SELECT record_id, seq, repeat('I', CAST(length(seq) AS BIGINT)) AS quality FROM reads")
+def fastq_file(s, d):
+    path = new_path(s, "fastq")
+    r = rel.reads(s, d)
+    r.select(F.concat(F.lit("@"), "record_id", F.lit("\n"), "seq", F.lit("\n+\n"), F.expr("repeat('I', length(seq))"))).write.text(path)
+    return fasta.read_fastq(s, path).select("record_id", "seq", "quality")

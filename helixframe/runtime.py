@@ -79,5 +79,10 @@ def checked(df: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else growing(df)
 
 
+def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """Adds the columns of a table that is one row, an aggregate of everything."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(totals.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from helixframe import schemas
 from helixframe.operators.indexing import with_index
+from helixframe.runtime import growing
 
 
 def read_tsv(spark: SparkSession, path: str, schema: StructType, header: bool = False) -> DataFrame:
@@ -15,10 +16,15 @@ def read_tsv(spark: SparkSession, path: str, schema: StructType, header: bool =
     return spark.read.csv(path, sep="\t", schema=schema, header=header, quote="", mode="PERMISSIVE")
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """Adds the place of each row of a file scan: path, start of the split, row of the split.
+    Splits are read in any order, but rows of one split in theirs."""
+    return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_row"))
+
+
 def numbered(df: DataFrame) -> DataFrame:
-    """Adds ``ord`` in file order. Splits of a file are read in order of their start; the row id
-    of a split grows with its place, so a sort by it is a sort by place."""
-    return with_index(df.withColumn("_row", F.monotonically_increasing_id()), ["_row"], "ord").drop("_row")
+    """Adds ``ord``, numbers from 0 in the order of path and place, to the rows of :func:`placed`."""
+    return with_index(df, ["_file", "_at", "_row"], "ord").drop("_file", "_at", "_row")
 
 
 def read_satc(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
@@ -26,12 +32,25 @@ def read_satc(spark: SparkSession, path: str, header: bool = False) -> DataFrame
 
 
 def read_anchor_list(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path).select(F.trim("value").alias("anchor")).where("anchor <> ''")
+    lines = placed(spark.read.text(path)).withColumn("anchor", F.trim("value")).drop("value").where("anchor <> ''")
     return numbered(lines)
 
 
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
-    return numbered(read_tsv(spark, path, schemas.CLUSTERS))
+    return numbered(placed(read_tsv(spark, path, schemas.CLUSTERS)))
+
+
+def ranked_members(clusters: DataFrame) -> DataFrame:
+    """Adds ``place``, the 1-based place of each line in its cluster, from numbers over the whole
+    file less that of the cluster's first line; lines without a cluster are left out."""
+    d = with_index(clusters.where("cluster_id is not null"), ["cluster_id", "ord"], "_n")
+    first = d.groupBy("cluster_id").agg(F.min("_n").alias("_first"))
+    return d.join(growing(first), "cluster_id").withColumn("place", F.col("_n") - F.col("_first") + 1).drop("_n", "_first")
+
+
+def read_sequence_table(spark: SparkSession, path: str) -> DataFrame:
+    """``(record_id, seq, ord)`` of lines name, tab, sequence."""
+    return numbered(placed(read_tsv(spark, path, schemas.SEQUENCE_TSV)))
 
 
 def cluster_of_anchor(clusters: DataFrame) -> DataFrame:
@@ -76,13 +95,15 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
 def read_plain_sequences(spark: SparkSession, path: str) -> DataFrame:
     """``(record_id, seq)`` of bare sequence lines, named seq_0, seq_1, ...; lines that start
     with > are skipped."""
-    lines = spark.read.text(path).where(~F.col("value").startswith(">") & (F.trim("value") != ""))
+    lines = placed(spark.read.text(path)).where(~F.col("value").startswith(">") & (F.trim("value") != ""))
     return numbered(lines).select(F.concat(F.lit("seq_"), F.col("ord").cast("string")).alias("record_id"), F.trim("value").alias("seq"))
 
 
 def urls_of(text: DataFrame, column: str = "value", pattern: str = 'url": "(ftp://[^"]*)"') -> DataFrame:
-    """``(url)``: every address in fetched accession records, by pattern."""
-    return text.select(F.explode(F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(1))).alias("url"))
+    """``(..., url)``: every address in fetched accession records, by pattern, one row each, beside
+    the other columns. Null texts give no rows."""
+    keep = [c for c in text.columns if c not in (column, "url")]
+    return text.select(*keep, F.explode(F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(1))).alias("url"))
 
 
 def read_tensor_means(spark: SparkSession, path: str, layer: int = 33) -> DataFrame:
@@ -104,12 +125,25 @@ def read_tensor_means(spark: SparkSession, path: str, layer: int = 33) -> DataFr
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = False) -> None:
-    df.write.csv(path, sep="\t", header=header, nullValue="", emptyValue="", quote="")
+    df.write.csv(path, sep="\t", header=header, nullValue="", emptyValue="", quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_matrix(df: DataFrame, path: str) -> None:
     df.write.parquet(path)
 
 
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """``(sample_name, feature, value)`` of a matrix of :func:`write_matrix` or of a headered text
+    file whose first column names the sample; wide ones are melted, long ones stay. Inputs stay
+    where they are."""
+    parquet = not path.endswith((".tsv", ".txt", ".tsv.gz"))
+    df = spark.read.parquet(path) if parquet else spark.read.csv(path, sep="\t", header=True)
+    if {"sample_name", "feature", "value"} <= set(df.columns):
+        return df.select("sample_name", "feature", "value")
+    key, *rest = df.columns
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("value")) for c in rest]))
+    return df.select(F.col(f"`{key}`").alias("sample_name"), cells.alias("x")).select("sample_name", "x.feature", "x.value")
+
+
 def write_by_cluster(df: DataFrame, path: str, cluster: str = "cluster_id") -> None:
     df.repartition(cluster).write.partitionBy(cluster).csv(path, sep="\t")

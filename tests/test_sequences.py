@@ -65,6 +65,18 @@ def test_windows(spark):
     assert sorted(x["kmer"] for x in kmers.windows(records(spark, "ACGTACG"), 3, 3).collect()) == ["ACG", "TAC"]
 
 
+def test_long_records_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(kmers, "CHUNK", 7)
+    text = "ACGTTGCAAGGCTTAACCGTATGCGGA"
+    d = records(spark, text, "ACG", None, "")
+    for k, step in ((3, 1), (5, 2), (9, 9), (4, 11)):
+        want = {(i, text[i : i + k]) for i in range(0, len(text) - k + 1, step)} | ({(0, "ACG")} if k == 3 else set())
+        assert {(x["start"], x["kmer"]) for x in kmers.windows(d, k, step).collect()} == want
+    a = spark.createDataFrame([(0, "GCA"), (1, "GGC")], "ord long, anchor string")
+    got = sorted((x["anchor"], x["target"]) for x in kmers.anchor_hits(d.where("ord = 0"), a, 4).where("not reverse_complement").collect())
+    assert got == sorted((text[i : i + 3], text[i + 3 : i + 7]) for i in range(len(text) - 3) if text[i : i + 3] in ("GCA", "GGC", "TGC", "GCC"))
+
+
 def test_decomposition(spark):
     df = records(spark, "ACGTACG", "GTATT")
     assert {(x["kmer_id"], x["kmer"]) for x in kmers.distinct_kmers(df, 3, 2).collect()} == {("3mer_0", "ACG"), ("3mer_1", "GTA"), ("3mer_2", "ATT")}

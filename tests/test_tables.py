@@ -100,15 +100,57 @@ def test_edit_distance_join_hot_pieces(spark, family):
     assert {tuple(x) for x in got.collect()} == want and len(want) > len(rows)
 
 
-def test_leaders(spark, family):
+@pytest.mark.parametrize("d", [2, 5, 10])
+def test_edit_distance_join_of_short_pieces(spark, d):
+    """Pieces of few letters make keys in pairs."""
+    r, rows = random.Random(d), []
+    for _ in range(14):
+        base = "".join(r.choice("ACGT") for _ in range(r.choice([d + 1, 14, 27, 54])))
+        for _ in range(4):
+            s = list(base)
+            for _ in range(r.randrange(0, d + 2)):
+                i = r.randrange(len(s)) if s else 0
+                s[i : i + 1] = r.choice([[], [r.choice("ACGT")], [r.choice("ACGT"), r.choice("ACGT")]])
+            rows.append("".join(s))
+    rows = sorted(set(rows))
+    x = spark.createDataFrame(list(enumerate(rows)), "id long, seq string")
+    want = {(i, j, lev(a, b)) for i, a in enumerate(rows) for j, b in enumerate(rows) if i < j and lev(a, b) <= d}
+    assert {tuple(x) for x in cluster.lev_pairs(x, d).collect()} == want
+
+
+@pytest.mark.parametrize("most", [None, 5])
+def test_leaders(spark, family, most):
+    d = spark.createDataFrame([(i, -i, s) for i, s in enumerate(family)], "id long, back long, seq string")
+
+    def scan(order):
+        lead = []
+        for i in order:
+            if all(lev(family[i], family[j]) >= 4 for j in lead) and len(lead) < (most or 10**6):
+                lead.append(i)
+        return sorted(lead)
+
+    for order, ids in (("id", range(len(family))), ("back", reversed(range(len(family))))):
+        got = {x["id"]: x["leader"] for x in cluster.leader_clusters(d, 4, order, most).collect()}
+        lead = scan(ids)
+        assert sorted(set(got.values())) == lead
+        near = {i: min((lev(s, family[j]), j) for j in lead) for i, s in enumerate(family)}
+        assert got == {i: j for i, (x, j) in near.items() if x < 4}
+    assert cluster.leader_clusters(d, 4, None, most).count() > 0
+
+
+def test_members_and_samples(spark, family):
+    c = spark.createDataFrame([(i, i % 5, s) for i, s in enumerate(family)], "ord long, cluster_id long, seq string")
     d = spark.createDataFrame(list(enumerate(family)), "id long, seq string")
-    lead = []
-    for i, s in enumerate(family):
-        if all(lev(s, family[j]) >= 4 for j in lead):
-            lead.append(i)
-    got = {x["id"]: x["leader"] for x in cluster.leader_clusters(d, 4).collect()}
-    assert sorted(set(got.values())) == lead and len(got) == len(family)
-    assert all(lev(family[i], family[j]) < 4 for i, j in got.items() if i != j)
+    assert cluster.assign_to_clusters(d, c, 3, most=2).count() < cluster.assign_to_clusters(d, c, 3).count() == len(family)
+    got = {tuple(x) for x in cluster.sampled_pairs(d, 3).collect()}
+    every = {(i, j, lev(a, b)) for i, a in enumerate(family) for j, b in enumerate(family) if lev(a, b) <= 3}
+    assert got < every and {tuple(x) for x in cluster.sampled_pairs(d, 3, 1.0).collect()} == every
+
+
+def test_order_by_effect(spark):
+    m = spark.createDataFrame([(2, "a"), (1, "b"), (1, "c"), (1, "d")], "cluster int, anchor string")
+    st = spark.createDataFrame([("b", 0.2), ("c", 0.9)], "anchor string, effect_size_bin double")
+    assert [(x["place"], x["anchor"]) for x in cluster.ordered_by_effect(m, st).orderBy("place").collect()] == [(0, "c"), (1, "b"), (2, "d"), (3, "a")]
 
 
 def test_components(spark):
@@ -151,6 +193,9 @@ def test_vectors(spark):
     d = spark.createDataFrame([("s1", "b", 2.0), ("s1", "a", 1.0), ("s2", "c", 3.0)], "sample_name string, feature string, value double")
     got = {x["sample_name"]: x["features"] for x in features.vectors(d).collect()}
     assert got == {"s1": [1.0, 2.0, 0.0], "s2": [0.0, 0.0, 3.0]}
+    assert features.vectors(d.where("false")).count() == 0
+    names = spark.createDataFrame([("cluster_3_embedding_12",), ("Intercept",), ("cluster_0_PC_1",)], "feature string")
+    assert {tuple(x) for x in features.feature_parts(names).collect()} == {("cluster_3_embedding_12", 3, 12), ("Intercept", None, None), ("cluster_0_PC_1", 0, 1)}
 
 
 def test_fasta(spark, tmp_path):
@@ -160,6 +205,19 @@ def test_fasta(spark, tmp_path):
     fasta.register(spark)
     got = spark.read.format("fasta").load(str(tmp_path / "in")).orderBy("ord").collect()
     assert [(x["record_id"], x["seq"]) for x in got] == [("x", "ACGTAC"), ("y", ""), ("z", "TT"), ("q", "ACGT"), ("r", "TT")]
+    (tmp_path / "in" / "c.fa").write_text(">last\nGG")
+    (tmp_path / "in" / "a0.fa").write_text(">big\n" + "ACGTACGT\n" * 3000)
+    got = fasta.read_fasta(spark, str(tmp_path / "in" / "*.fa")).orderBy("ord").collect()
+    assert [(x["record_id"], x["description"], x["seq"]) for x in got] == [("x", "x one", "ACGTAC"), ("y", "y", ""), ("z", "z", "TT"), ("big", "big", "ACGTACGT" * 3000), ("last", "last", "GG")]
+    assert [x["ord"] for x in got] == list(range(5))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1000)  # a record may reach over many splits
+    try:
+        assert [tuple(x) for x in fasta.read_fasta(spark, str(tmp_path / "in" / "*.fa")).orderBy("ord").collect()] == [tuple(x) for x in got]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "r.fastq").write_text("@q one\nACGT\n+\n@@@@\n@r\nTT\n+\nII\n")
+    got = fasta.read_fastq(spark, str(tmp_path / "r.fastq")).orderBy("ord").collect()
+    assert [(x["record_id"], x["seq"], x["quality"]) for x in got] == [("q", "ACGT", "@@@@"), ("r", "TT", "II")]
     fasta.write_fasta(spark.createDataFrame([("a", "ACGTA")], "record_id string, seq string"), str(tmp_path / "out"), 2)
     assert spark.read.text(str(tmp_path / "out")).count() == 4
 
@@ -169,5 +227,16 @@ def test_text_readers(spark, tmp_path):
     assert [tuple(x) for x in tables.read_satc(spark, str(tmp_path / "satc.tsv")).collect()] == [("s1", "AAA", "CC", 3), ("s2", "AAA", "CC", None)]
     (tmp_path / "list").write_text(" AAA \n\nCCC\n")
     assert [tuple(x) for x in tables.read_anchor_list(spark, str(tmp_path / "list")).orderBy("ord").select("anchor", "ord").collect()] == [("AAA", 0), ("CCC", 1)]
+    (tmp_path / "two").mkdir()  # the smaller file comes first, although the larger one is read first
+    (tmp_path / "two" / "a.txt").write_text("AAA\nAAC\n")
+    (tmp_path / "two" / "b.txt").write_text("CCC\n" + "GGG\n" * 500)
+    got = [x["anchor"] for x in tables.read_anchor_list(spark, str(tmp_path / "two")).orderBy("ord").collect()]
+    assert got == ["AAA", "AAC", "CCC"] + ["GGG"] * 500
+    (tmp_path / "cl").write_text("1\tA\n2\tB\n1\tC\n2\tA\n\tD\n")
+    c = tables.read_clusters(spark, str(tmp_path / "cl"))
+    assert {tuple(x) for x in tables.cluster_of_anchor(c).where("cluster_id is not null").collect()} == {("A", 2), ("B", 2), ("C", 1)}
+    assert {(x["cluster_id"], x["anchor"], x["place"]) for x in tables.ranked_members(c).collect()} == {(1, "A", 1), (1, "C", 2), (2, "B", 1), (2, "A", 2)}
+    (tmp_path / "wide.tsv").write_text("sample\tf1\tf2\ns1\t0.5\t2\n")
+    assert {tuple(x) for x in tables.read_matrix(spark, str(tmp_path / "wide.tsv")).collect()} == {("s1", "f1", 0.5), ("s1", "f2", 2.0)}
     (tmp_path / "emb").write_text("k1\t0.5\t1.5\n")
     assert tables.read_embeddings(spark, str(tmp_path / "emb")).first()["embedding"] == [0.5, 1.5]

@@ -6,6 +6,7 @@ import pytest
 from test_tables import lev
 
 from helixframe import queries
+from helixframe.operators import cluster
 from pyspark.sql import functions as F
 
 
@@ -46,8 +47,12 @@ def test_assign_to_all_members(spark, listed):
     for s, i in nodes(rows).items():
         x, _, c = min((lev(s, m), low[c], c) for _, c, m in rows if c is not None)
         want.add((i, c, x))
-    got = {tuple(x) for x in queries.assign_to_clusters(spark, d).collect()}
+    n = spark.createDataFrame([(i, s) for s, i in nodes(rows).items()], "id long, seq string")
+    c = spark.createDataFrame(rows, "ord long, cluster_id long, seq string").where("cluster_id is not null")
+    got = {tuple(x) for x in cluster.assign_to_clusters(n, c).collect()}
     assert got == want and len({c for _, c, _ in got}) == 12
+    # the query takes the sequences whose id is divisible by 100 against every member
+    assert {tuple(x) for x in queries.assign_to_clusters(spark, d).collect()} == {x for x in want if x[0] % 100 == 0}
 
 
 @pytest.fixture(scope="module")
