@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.runtime import checked, cut, growing
+from helixframe.runtime import checked, cut, growing, with_totals
 
 #: A word is an unbroken run of letters and digits.
 WORD = r"[\p{L}\p{N}]+"
@@ -98,7 +98,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, words: int = 20) -> Dat
     seen = index.groupBy("tid").agg(F.count("*").alias("n"))
     every = seen.agg(F.sum("n").alias("every"))
     weight = F.log((F.col("every") + 1) / F.coalesce("n", F.lit(1)))
-    t = terms.join(seen, "tid", "left").crossJoin(every).select("item", "tid", weight.alias("weight"))
+    t = with_totals(terms.join(seen, "tid", "left"), every).select("item", "tid", weight.alias("weight"))
     once = t.distinct()
     bound = t.groupBy("item").agg((F.avg("weight") * words).alias("b")).join(once.groupBy("item").agg((F.sum("weight") * 0.8).alias("most")), "item")
     once = once.join(bound.select("item", F.least("b", "most").alias("bound")), "item")
