@@ -160,7 +160,10 @@ class Normalised:
             t = ODD.sub(lambda m: ONE[ord(m.group())], t)
         self.layers: list[tuple[list[int], list[int]]] = []
         t = self._rewrite(t, _edits(t))
-        spelt = [(m.start(), m.end(), _digits(m.group())) for m in SPELT_DIGITS.finditer(t)] if sum(map(DIGIT_TOKENS.__contains__, t.lower().replace("-", " ").split())) > 5 else []
+        #: Words between blanks, folded; cheap tests on them spare searches of the whole text.
+        self.words = t.casefold().replace("-", " ").split()
+        many = not DIGIT_TOKENS.isdisjoint(self.words) and sum(map(DIGIT_TOKENS.__contains__, self.words)) > 5
+        spelt = [(m.start(), m.end(), _digits(m.group())) for m in SPELT_DIGITS.finditer(t)] if many else []
         edits = sorted([*spelt, *_mail_signs(t)])
         kept = [x for k, x in enumerate(edits) if not k or x[0] >= edits[k - 1][1]]
         self.text = self._rewrite(t, kept) if kept else t
@@ -229,7 +232,7 @@ PHONE = re.compile(
     r")(?![\w/*█]|[ \-.]?[*█]|-\d)"
 )
 #: Seven figures are a local number where a word for telephoning stands before them.
-LOCAL_PHONE = re.compile(r"(?<![\w/.\-+*█)])\d{3}-\d{4}(?![\w/*█]|[ \-.]?[*█]|-\d)")
+LOCAL_PHONE = re.compile(r"\d{3}-\d{4}(?<![\w/.\-+*█)]\d{3}-\d{4})(?![\w/*█]|[ \-.]?[*█]|-\d)")
 PHONE_WORD = re.compile(r"(?i)\b(?:tel|t[ée]l[ée]ph?on|phon|fax|call|rang|ring|rung|dial|mobil|cell|handy|ruf|anruf|appel|joign|llam|contact|number|nummer|num[ée]ro|at|unter|au|al)\w*[\s.:,\-]{0,12}(?:(?:facilitado|given|angegebene|no|nr|on|is|was|to|the|number|auf|unter|sur|le|al|n[°º])\b[\s.:,]*){0,3}$|[(;]\s*$")
 _ID_END = r"(?![\w*█]|-\d|/\d)"
 ID_LETTERS = re.compile(
@@ -247,6 +250,8 @@ ID_WORD = re.compile(
     r"(?i)(?:passport|reisepass|passeport|pasaporte|personalausweis|identity\s+card|identit[ée]|identidad|\bDNI|\bNI[EF]|national\s+insurance|versicherungsnummer|steuer(?:nummer|-?id\w*)|social\s+security|sécurité\s+sociale|seguridad\s+social|\btax)"
     r"[\s\-]*(?:card|identification)?[\s\-]*(?:number|no|nr|num|nummer|id|número|numéro|n[°º])?[\s.:,#]{0,3}(?:is|was|ist|lautet|es|est)?[\s:]*$"
 )
+#: One of these stands in every text that holds such a word, folded.
+ID_HINTS = ("pass", "pasaporte", "ausweis", "identi", "dni", "nie", "nif", "insurance", "versicherung", "steuer", "social", "tax")
 OWN_NUMBER = re.compile(rf"(?:[A-Z]{{1,2}}[ \-]?)?\d(?:[ \-./]?\d){{5,16}}[A-Z]?{_ID_END}")
 PREFIX = re.compile(r"(?:(?<![A-Za-z])[A-Z]{1,2}[ \-]?)?$")
 #: Check letters of the Spanish numbers, by remainder.
@@ -264,7 +269,13 @@ def _checks(number: str) -> bool:
     return CHECK_LETTERS[int(head) % 23] == n[-1]
 
 
+def _hinted(t: str) -> bool:
+    low = t.casefold()
+    return any(w in low for w in ID_HINTS)
+
+
 def id_numbers(t: str) -> Iterator[tuple[int, int]]:
+    cued = None
     for m in DIGITS.finditer(t):
         a = m.start()
         left = t[max(0, a - 3) : a]
@@ -273,12 +284,16 @@ def id_numbers(t: str) -> Iterator[tuple[int, int]]:
                 yield hit.span()
                 break
         else:
-            checked = (back for back in (0, 1, 2) if not back or left[-back : len(left) - back + 1] in "XYZ12")
-            hit = next((h for back in checked if (h := CHECKED.match(t, a - back)) and _checks(h.group())), None)
-            if hit is None and OWN_NUMBER.match(t, a):
-                start = a - len(PREFIX.search(left).group())
-                if ID_WORD.search(t, max(0, start - 60), start):
-                    hit = OWN_NUMBER.match(t, start)
+            size, hit = m.end() - a, None
+            if size >= 7:
+                checked = (back for back in (0, 1, 2) if not back or left[-back : len(left) - back + 1] in "XYZ12")
+                hit = next((h for back in checked if (h := CHECKED.match(t, a - back)) and _checks(h.group())), None)
+            if hit is None and size >= 6:
+                cued = _hinted(t) if cued is None else cued
+                if cued and OWN_NUMBER.match(t, a):
+                    start = a - len(PREFIX.search(left).group())
+                    if ID_WORD.search(t, max(0, start - 60), start):
+                        hit = OWN_NUMBER.match(t, start)
             if hit:
                 yield hit.span()
     for m in ID_DIGITS.finditer(t):
@@ -288,7 +303,7 @@ def id_numbers(t: str) -> Iterator[tuple[int, int]]:
 #: What stands before numbers that are nobody's own.
 NOT_PERSONAL = re.compile(r"(?i)(?:account|acct|konto\w*|compte|cuenta|file|reference|exhibit|anlage|pi[eè]ce|documento|docket|order|dossier|az|aktenzeichen|bundle|tab|case|ref|invoice|rechnung|iban)\W{0,3}(?:no\b|nr\b|n\b|n°|nº)?[\W]{0,4}$")
 
-_NO = r"\d{1,4}(?:\s?[a-d]|[A-Z])?(?:\s?-\s?\d{1,4}\s?[a-d]?)?"
+_NO = r"\d{1,4}[A-Z]?\s?[a-d]?(?:\s?-\s?\d{1,4}\s?[a-d]?)?"
 _CAP = r"[A-ZÀ-Þ][\w']*"
 STREETS = [
     re.compile(
@@ -301,13 +316,11 @@ STREETS = [
     ),
 ]
 
-#: Words of which each pattern needs one, folded: a text without them is not searched.
-STREET_WORDS = [
-    "street row lane road drive close hill avenue terrace walk mews square way gardens quay wharf crescent grove st ln rd dr cl ave av ter sq".split(),
-    [f" {w} " for w in "rue quai place avenue allée allee chemin impasse boulevard cours square passage route sentier bd av.".split()],
-    "calle plaza avenida avda paseo camino ronda travesía carretera c/".split(),
-    "strasse str. allee weg gasse ring platz ufer damm speicher markt steig chaussee".split(),
-]
+#: What a word before a blank must be, or end in, for each pattern, folded: a text without such a
+#: word is not searched. Numbers before English street words stand in nearly every text.
+FRENCH_WORDS = frozenset("rue quai place avenue allée allee chemin impasse boulevard cours square passage route sentier bd av.".split())
+SPANISH_ENDS = tuple(f"{w} " for w in "calle plaza avenida avda. paseo camino ronda travesía carretera c/".split())
+GERMAN_ENDS = tuple(f"{w} " for w in "strasse str. allee weg gasse ring platz ufer damm speicher markt steig chaussee".split())
 
 # ---------------------------------------------------------------- persons
 
@@ -345,7 +358,7 @@ RUN = re.compile(
 PIECE = re.compile(r"\S+")
 REVERSED = re.compile(rf",\s+(?P<given>{_TOKEN})(?:\s+[A-ZÀ-Þ]\.)?(?![\w*█])")
 MASKED = re.compile(r"[*█_…]|\.\.\.|\[|'?\w|@")
-STREET_END = re.compile(r"[a-zäöü](?:stra(?:ß|ss)e|allee|gasse|chaussee)$")
+STREET_END = ("straße", "strasse", "allee", "gasse", "chaussee")
 CAPS_AFTER = re.compile(r"\s*(?:[—–-]|v\.? |vs\.? |\./\.|,? *(?:appel|intim|demand|défend|Kläg|Bekl)|(?:AND|ET|UND|Y|CONTRA|contra|gegen|and|et|und|y)\b|\n|$)")
 
 
@@ -368,7 +381,9 @@ def persons(text: str, french: bool) -> Iterator[tuple[int, int]]:
         whole = run.group()
         if whole in COMMON or text[start - 1 : start] in _GLUED and start:
             continue
-        before = text[max(0, start - 16) : start].split()
+        # what ends in none of the last letters of offices and particles is not looked at
+        near = text[start - 2 : start - 1]
+        before = text[max(0, start - 16) : start].split() if near in _LAST or near.isspace() else []
         titled = bool(before) and before[-1] in OFFICE_BEFORE
         if len(before) > 1 and before[-1] in PARTICLES and before[-2] in OFFICE_BEFORE:
             titled, particle = True, text.rfind(before[-1], 0, start)
@@ -394,13 +409,16 @@ def persons(text: str, french: bool) -> Iterator[tuple[int, int]]:
             yield from _judged(text, piece, titled, True)
 
 
+_LAST = {w[-1] for w in OFFICE_BEFORE | PARTICLES}
 _GLUED = set("'@.*█-/+&_0123456789abcdefghijklmnopqrstuvwxyzäöüß")
 
 
 def _judged(text: str, piece: list[tuple[str, int, int]], titled: bool, last: bool) -> Iterator[tuple[int, int]]:
+    if len(piece) == 1 and not titled and not (last and piece[0][0].isupper()):
+        return  # a bare word
     words = [t for t, _, _ in piece]
     end = piece[-1][2]
-    if any(_bare(w).casefold() in NOT_PERSON or "_" in w or STREET_END.search(w) for w in words):  # "_" blacks out letters
+    if any(_bare(w).casefold() in NOT_PERSON or "_" in w or w.endswith(STREET_END) for w in words):  # "_" blacks out letters
         return
     if words[-1].isupper() and text[end : end + 1] == " " and text[end + 1 : end + 2].isdigit():  # a law report with its page
         return
@@ -466,10 +484,11 @@ def detect(text: str | None) -> list[tuple[str, int, int]]:
     for a, b in n.spelt:
         if not NOT_PERSONAL.search(t, max(0, a - 30), a):
             spans.append(("id_number" if ID_WORD.search(t, max(0, a - 60), a) else "phone", a, b))
-    low = t.casefold().replace("\n", " ")
     french = t.count(" les ") + t.count(" des ") + t.count(" du ") + t.count(" été ") > t.count(" the ") + t.count(" of ")
-    for p, words in zip(STREETS, STREET_WORDS, strict=True):
-        if any(w in low for w in words):
+    ends = " ".join(n.words) + " "
+    wanted = (True, not FRENCH_WORDS.isdisjoint(n.words), any(w in ends for w in SPANISH_ENDS), any(w in ends for w in GERMAN_ENDS))
+    for p, used in zip(STREETS, wanted, strict=True):
+        if used:
             spans += [("address", *m.span()) for m in p.finditer(t) if not m.start() or t[m.start() - 1] not in _BEFORE_STREET]
     spans += [("person", a, b) for a, b in persons(t, french)]
     out: list[tuple[str, int, int]] = []
