@@ -11,10 +11,11 @@ import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from helixframe.operators import splits
+from helixframe.operators.crossval import right_of_path
 from helixframe.operators.features import sparse_rows, vectors
 from helixframe.operators.ranking import distributed_rank
 from helixframe.operators.splits import uniform
@@ -24,6 +25,8 @@ from helixframe.runtime import cut, growing
 MAX_CLASSES = 200
 #: Rows of a task of a fit.
 ROWS = 2000
+#: Labels that are fitted at the same time.
+AT_ONCE = 4
 
 
 def classes_of(df: DataFrame, label: str, most: int = MAX_CLASSES) -> list[str]:
@@ -45,8 +48,8 @@ def _lasso(penalty: float, iterations: int) -> LogisticRegression:
     return LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", elasticNetParam=1.0, regParam=penalty, standardization=True, maxIter=iterations)
 
 
-def penalty_path(d: DataFrame, n: int = 10, ratio: float = 0.01) -> list[float]:
-    """Descending penalties from the data: from the least at which all coefficients are 0, which
+def penalty_path(d: DataFrame, n: int = 10, ratio: float = 0.01) -> tuple[list[float], Row]:
+    """Descending penalties from the data, and ``mean``, ``std`` and ``count`` of the features: from the least at which all coefficients are 0, which
     is the largest class share times distance of the class mean from the mean in deviations,
     down to ``ratio`` of it, evenly in logarithms. One pass gathers a mean for each class."""
     every = d.select(Summarizer.metrics("mean", "std", "count").summary(F.col("x")).alias("s")).select("s.mean", "s.std", "s.count").first()
@@ -54,34 +57,28 @@ def penalty_path(d: DataFrame, n: int = 10, ratio: float = 0.01) -> list[float]:
     per = d.groupBy("y").agg(Summarizer.mean(F.col("x")).alias("m"), F.count("*").alias("n")).collect()
     scale = np.where(std > 0, std, np.inf)
     top = max([float(np.max(r["n"] / total * np.abs(r["m"].toArray() - mean) / scale)) for r in per if total] or [0.0])
-    return [top * ratio ** (i / max(n - 1, 1)) for i in range(n)] if top > 0 else [1.0]
+    return [top * ratio ** (i / max(n - 1, 1)) for i in range(n)] if top > 0 else [1.0], every
 
 
-def fit_lasso(df: DataFrame, key: str, features: str, label: str, folds: int = 3, penalties: int = 10, iterations: int = 50, parallel: int = 8):
+def fit_lasso(df: DataFrame, key: str, features: str, label: str, folds: int = 3, penalties: int = 10, iterations: int = 50):
     """Multinomial lasso at the penalty of best cross-validated accuracy (the larger of equals).
 
-    Folds come from a hash of ``key``, the penalties from :func:`penalty_path`. Returns the model,
-    the classes and the chosen penalty; None if there are fewer than two classes.
+    Folds come from a hash of ``key``, the penalties from :func:`penalty_path`; all folds and
+    penalties are fitted in the same passes. Returns the model, the classes and the chosen
+    penalty; None if there are fewer than two classes.
     """
     d, classes = labelled(df, features, label)
     if len(classes) < 2:
         return None
-    d = cut(d.withColumn("fold", F.floor(uniform(F.col(key), 1) * folds)).select("x", "y", "fold"))
-    # every iteration of a fit is a job: few rows go to few tasks, and stay in memory for all fits
+    d = cut(d.withColumn("fold", F.floor(uniform(F.col(key), 1) * folds).cast("int")).select("x", F.col(features).cast("array<double>").alias("row"), "y", "fold"))
+    # every step of a fit is a job: few rows go to few tasks, and stay in memory for all steps
     d = d.coalesce(d.count() // ROWS + 1).persist()
-    path = penalty_path(d, penalties)
-
-    def right(job: tuple[float, int]) -> float:
-        p, f = job
-        m = _lasso(p, iterations).fit(d.where(F.col("fold") != f))
-        return m.transform(d.where(F.col("fold") == f)).agg(F.sum((F.col("prediction") == F.col("y")).cast("int"))).first()[0] or 0
-
-    used = [r["fold"] for r in d.groupBy("fold").count().collect()] if len(path) > 1 else []
-    jobs = [(p, f) for p in path for f in used if len(used) > 1]
-    with ThreadPoolExecutor(parallel) as pool:
-        hits = list(pool.map(right, jobs))
-    score = {p: sum(h for (q, _), h in zip(jobs, hits, strict=True) if q == p) for p in path}
-    best = max(path, key=lambda p: (score[p], p))
+    path, every = penalty_path(d, penalties)
+    sizes = {r["fold"]: r["count"] for r in d.groupBy("fold").count().collect()}
+    best = path[0]
+    if len(path) > 1 and len(sizes) > 1:
+        hits = right_of_path(d.select(F.col("row").alias("x"), "y", "fold"), every["mean"].toArray(), every["std"].toArray(), len(classes), path, sizes)
+        best = path[int(np.argmax(hits))]
     chosen = _lasso(best, iterations).fit(d)
     d.unpersist()
     return chosen, classes, best
@@ -173,16 +170,15 @@ def fit_labels(long: DataFrame, meta: DataFrame, *, select: Selector | None = No
     every, ready = label_samples(long, meta, **(samples or {}))
     every = cut(every)
     wide, table = (None, None) if select else _matrix(long)
-    coefs, matrices, status = [], [], []
-    for name, state, n, k in ready.orderBy("label").limit(10_000).collect():
-        if state != "ready":
-            status.append((name, state, n, k, None))
-            continue
+    found = ready.orderBy("label").limit(10_000).collect()
+
+    def one(name: str):
         d = every.where(F.col("label") == name).drop("label")
+        x, names = wide, table
         if select:
             chosen = long.join(growing(select(long, d.select("sample_name", "class"))), "feature", "left_semi")
-            wide, table = _matrix(chosen)
-        x = cut(wide.join(growing(d), "sample_name"))
+            x, names = _matrix(chosen)
+        x = cut(x.join(growing(d), "sample_name"))
         got = None
         for _ in range(2):
             try:
@@ -191,15 +187,21 @@ def fit_labels(long: DataFrame, meta: DataFrame, *, select: Selector | None = No
             except Exception:  # noqa: BLE001, S112 - a fit that fails is tried once more, then left out
                 continue
         if got is None:
-            status.append((name, "no fit", n, k, None))
-            continue
+            return None
         model, classes, penalty = got
-        status.append((name, "fitted", n, k, float(penalty)))
         at = F.array(*map(F.lit, classes))
         test = labelled_as(x.where("split = 'test'"), classes)
         guess = model.transform(test).select(F.col("class").alias("true_class"), F.element_at(at, (F.col("prediction") + 1).cast("int")).alias("predicted_class"))
-        matrices.append(confusion(guess, "true_class", "predicted_class").select(F.lit(name).alias("label"), "*"))
-        coefs.append(coefficients(spark, model, classes, table).select(F.lit(name).alias("label"), "*"))
+        matrix = confusion(guess, "true_class", "predicted_class").select(F.lit(name).alias("label"), "*")
+        return coefficients(spark, model, classes, names).select(F.lit(name).alias("label"), "*"), matrix, float(penalty)
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        got = dict(zip([r["label"] for r in found if r["status"] == "ready"], pool.map(one, [r["label"] for r in found if r["status"] == "ready"]), strict=True))
+    coefs, matrices = [g[0] for g in got.values() if g], [g[1] for g in got.values() if g]
+    status = []
+    for name, state, n, k in found:
+        fitted = got.get(name)
+        status.append((name, ("fitted" if fitted else "no fit") if state == "ready" else state, n, k, fitted[2] if fitted else None))
     none = lambda schema: spark.createDataFrame([], schema)
     matrix = cut(reduce(DataFrame.union, matrices)) if matrices else none("label string, true_class string, predicted_class string, n long")
     per = [scores(matrix.where(F.col("label") == s[0]).drop("label")).select(F.lit(s[0]).alias("label"), "*") for s in status if s[1] == "fitted"]

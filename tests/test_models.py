@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from helixframe.operators import features, model, splits
+from helixframe.operators import crossval, features, model, splits
 
 
 @pytest.fixture(scope="module")
@@ -73,12 +74,34 @@ def test_two_stages(spark, labelled):
 def test_penalty_path(spark, labelled):
     long, meta = labelled
     d, _ = model.labelled(features.vectors(long).join(meta.where("metadata = 'm'"), "sample_name"), "features", "class")
-    path = model.penalty_path(d, 4)
+    path, _ = model.penalty_path(d, 4)
     assert path == sorted(path, reverse=True) and abs(path[-1] / path[0] - 0.01) < 1e-9
     assert not model._lasso(path[0] * 1.01, 50).fit(d).coefficientMatrix.toArray().any()
     assert model._lasso(path[0] * 0.8, 50).fit(d).coefficientMatrix.toArray().any()
 
 
+def test_joint_folds_agree_with_single_fits(spark, labelled):
+    long, meta = labelled
+    long = long.withColumn("value", long["value"] + F.xxhash64("sample_name", "feature") % 100 / 60)  # not all rows can be right
+    d, _ = model.labelled(features.vectors(long).join(meta.where("metadata = 'm'"), "sample_name"), "features", "class")
+    d = d.withColumn("fold", F.pmod(F.xxhash64("sample_name"), F.lit(2)).cast("int")).persist()
+    path, every = model.penalty_path(d, 4)
+    sizes = {r["fold"]: r["count"] for r in d.groupBy("fold").count().collect()}
+    rows = d.select(F.col("features").alias("x"), "y", "fold").repartition(3)
+    args = (every["mean"].toArray(), every["std"].toArray(), 3, path, sizes)
+    hits = crossval.right_of_path(rows, *args)
+    single = [sum(model._lasso(p, 50).fit(d.where(F.col("fold") != f)).transform(d.where(F.col("fold") == f)).where("prediction = y").count() for f in sizes) for p in path]
+    assert all(abs(a - b) <= 6 for a, b in zip(hits, single, strict=True)) and max(hits) > min(hits)
+    kept = crossval.TOGETHER, crossval.FAN_IN, crossval.BLOCK
+    args = (*args[:3], path[:2], sizes)
+    try:  # penalties one after the other, sums added up in tasks, one row a block
+        crossval.TOGETHER, crossval.FAN_IN, crossval.BLOCK = 1, 1, 1
+        apart = crossval.right_of_path(rows, *args, steps=6)
+    finally:
+        crossval.TOGETHER, crossval.FAN_IN, crossval.BLOCK = kept
+    assert len(apart) == 2 and apart[0] == hits[0] and abs(apart[1] - single[1]) <= 24
+
+
 def test_split_modes(spark):
     d = spark.createDataFrame([(i, f"p{i % 20}_x{i}", "ab"[i % 2], "old") for i in range(200)], "id long, name string, c string, split string")
     n = {x["split"]: x["n"] for x in splits.prefix_split(d, "name").select("prefix", "split").distinct().groupBy("split").count().withColumnRenamed("count", "n").collect()}
