@@ -3,6 +3,7 @@
 import random
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from test_tables import lev
 
@@ -24,7 +25,8 @@ def near(seed, s, n):
 
 
 def written(spark):
-    return sum(x.stat().st_size for x in Path(run_dir(spark).removeprefix("file://")).rglob("*.parquet"))
+    """Rows of all intermediate tables."""
+    return sum(pq.read_metadata(x).num_rows for x in Path(run_dir(spark).removeprefix("file://")).rglob("*.parquet"))
 
 
 def test_assignment_writes_no_candidates(spark):
@@ -34,7 +36,7 @@ def test_assignment_writes_no_candidates(spark):
     c = spark.createDataFrame([(i, i % 50, s) for i, s in enumerate(members)], "ord long, cluster_id long, seq string")
     before = written(spark)
     assert [tuple(x) for x in cluster.assign_to_clusters(q, c).collect()] == [(0, 7, lev(asked[0], members[7]))]
-    assert written(spark) - before < 3 * 54 * len(members)
+    assert written(spark) - before < 6 * len(members)
 
 
 @pytest.mark.parametrize("hot", [400, 3])
@@ -51,3 +53,20 @@ def test_blocks(spark, monkeypatch, hot):
     assert len(got) == len(want) and set(got) == want
     own = [tuple(x) for x in cluster.lev_pairs(d, 4).collect()]
     assert len(own) == len(set(own)) and set(own) == {x for x in want if x[0] < x[1]}
+
+
+def test_leaders_are_sought_among_the_first(spark, monkeypatch):
+    rows = texts(7, 400)
+    rows += [near(i, s, 3) for i, s in enumerate(rows)]
+    seen = []
+    pairs = cluster.lev_pairs
+    monkeypatch.setattr(cluster, "lev_pairs", lambda d, *a: (seen.append(d.count()), pairs(d, *a))[1])
+    got = {x["id"]: x["leader"] for x in cluster.leader_clusters(spark.createDataFrame(list(enumerate(rows)), "id long, seq string"), 10, "id", 20).collect()}
+    assert got == {i: i % 400 for i in range(800) if i % 400 < 20}
+    assert sum(seen) <= 20 * cluster.FIRST
+    # few leaders among the first: more are looked at
+    rows = [near(i, rows[0], 2) for i in range(60)] + texts(8, 40)
+    rows = list(dict.fromkeys(rows))
+    n = sum(lev(rows[0], s) < 10 for s in rows)
+    got = {x["leader"] for x in cluster.leader_clusters(spark.createDataFrame(list(enumerate(rows)), "id long, seq string"), 10, "id", 20).collect()}
+    assert got == {0, *range(n, n + 19)}
