@@ -70,3 +70,12 @@ def test_leaders_are_sought_among_the_first(spark, monkeypatch):
     n = sum(lev(rows[0], s) < 10 for s in rows)
     got = {x["leader"] for x in cluster.leader_clusters(spark.createDataFrame(list(enumerate(rows)), "id long, seq string"), 10, "id", 20).collect()}
     assert got == {0, *range(n, n + 19)}
+
+
+def test_links_are_computed_once(spark, monkeypatch):
+    """Components read their links more than once: they are a table, not a join that runs again."""
+    given, of = [], cluster.clusters_by_size
+    monkeypatch.setattr(cluster, "clusters_by_size", lambda n, e: (given.append(e), of(n, e))[1])
+    d = spark.createDataFrame([(0, "ACGTACGTACGT"), (1, "ACGTACGTACG"), (2, "TTTTTTTTTTTT")], "id long, seq string")
+    assert {tuple(x) for x in cluster.lev_clusters(d, 3).collect()} == {(0, 0), (0, 1), (1, 2)}
+    assert given[0]._cut_path in "".join(given[0].inputFiles())
