@@ -8,7 +8,9 @@ import pytest
 from test_tables import lev
 
 from helixframe.operators import blockjoin, cluster
+from helixframe.plans import pipeline
 from helixframe.runtime import run_dir
+from pyspark.sql import functions as F
 
 
 def texts(seed, n, size=54):
@@ -79,3 +81,16 @@ def test_links_are_computed_once(spark, monkeypatch):
     d = spark.createDataFrame([(0, "ACGTACGTACGT"), (1, "ACGTACGTACG"), (2, "TTTTTTTTTTTT")], "id long, seq string")
     assert {tuple(x) for x in cluster.lev_clusters(d, 3).collect()} == {(0, 0), (0, 1), (1, 2)}
     assert given[0]._cut_path in "".join(given[0].inputFiles())
+
+
+def test_features_are_described_by_counted_kmers(spark, monkeypatch):
+    """The description equals that of all values, which are never made for it."""
+    r, names = random.Random(9), sorted(set(texts(9, 30, 27)))
+    c = spark.createDataFrame([(f"s{i}", a, x, 1) for i in range(12) for a in names for x in [r.choice(texts(10, 3, 27))] if r.random() < 0.6], "sample string, anchor string, target string, count long")
+    st = spark.createDataFrame([(a, 0.8 + i / 1000, 5 + i) for i, a in enumerate(names)], "anchor string, effect_size_bin double, number_nonzero_samples long")
+    lab = spark.createDataFrame([(names[0], "clean")], "anchor string, stats string")
+    every = pipeline.run(c, st, lab, keep=5).groupBy("feature").agg(F.count("*"), F.round(F.avg("value"), 6), F.round(F.var_samp("value"), 6))
+    want = {tuple(x) for x in every.collect()}
+    monkeypatch.setattr(pipeline, "selected_features", None)
+    got = pipeline.described(c, st, lab, keep=5).select("feature", "samples", F.round("mean", 6), F.round("variance", 6))
+    assert {tuple(x) for x in got.collect()} == want and len(want) == 150
