@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from test_tables import lev
 
-from helixframe.operators import blockjoin, cluster
+from helixframe.operators import blockjoin, cluster, satc
 from helixframe.plans import pipeline
 from helixframe.runtime import run_dir
 from pyspark.sql import functions as F
@@ -94,3 +94,11 @@ def test_features_are_described_by_counted_kmers(spark, monkeypatch):
     monkeypatch.setattr(pipeline, "selected_features", None)
     got = pipeline.described(c, st, lab, keep=5).select("feature", "samples", F.round("mean", 6), F.round("variance", 6))
     assert {tuple(x) for x in got.collect()} == want and len(want) == 150
+
+
+def test_wide_rows_are_written_one_by_one(spark):
+    """The Parquet writer would hold a hundred rows of megabytes before it looks at its buffers."""
+    spark.conf.unset("parquet.page.size.row.check.min")
+    d = spark.createDataFrame([("s1", "AAA", "GG", 3)], "sample string, anchor string, target string, count long")
+    got = satc.featurize(d, spark.createDataFrame([(0, "AAA")], "ord long, anchor string"), 2).collect()
+    assert [tuple(x) for x in got] == [("s1", "GG")] and spark.conf.get("parquet.page.size.row.check.min") == "1"
