@@ -3,11 +3,12 @@
 import random
 from pathlib import Path
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from test_tables import lev
 
-from helixframe.operators import blockjoin, cluster, satc
+from helixframe.operators import blockjoin, cluster, power, satc
 from helixframe.plans import pipeline
 from helixframe.runtime import run_dir
 from pyspark.sql import functions as F
@@ -102,3 +103,33 @@ def test_wide_rows_are_written_one_by_one(spark):
     d = spark.createDataFrame([("s1", "AAA", "GG", 3)], "sample string, anchor string, target string, count long")
     got = satc.featurize(d, spark.createDataFrame([(0, "AAA")], "ord long, anchor string"), 2).collect()
     assert [tuple(x) for x in got] == [("s1", "GG")] and spark.conf.get("parquet.page.size.row.check.min") == "1"
+
+
+def test_power_iteration_by_components(spark, monkeypatch):
+    """The vector of whole components equals that of one matrix, joins for large ones included, and
+    its clusters those of Spark ML, without an exchange for each step."""
+    from pyspark.ml.clustering import PowerIterationClustering
+
+    r = random.Random(8)
+    pairs = [(i, j, float(r.randint(1, 5))) for n in range(12) for i in range(9 * n, 9 * n + 9) for j in range(i + 1, 9 * n + 9) if j == i + 1 or r.random() < n / 12]
+    e = spark.createDataFrame(pairs, "src long, dst long, weight double")
+    a = np.zeros((108, 108))
+    for i, j, x in pairs:
+        a[i, j] = a[j, i] = x
+    want, moved = a.sum(1) / a.sum(), []
+    for _ in range(20):
+        new = (a @ want) / a.sum(1)
+        new /= new.sum()
+        moved.append(np.abs(new - want).sum())
+        want = new
+        if len(moved) > 1 and abs(moved[-1] - moved[-2]) <= 1e-5 / 108:
+            break
+    for large in (power.LARGE, 40):
+        monkeypatch.setattr(power, "LARGE", large)
+        got = dict(map(tuple, power.power_vector(e).collect()))
+        assert len(got) == 108 and np.allclose([got[i] for i in range(108)], want, rtol=1e-9)
+    assert power.power_vector(e.where("false")).count() == 0
+    two = e.where("src < 9 or src >= 99")
+    parts = lambda d: {frozenset(x["id"] for x in d if x["cluster"] == c) for c in {x["cluster"] for x in d}}
+    own, ml = cluster.spectral_clusters(two, 2).collect(), PowerIterationClustering(k=2, maxIter=20, weightCol="weight", initMode="degree").assignClusters(two).collect()
+    assert parts(own) == parts(ml) and len(parts(own)) == 2
