@@ -44,9 +44,12 @@ RARE = re.compile(
     rf"[ÂÃÄÅ][{_CP1252} '\-]|â[{_CP1252} '\-]{{2}}"
     "|[\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\xad\u0300-\u036f]+|[ﬀ-ﬆ]"
 )
+#: What such a stretch begins with: it is sought first, as are other first letters below, which is much quicker.
+RARE_FIRST = re.compile("[ÂÃÄÅâ\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\xad\u0300-\u036fﬀ-ﬆ]")
 SPLIT = re.compile(r"- *\n *(?=[^\W\d_])")
 PAGE = re.compile(r"Page \d+ *(?:\n|$)")
 FOLIO = re.compile(r"(?<=\n) *- \d+ - *\n")
+FOLIO_HINT = re.compile(r"- \d+ -")
 
 
 def _mended(s: str) -> str:
@@ -66,7 +69,10 @@ def _mended(s: str) -> str:
 def _edits(t: str) -> list[tuple[int, int, str]]:
     """Stretches to rewrite, in order, none overlapping."""
     out = []
-    for m in RARE.finditer(t) if not t.isascii() else ():
+    b = 0
+    for first in RARE_FIRST.finditer(t) if not t.isascii() else ():
+        if first.start() < b or not (m := RARE.match(t, first.start())):
+            continue
         a, b = m.span()
         if "\u0300" <= t[a] <= "\u036f" and a:  # marks belong to the letter before them
             out.append((a - 1, b, unicodedata.normalize("NFC", t[a - 1 : b])))
@@ -81,7 +87,8 @@ def _edits(t: str) -> list[tuple[int, int, str]]:
             line = t.rfind("\n", 0, m.start()) + 1
             if m.start() - line < 110:
                 out.append((line, m.end(), ""))
-    out += [(m.start(), m.end(), "") for m in FOLIO.finditer(t)]
+    if FOLIO_HINT.search(t):
+        out += [(m.start(), m.end(), "") for m in FOLIO.finditer(t)]
     out.sort()
     kept, last = [], 0
     for a, b, new in out:
@@ -222,17 +229,17 @@ _GAP = rf"(?:[ .\-]|{_BREAK})"
 _BLANK = rf"(?: |{_BREAK})?"
 _DASH = rf"(?:[ \-]|{_BREAK})"
 PHONE = re.compile(
-    r"(?<![\w/.\-+*█])(?:"
-    rf"\+\d{{1,3}}{_SEP}(?:\(\d{{1,5}}\){_SEP})?\d(?:{_SEP}\d){{5,12}}"
-    rf"|00\d{{2,3}}{_GAP}\d{{1,5}}(?:{_GAP}\d{{2,6}}){{1,3}}"
-    rf"|\(0?\d{{2,5}}\)(?:\s| ?{_BREAK})?\d{{3,4}}{_GAP}?\d{{3,4}}"
-    rf"|0\d(?:(?:[ .]{{1,2}}|[ .]?{_BREAK})\d{{2}}){{4}}"
-    rf"|0\d{{2,4}}(?:/|{_GAP})\d{{3,8}}(?:{_GAP}\d{{2,4}})*"
-    r"|\d{3}[\-.]\d{3}[\-.]\d{4}"
+    r"[+(\d](?<![\w/.\-+*█][+(\d])(?:"
+    rf"(?<=\+)\d{{1,3}}{_SEP}(?:\(\d{{1,5}}\){_SEP})?\d(?:{_SEP}\d){{5,12}}"
+    rf"|(?<=0)0\d{{2,3}}{_GAP}\d{{1,5}}(?:{_GAP}\d{{2,6}}){{1,3}}"
+    rf"|(?<=\()0?\d{{2,5}}\)(?:\s| ?{_BREAK})?\d{{3,4}}{_GAP}?\d{{3,4}}"
+    rf"|(?<=0)\d(?:(?:[ .]{{1,2}}|[ .]?{_BREAK})\d{{2}}){{4}}"
+    rf"|(?<=0)\d{{2,4}}(?:/|{_GAP})\d{{3,8}}(?:{_GAP}\d{{2,4}})*"
+    r"|(?<=\d)\d{2}[\-.]\d{3}[\-.]\d{4}"
     r")(?![\w/*█]|[ \-.]?[*█]|-\d)"
 )
 #: Seven figures are a local number where a word for telephoning stands before them.
-LOCAL_PHONE = re.compile(r"\d{3}-\d{4}(?<![\w/.\-+*█)]\d{3}-\d{4})(?![\w/*█]|[ \-.]?[*█]|-\d)")
+LOCAL_PHONE = re.compile(r"\d\d\d-\d{4}(?<![\w/.\-+*█)]\d{3}-\d{4})(?![\w/*█]|[ \-.]?[*█]|-\d)")
 PHONE_WORD = re.compile(r"(?i)\b(?:tel|t[ée]l[ée]ph?on|phon|fax|call|rang|ring|rung|dial|mobil|cell|handy|ruf|anruf|appel|joign|llam|contact|number|nummer|num[ée]ro|at|unter|au|al)\w*[\s.:,\-]{0,12}(?:(?:facilitado|given|angegebene|no|nr|on|is|was|to|the|number|auf|unter|sur|le|al|n[°º])\b[\s.:,]*){0,3}$|[(;]\s*$")
 _ID_END = r"(?![\w*█]|-\d|/\d)"
 ID_LETTERS = re.compile(
@@ -241,7 +248,7 @@ ID_LETTERS = re.compile(
     rf"|{_BLANK}\d{{4}}{_DASH}?\d{{4}}{_DASH}?\d{{2}})"
     r"|-\d{3}\.\d{3}\.\d{3})" + _ID_END
 )
-ID_DIGITS = re.compile(rf"\d{{3}}(?:{_DASH}\d{{2}}{_DASH}\d{{4}}|\d{{3}}-\d{{4}})" + _ID_END)
+ID_DIGITS = re.compile(rf"\d\d\d(?:{_DASH}\d{{2}}{_DASH}\d{{4}}|\d{{3}}-\d{{4}})" + _ID_END)
 DIGITS = re.compile(r"\d\d[\d .\-\n]{3,}")
 
 
@@ -276,8 +283,11 @@ def _hinted(t: str) -> bool:
 
 def id_numbers(t: str) -> Iterator[tuple[int, int]]:
     cued = None
+    long = []  # runs that may hold what ID_DIGITS seeks, which is 11 letters of such a run or more
     for m in DIGITS.finditer(t):
         a = m.start()
+        if m.end() - a > 10:
+            long.append(m.span())
         left = t[max(0, a - 3) : a]
         for back in (3, 2):  # two letters and a blank, two letters, or a letter and a hyphen
             if len(left) >= back and left[-back].isalpha() and (hit := ID_LETTERS.match(t, a - back)):
@@ -292,24 +302,25 @@ def id_numbers(t: str) -> Iterator[tuple[int, int]]:
                 cued = _hinted(t) if cued is None else cued
                 if cued and OWN_NUMBER.match(t, a):
                     start = a - len(PREFIX.search(left).group())
-                    if ID_WORD.search(t, max(0, start - 60), start):
+                    if _hinted(t[max(0, start - 60) : start]) and ID_WORD.search(t, max(0, start - 60), start):
                         hit = OWN_NUMBER.match(t, start)
             if hit:
                 yield hit.span()
-    for m in ID_DIGITS.finditer(t):
-        yield m.span()
+    for a, b in long:
+        for m in ID_DIGITS.finditer(t, a, b + 2):  # two letters more: it looks at what follows
+            yield m.span()
 
 
 #: What stands before numbers that are nobody's own.
 NOT_PERSONAL = re.compile(r"(?i)(?:account|acct|konto\w*|compte|cuenta|file|reference|exhibit|anlage|pi[eè]ce|documento|docket|order|dossier|az|aktenzeichen|bundle|tab|case|ref|invoice|rechnung|iban)\W{0,3}(?:no\b|nr\b|n\b|n°|nº)?[\W]{0,4}$")
 
-_NO = r"\d{1,4}[A-Z]?\s?[a-d]?(?:\s?-\s?\d{1,4}\s?[a-d]?)?"
+_NO = r"\d\d{0,3}[A-Z]?\s?[a-d]?(?:\s?-\s?\d{1,4}\s?[a-d]?)?"
 _CAP = r"[A-ZÀ-Þ][\w']*"
 STREETS = [
     re.compile(
         rf"{_NO},?\s+(?:(?:St\.|ST\.|{_CAP})\s+){{1,4}}?(?i:street|row|lane|road|drive|close|hill|avenue|terrace|walk|mews|square|way|gardens|quay|wharf|crescent|grove|st|ln|rd|dr|cl|ave|av|ter|terr|sq)\b(?!')"
     ),
-    re.compile(rf"\d{{1,4}}(?:\s?-\s?\d{{1,4}})?\s?(?:bis|ter|quater|[a-d])?,?\s+(?i:rue|quai|place|avenue|allée|allee|chemin|impasse|boulevard|cours|square|passage|route|sentier|bd|av\.)\s+(?:(?:de|du|des|la|le|les)\s+|de\s+l'|d'|l')*[A-ZÀ-Þ]"),
+    re.compile(rf"\d\d{{0,3}}(?:\s?-\s?\d{{1,4}})?\s?(?:bis|ter|quater|[a-d])?,?\s+(?i:rue|quai|place|avenue|allée|allee|chemin|impasse|boulevard|cours|square|passage|route|sentier|bd|av\.)\s+(?:(?:de|du|des|la|le|les)\s+|de\s+l'|d'|l')*[A-ZÀ-Þ]"),
     re.compile(r"\b(?i:calle|plaza|avenida|avda\.|paseo|camino|ronda|travesía|carretera|c/)\s+(?:(?:del|de|la|las|los|el)\s+)*[A-ZÀ-Þ][\w']*(?:\s+[A-ZÀ-Þ][\w']*)*,?\s*(?:(?i:n\.?\s?[º°]|núm\.|n[úu]mero)\s*)?\d{1,4}\b(?![*█])"),
     re.compile(
         r"(?<![\w])(?:(?:Am|An|Im|In|Auf|Zum|Zur|Unter|Hinter)\s+(?:(?:der|den|dem)\s+)?)?(?:[A-ZÄÖÜ][a-zäöüß]+(?:er|e|en)\s+)?(?:[A-ZÄÖÜ][\wäöüß-]*(?:stra(?:ß|ss)e|str\.|allee|weg|gasse|ring|platz|ufer|damm|speicher|markt|steig|chaussee)|Stra(?:ß|ss)e|Str\.|Allee|Weg|Gasse|Ring|Platz|Ufer|Damm|Speicher|Markt|Steig)\s+\d{1,4}(?:\s?[a-d])?\b(?![*█])"
@@ -319,8 +330,22 @@ STREETS = [
 #: What a word before a blank must be, or end in, for each pattern, folded: a text without such a
 #: word is not searched. Numbers before English street words stand in nearly every text.
 FRENCH_WORDS = frozenset("rue quai place avenue allée allee chemin impasse boulevard cours square passage route sentier bd av.".split())
-SPANISH_ENDS = tuple(f"{w} " for w in "calle plaza avenida avda. paseo camino ronda travesía carretera c/".split())
-GERMAN_ENDS = tuple(f"{w} " for w in "strasse str. allee weg gasse ring platz ufer damm speicher markt steig chaussee".split())
+SPANISH_ENDS = tuple("calle plaza avenida avda. paseo camino ronda travesía carretera c/".split())
+GERMAN_ENDS = tuple("strasse str. allee weg gasse ring platz ufer damm speicher markt steig chaussee".split())
+#: Words seen that end in none of these, up to a number.
+_PLAIN: set[str] = set()
+PLAIN_WORDS = 1 << 17
+
+
+def _ends(words: list[str]) -> tuple[bool, bool]:
+    """Whether some word ends as a Spanish or a German street word."""
+    rest = set(words).difference(_PLAIN)
+    spanish, german = {w for w in rest if w.endswith(SPANISH_ENDS)}, {w for w in rest if w.endswith(GERMAN_ENDS)}
+    if len(_PLAIN) > PLAIN_WORDS:
+        _PLAIN.clear()
+    _PLAIN.update(rest - spanish - german)
+    return bool(spanish), bool(german)
+
 
 # ---------------------------------------------------------------- persons
 
@@ -352,8 +377,13 @@ COMMON = set(
 )
 _TOKEN = r"[A-ZÀ-ÞŠŽ](?:'[A-ZÀ-Þ])?\w*(?:-[A-ZÀ-ÞŠŽ](?:'[A-ZÀ-Þ])?\w*)*"
 _DOTTED = r"(?:[A-ZÀ-Þ]|Mr|Mrs|Ms|Dr|Prof|Mme|Mlle|Sr|Sra|Srta|St|ST|MR|MRS|DR)\.(?=\s)"
+#: The first word of a run: as the others, by its first letter.
+_FIRST = (
+    r"[A-ZÀ-ÞŠŽ](?:(?<![ŠŽ])(?:(?<=M)(?:rs?|s|me|lle|RS?)|(?<=D)[rR]|(?<=P)rof|(?<=S)(?:ra?|rta|t|T))?\.(?=\s)"
+    r"|(?:'[A-ZÀ-Þ])?\w*(?:-[A-ZÀ-ÞŠŽ](?:'[A-ZÀ-Þ])?\w*)*)"
+)
 RUN = re.compile(
-    rf"(?:{_DOTTED}|{_TOKEN})(?:(?: {{1,6}}| ?\n {{0,8}})(?:{_DOTTED}|{_TOKEN}|(?:de|du|von|van|di|da|la)(?=\s+[A-ZÀ-Þ])))*"
+    rf"{_FIRST}(?:(?: {{1,6}}| ?\n {{0,8}})(?:{_DOTTED}|{_TOKEN}|(?:de|du|von|van|di|da|la)(?=\s+[A-ZÀ-Þ])))*"
 )
 PIECE = re.compile(r"\S+")
 REVERSED = re.compile(rf",\s+(?P<given>{_TOKEN})(?:\s+[A-ZÀ-Þ]\.)?(?![\w*█])")
@@ -381,9 +411,8 @@ def persons(text: str, french: bool) -> Iterator[tuple[int, int]]:
         whole = run.group()
         if whole in COMMON or text[start - 1 : start] in _GLUED and start:
             continue
-        # what ends in none of the last letters of offices and particles is not looked at
-        near = text[start - 2 : start - 1]
-        before = text[max(0, start - 16) : start].split() if near in _LAST or near.isspace() else []
+        # what ends in none of the last two letters of offices and particles is not looked at
+        before = text[max(0, start - 16) : start].split() if text[start - 3 : start - 1] in _LAST or text[start - 2 : start - 1].isspace() else []
         titled = bool(before) and before[-1] in OFFICE_BEFORE
         if len(before) > 1 and before[-1] in PARTICLES and before[-2] in OFFICE_BEFORE:
             titled, particle = True, text.rfind(before[-1], 0, start)
@@ -409,7 +438,7 @@ def persons(text: str, french: bool) -> Iterator[tuple[int, int]]:
             yield from _judged(text, piece, titled, True)
 
 
-_LAST = {w[-1] for w in OFFICE_BEFORE | PARTICLES}
+_LAST = {w[-2:] for w in OFFICE_BEFORE | PARTICLES}
 _GLUED = set("'@.*█-/+&_0123456789abcdefghijklmnopqrstuvwxyzäöüß")
 
 
@@ -485,8 +514,7 @@ def detect(text: str | None) -> list[tuple[str, int, int]]:
         if not NOT_PERSONAL.search(t, max(0, a - 30), a):
             spans.append(("id_number" if ID_WORD.search(t, max(0, a - 60), a) else "phone", a, b))
     french = t.count(" les ") + t.count(" des ") + t.count(" du ") + t.count(" été ") > t.count(" the ") + t.count(" of ")
-    ends = " ".join(n.words) + " "
-    wanted = (True, not FRENCH_WORDS.isdisjoint(n.words), any(w in ends for w in SPANISH_ENDS), any(w in ends for w in GERMAN_ENDS))
+    wanted = (True, not FRENCH_WORDS.isdisjoint(n.words), *_ends(n.words))
     for p, used in zip(STREETS, wanted, strict=True):
         if used:
             spans += [("address", *m.span()) for m in p.finditer(t) if not m.start() or t[m.start() - 1] not in _BEFORE_STREET]

@@ -286,3 +286,19 @@ def test_disguised_and_general_forms():
 def test_many_items_in_one_text():
     text = "; ".join(f"tel. +44 20 7946 {i:04d}" for i in range(6000))
     assert len(pii.detect(text)) == 6000
+
+
+def test_patterns_by_first_letter():
+    """What is sought by its first letter, or behind a cheap test, is what the whole pattern finds."""
+    token, dotted = pii._TOKEN, pii._DOTTED
+    first = re.compile(rf"{dotted}|{token}")
+    r = random.Random(5)
+    bits = ["Mr. ", "Dr. ", "Šim ", "Š. ", "S. ", "Srta. ", "St.x ", "O'Neil-Smith", "Ã¤", "ﬁ", "é", "​", "\n - 12 - \n", "123-45-6789", "123456-7890", "/d", "-1", " ", "\n", "٣٣٣333-3333"]
+    for _ in range(3000):
+        t = "".join(r.choices(bits, k=r.randrange(1, 9)))
+        assert [m.span() for m in re.finditer(pii._FIRST, t)] == [m.span() for m in first.finditer(t)]
+        assert {m.start() for m in pii.RARE.finditer(t)} <= {m.start() for m in pii.RARE_FIRST.finditer(t)}
+        assert pii.FOLIO_HINT.search(t) or not pii.FOLIO.search(t)
+        assert {m.span() for m in pii.ID_DIGITS.finditer(t)} <= set(pii.id_numbers(t))
+    words = ["hauptstrasse", "c/", "plazas", "weg", "x"]
+    assert [pii._ends([w]) for w in words] == [pii._ends([w]) for w in words] == [(False, True), (True, False), (False, False), (False, True), (False, False)]
