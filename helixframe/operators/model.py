@@ -25,6 +25,8 @@ from helixframe.runtime import cut, growing
 MAX_CLASSES = 200
 #: Rows of a task of a fit.
 ROWS = 2000
+#: Cells of the guesses that one stretch of rows makes in a small fit; columns of a fit by Newton steps at most.
+CACHED, FEW = 1 << 15, 16
 #: Labels that are fitted at the same time.
 AT_ONCE = 4
 
@@ -224,18 +226,77 @@ def labelled_as(df: DataFrame, classes: list[str]) -> DataFrame:
     return df.withColumn("x", array_to_vector("features")).withColumn("y", at.cast("double")).where("y >= 0")
 
 
+def _slopes(x: np.ndarray, y: np.ndarray, a: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean multinomial loss of the model ``a`` on rows x, its slopes, and for each class a bound of the
+    curvature there: the rows weighted by their share of the class. In stretches that stay in the cache."""
+    loss, slope, bound = 0.0, np.zeros_like(a), np.zeros((a.shape[1], len(a), len(a)))
+    step = max(1, CACHED // a.shape[1])
+    for lo in range(0, len(x), step):
+        some = x[lo : lo + step]
+        q, own = some @ a, (np.arange(len(some)), y[lo : lo + step])
+        q -= q.max(1, keepdims=True)
+        loss -= q[own].sum()
+        np.exp(q, out=q)
+        total = q.sum(1, keepdims=True)
+        loss += np.log(total).sum()
+        q /= total
+        bound += (q.T[:, None, :] * some.T[None]) @ some
+        q[own] -= 1
+        slope += some.T @ q
+    return loss / len(x), slope / len(x), bound / len(x)
+
+
+def _newton(x: np.ndarray, y: np.ndarray, penalty: float, a: np.ndarray, steps: int, tolerance: float = 1e-4) -> np.ndarray:
+    """The lasso from the model ``a`` on, for few columns, of which the last is of ones and has no penalty: each
+    step solves the classes' bounds by coordinates and is halved while the loss with the penalty grows. It ends
+    when no number moves by more than ``tolerance`` of the largest (or of 1)."""
+    cost = lambda loss, a: loss + penalty * np.abs(a[:-1]).sum()
+    loss, slope, bound = _slopes(x, y, a)
+    for _ in range(steps):
+        curve = np.maximum(np.einsum("kii->ik", bound), 1e-9)
+        new, rest = a.copy(), slope.copy()
+        for _ in range(100):
+            most = 0.0
+            for i in range(len(a)):
+                z = new[i] - rest[i] / curve[i]
+                z = z if i == len(a) - 1 else np.sign(z) * np.maximum(np.abs(z) - penalty / curve[i], 0)
+                by = z - new[i]
+                rest += bound[:, :, i].T * by
+                new[i] = z
+                most = max(most, float(np.abs(by).max()))
+            if most <= tolerance / 10:
+                break
+        before = cost(loss, a)
+        now = _slopes(x, y, new)
+        for _ in range(30):
+            if cost(now[0], new) <= before + 1e-12:
+                break
+            new = (a + new) / 2
+            now = _slopes(x, y, new)
+        moved, a, (loss, slope, bound) = float(np.abs(new - a).max()), new, now
+        if moved <= tolerance * max(1.0, float(np.abs(a).max())):
+            break
+    return a
+
+
+def by_position(long: DataFrame) -> DataFrame:
+    """``(sample_name, position, v)``: the values of a sample at a position by dim."""
+    return long.groupBy("sample_name", "position").agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("v"))
+
+
 def grouped_lasso(long: DataFrame, labels: DataFrame, penalties: int = 10, folds: int = 3, steps: int = 80) -> DataFrame:
     """``(position, dim)`` kept by a first-stage lasso fitted at each position on its own, at the
     penalty of best cross-validated accuracy there.
 
-    ``long`` is (sample_name, position, dim, value), ``labels`` (sample_name, label). One small
-    proximal-gradient fit a penalty and fold, warm from the penalty before; the positions are
+    ``long`` is (sample_name, position, dim, value), or has been through :func:`by_position`;
+    ``labels`` is (sample_name, label). One small
+    fit (Newton steps for few dims, else proximal gradients) a penalty and fold, warm from the penalty before; the positions are
     spread over the tasks. A group is the samples of one position, the unit the model is defined
     on. Positions of one class keep nothing; a missing dim counts as 0.
     """
     import pandas as pd
 
-    per = long.groupBy("sample_name", "position").agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("v"))
+    per = long if "v" in long.columns else by_position(long)
     d = per.join(growing(labels.dropna()), "sample_name").select("position", F.col("label").cast("string").alias("label"), F.floor(uniform(F.col("sample_name"), 1) * folds).cast("int").alias("fold"), "v")
 
     def path_of(x: np.ndarray, y: np.ndarray) -> list[float]:
@@ -243,6 +304,11 @@ def grouped_lasso(long: DataFrame, labels: DataFrame, penalties: int = 10, folds
         return [top * 0.02 ** (i / max(penalties - 1, 1)) for i in range(penalties)]
 
     def descend(x, y, penalty, w, b):
+        if x.shape[1] <= FEW:
+            a, some = np.vstack([w, b]), y.any(0)  # a class without rows in this fold is never guessed
+            a[:, some] = _newton(np.hstack([x, np.ones((len(x), 1))]), y[:, some].argmax(1), penalty, a[:, some], steps)
+            a[:-1, ~some], a[-1, ~some] = 0, -1e3
+            return a[:-1], a[-1]
         rate = len(x) / (np.linalg.norm(x, 2) ** 2 / 2 + 1e-9)
         for _ in range(steps):
             z = x @ w + b
@@ -283,9 +349,10 @@ def grouped_two_stage(ordered: DataFrame, meta: DataFrame, **options) -> Fits:
     all its samples, and on their union the second fit with its split, as in :func:`fit_labels`.
     ``ordered`` is (sample_name, position, dim, value)."""
     ordered = cut(ordered)
+    grouped = cut(by_position(ordered))
     name = F.concat(F.lit("cluster_"), F.col("position"), F.lit("_embedding_"), F.col("dim"))
 
     def select(_: DataFrame, samples: DataFrame) -> DataFrame:
-        return cut(grouped_lasso(ordered, samples.withColumnRenamed("class", "label")).select(name.alias("feature")))
+        return cut(grouped_lasso(grouped, samples.withColumnRenamed("class", "label")).select(name.alias("feature")))
 
     return fit_labels(ordered.select("sample_name", name.alias("feature"), "value"), meta, select=select, **options)

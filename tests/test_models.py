@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,21 @@ def test_split_modes(spark):
     e = d.where("c = 'a' or id < 40")  # 100 of a, 20 of b
     n = {(x["c"], x["split"]): x["count"] for x in splits.balanced_three_way_split(e, "id", "c").groupBy("c", "split").count().collect()}
     assert n == {("a", "train"): 14, ("b", "train"): 14, ("a", "val"): 43, ("a", "test"): 43, ("b", "val"): 3, ("b", "test"): 3}
+
+
+def test_first_stage_ends_at_the_lasso(spark, labelled):
+    """Newton steps end where the slopes balance the penalty; grouped once, the first stage keeps the same."""
+    r = np.random.default_rng(3)
+    y = np.repeat(np.arange(30), 20 * np.r_[1:31])[:9000]
+    x = np.hstack([r.normal(size=(len(y), 3)) + 0.1 * y[:, None] * np.array([1, 0, 0]), np.ones((len(y), 1))])
+    x[:, :3] = (x[:, :3] - x[:, :3].mean(0)) / x[:, :3].std(0)
+    a = model._newton(x, y, 0.004, np.zeros((4, y.max() + 1)), 80)
+    _, slope, _ = model._slopes(x, y, a)
+    kept = a[:-1] != 0
+    assert np.abs(slope[-1]).max() < 1e-4 and np.abs(slope[:-1]).max() < 0.004 + 1e-4
+    assert kept[0].any() and not kept.all() and np.abs(slope[:-1] + 0.004 * np.sign(a[:-1]))[kept].max() < 1e-4
+    rows = [(f"s{i}", p, d, float((i % 2 and p == d) + r.normal() * 0.3)) for i in range(90) for p in (1, 2) for d in (1, 2, 3)]
+    long = spark.createDataFrame(rows, "sample_name string, position long, dim int, value double")
+    lab = spark.createDataFrame([(f"s{i}", "ab"[i % 2]) for i in range(90)], "sample_name string, label string")
+    one, two = (sorted(map(tuple, model.grouped_lasso(x, lab, penalties=4).collect())) for x in (long, model.by_position(long)))
+    assert one == two and {(1, 1), (2, 2)} <= set(one)
