@@ -138,7 +138,7 @@ def _mail_signs(t: str) -> Iterator[tuple[int, int, str]]:
     """Words of e-mail signs to rewrite: the place of the sign between local part and domain, and
     the dots of both."""
     places = [(m.start(), m.end(), "(") for m in BRACKETED.finditer(t)]
-    if any(w in t for w in DOT_WORDS):
+    if any(map(t.__contains__, DOT_WORDS)):
         places += [(m.start(), m.end(), m["word"]) for m in SPELT.finditer(t)]
     for a, b, sign in sorted(places):
         while a and t[a - 1].isspace():
@@ -164,11 +164,13 @@ class Normalised:
         for odd, plain in OFTEN:
             t = t.replace(odd, plain)
         if not t.isascii():
-            t = ODD.sub(lambda m: ONE[ord(m.group())], t)
+            for odd in sorted(set(ODD.findall(t))):  # a plain sign that is odd itself comes before those it stands for
+                t = t.replace(odd, ONE[ord(odd)])
         self.layers: list[tuple[list[int], list[int]]] = []
         t = self._rewrite(t, _edits(t))
         #: Words between blanks, folded; cheap tests on them spare searches of the whole text.
-        self.words = t.casefold().replace("-", " ").split()
+        self.folded = t.casefold()
+        self.words = self.folded.replace("-", " ").split()
         many = not DIGIT_TOKENS.isdisjoint(self.words) and sum(map(DIGIT_TOKENS.__contains__, self.words)) > 5
         spelt = [(m.start(), m.end(), _digits(m.group())) for m in SPELT_DIGITS.finditer(t)] if many else []
         edits = sorted([*spelt, *_mail_signs(t)])
@@ -240,6 +242,7 @@ PHONE = re.compile(
 )
 #: Seven figures are a local number where a word for telephoning stands before them.
 LOCAL_PHONE = re.compile(r"\d\d\d-\d{4}(?<![\w/.\-+*█)]\d{3}-\d{4})(?![\w/*█]|[ \-.]?[*█]|-\d)")
+LOCAL_HINT = re.compile(r"-\d{4}(?<=\d\d\d-\d{4})")
 PHONE_WORD = re.compile(r"(?i)\b(?:tel|t[ée]l[ée]ph?on|phon|fax|call|rang|ring|rung|dial|mobil|cell|handy|ruf|anruf|appel|joign|llam|contact|number|nummer|num[ée]ro|at|unter|au|al)\w*[\s.:,\-]{0,12}(?:(?:facilitado|given|angegebene|no|nr|on|is|was|to|the|number|auf|unter|sur|le|al|n[°º])\b[\s.:,]*){0,3}$|[(;]\s*$")
 _ID_END = r"(?![\w*█]|-\d|/\d)"
 ID_LETTERS = re.compile(
@@ -278,27 +281,35 @@ def _checks(number: str) -> bool:
 
 def _hinted(t: str) -> bool:
     low = t.casefold()
-    return any(w in low for w in ID_HINTS)
+    for w in ID_HINTS:  # noqa: SIM110 (quicker than any)
+        if w in low:
+            return True
+    return False
 
 
 def id_numbers(t: str) -> Iterator[tuple[int, int]]:
     cued = None
     long = []  # runs that may hold what ID_DIGITS seeks, which is 11 letters of such a run or more
     for m in DIGITS.finditer(t):
-        a = m.start()
-        if m.end() - a > 10:
-            long.append(m.span())
+        a, end = m.span()
+        size = end - a
+        if size < 6:  # all that follows is longer
+            continue
+        if size > 10:
+            long.append((a, end))
         left = t[max(0, a - 3) : a]
         for back in (3, 2):  # two letters and a blank, two letters, or a letter and a hyphen
             if len(left) >= back and left[-back].isalpha() and (hit := ID_LETTERS.match(t, a - back)):
                 yield hit.span()
                 break
         else:
-            size, hit = m.end() - a, None
+            hit = None
             if size >= 7:
-                checked = (back for back in (0, 1, 2) if not back or left[-back : len(left) - back + 1] in "XYZ12")
-                hit = next((h for back in checked if (h := CHECKED.match(t, a - back)) and _checks(h.group())), None)
-            if hit is None and size >= 6:
+                for back in (0, 1, 2):
+                    if (not back or left[-back : len(left) - back + 1] in "XYZ12") and (h := CHECKED.match(t, a - back)) and _checks(h.group()):
+                        hit = h
+                        break
+            if hit is None:
                 cued = _hinted(t) if cued is None else cued
                 if cued and OWN_NUMBER.match(t, a):
                     start = a - len(PREFIX.search(left).group())
@@ -314,11 +325,13 @@ def id_numbers(t: str) -> Iterator[tuple[int, int]]:
 #: What stands before numbers that are nobody's own.
 NOT_PERSONAL = re.compile(r"(?i)(?:account|acct|konto\w*|compte|cuenta|file|reference|exhibit|anlage|pi[eè]ce|documento|docket|order|dossier|az|aktenzeichen|bundle|tab|case|ref|invoice|rechnung|iban)\W{0,3}(?:no\b|nr\b|n\b|n°|nº)?[\W]{0,4}$")
 
-_NO = r"\d\d{0,3}[A-Z]?\s?[a-d]?(?:\s?-\s?\d{1,4}\s?[a-d]?)?"
+#: Figures are not given back (``+``): what follows them never begins with one. So English streets
+#: are sought from the first figure of a run on, or from the fourth last, and from no other.
+_NO = r"\d\d{0,3}+[A-Z]?\s?[a-d]?(?:\s?-\s?\d{1,4}+\s?[a-d]?)?"
 _CAP = r"[A-ZÀ-Þ][\w']*"
 STREETS = [
     re.compile(
-        rf"{_NO},?\s+(?:(?:St\.|ST\.|{_CAP})\s+){{1,4}}?(?i:street|row|lane|road|drive|close|hill|avenue|terrace|walk|mews|square|way|gardens|quay|wharf|crescent|grove|st|ln|rd|dr|cl|ave|av|ter|terr|sq)\b(?!')"
+        rf"\d(?:(?<!\d\d)|(?=\d{{3}}(?!\d))){_NO[2:]},?\s+(?:(?:St\.|ST\.|{_CAP})\s+){{1,4}}?(?i:street|row|lane|road|drive|close|hill|avenue|terrace|walk|mews|square|way|gardens|quay|wharf|crescent|grove|st|ln|rd|dr|cl|ave|av|ter|terr|sq)\b(?!')"
     ),
     re.compile(rf"\d\d{{0,3}}(?:\s?-\s?\d{{1,4}})?\s?(?:bis|ter|quater|[a-d])?,?\s+(?i:rue|quai|place|avenue|allée|allee|chemin|impasse|boulevard|cours|square|passage|route|sentier|bd|av\.)\s+(?:(?:de|du|des|la|le|les)\s+|de\s+l'|d'|l')*[A-ZÀ-Þ]"),
     re.compile(r"\b(?i:calle|plaza|avenida|avda\.|paseo|camino|ronda|travesía|carretera|c/)\s+(?:(?:del|de|la|las|los|el)\s+)*[A-ZÀ-Þ][\w']*(?:\s+[A-ZÀ-Þ][\w']*)*,?\s*(?:(?i:n\.?\s?[º°]|núm\.|n[úu]mero)\s*)?\d{1,4}\b(?![*█])"),
@@ -332,11 +345,22 @@ STREETS = [
 FRENCH_WORDS = frozenset("rue quai place avenue allée allee chemin impasse boulevard cours square passage route sentier bd av.".split())
 SPANISH_ENDS = tuple("calle plaza avenida avda. paseo camino ronda travesía carretera c/".split())
 GERMAN_ENDS = tuple("strasse str. allee weg gasse ring platz ufer damm speicher markt steig chaussee".split())
+#: The latter before a number, in the text as it is.
+NUMBERED = re.compile(r"\s+\d")
+GERMAN_TAILS = tuple(x for w in ("straße", *GERMAN_ENDS) for x in (w, w.capitalize()))
 #: Words seen that end in none of these, up to a number.
 _PLAIN: set[str] = set()
 PLAIN_WORDS = 1 << 17
 
 
+def _german(t: str) -> bool:
+    """Whether a number stands behind a German street word."""
+    for m in NUMBERED.finditer(t):
+        if t.endswith(GERMAN_TAILS, 0, m.start()):
+            return True
+    return False
+
+
 def _ends(words: list[str]) -> tuple[bool, bool]:
     """Whether some word ends as a Spanish or a German street word."""
     rest = set(words).difference(_PLAIN)
@@ -392,96 +416,121 @@ STREET_END = ("straße", "strasse", "allee", "gasse", "chaussee")
 CAPS_AFTER = re.compile(r"\s*(?:[—–-]|v\.? |vs\.? |\./\.|,? *(?:appel|intim|demand|défend|Kläg|Bekl)|(?:AND|ET|UND|Y|CONTRA|contra|gegen|and|et|und|y)\b|\n|$)")
 
 
-def _bare(tok: str) -> str:
-    return tok.rstrip(".")
+class _Kinds(dict):
+    """What a word of a run is, by its letters alone, kept up to a number of words."""
 
+    def __missing__(self, tok: str) -> int:
+        word = tok.rstrip(".")
+        initial = len(tok) == 2 and tok[1] == "."
+        family = len(tok) > 2 and not tok.endswith(".") and (tok.isupper() or any(c.islower() for c in tok[1:])) and not any(c.isdigit() for c in tok)
+        title, common = word in TITLES or word in OFFICES, word in COMMON
+        # "St." ends a street; a name may open the next sentence
+        stop = title or tok in ("St.", "ST.") or (common and not initial)
+        odd = word.casefold() in NOT_PERSON or "_" in tok or tok.endswith(STREET_END)  # "_" blacks out letters
+        flags = (title, common, stop, odd, initial, family, tok.isupper(), tok in PARTICLES)
+        if len(self) > PLAIN_WORDS:
+            self.clear()
+        self[tok] = out = sum(1 << i for i, x in enumerate(flags) if x)
+        return out
 
-def _initial(tok: str) -> bool:
-    return len(tok) == 2 and tok[1] == "."
 
-
-def _family(tok: str) -> bool:
-    return len(tok) > 2 and not tok.endswith(".") and (tok.isupper() or any(c.islower() for c in tok[1:])) and not any(c.isdigit() for c in tok)
+#: Runs seen that are nobody whatever stands around them, up to a number.
+_NOBODY: set[str] = set()
+TITLE, COMMON_WORD, STOP, ODD_WORD, INITIAL, FAMILY, UPPER, PARTICLE = (1 << i for i in range(8))
+_KINDS = _Kinds()
 
 
 def persons(text: str, french: bool) -> Iterator[tuple[int, int]]:
     """Spans of persons in a normalised text; in French texts "M." is a title, not an initial."""
     for run in RUN.finditer(text):
-        start, end = run.span()
         whole = run.group()
-        if whole in COMMON or text[start - 1 : start] in _GLUED and start:
+        if whole in COMMON:
+            continue
+        start = run.start()
+        if start and text[start - 1] in _GLUED:
             continue
         # what ends in none of the last two letters of offices and particles is not looked at
-        before = text[max(0, start - 16) : start].split() if text[start - 3 : start - 1] in _LAST or text[start - 2 : start - 1].isspace() else []
-        titled = bool(before) and before[-1] in OFFICE_BEFORE
-        if len(before) > 1 and before[-1] in PARTICLES and before[-2] in OFFICE_BEFORE:
-            titled, particle = True, text.rfind(before[-1], 0, start)
-        else:
-            particle = None
-        if " " not in whole and "\n" not in whole and not titled and not whole.isupper():
+        titled, particle = False, None
+        if text[start - 3 : start - 1] in _LAST or text[start - 2 : start - 1].isspace():
+            before = text[max(0, start - 16) : start].split()
+            if len(before) > 1 and before[-1] in PARTICLES and before[-2] in OFFICE_BEFORE:
+                titled, particle = True, text.rfind(before[-1], 0, start)
+            else:
+                titled = bool(before) and before[-1] in OFFICE_BEFORE
+        if not titled and whole in _NOBODY:
             continue
-        piece: list[tuple[str, int, int]] = []
+        nobody = not titled and len(whole) < 64 and "M." not in whole
+        piece: list[tuple[str, int, int, int]] = []
         for m in PIECE.finditer(whole):
             tok = m.group()
-            word = _bare(tok)
-            title = word in TITLES or word in OFFICES or (french and tok == "M.")
-            # "St." ends a street; a name may open the next sentence
-            if title or tok in ("St.", "ST.") or (word in COMMON and not _initial(tok)):
-                if piece:
-                    yield from _judged(text, piece, titled, False)
-                titled = title or (titled and not piece and word not in COMMON)
+            kind = _KINDS[tok]
+            title = kind & TITLE or (french and tok == "M.")
+            if title or kind & STOP:
+                if piece and (titled or len(piece) > 1) and not _odd(piece):
+                    nobody = False
+                    if found := _judged(text, piece, titled, False):
+                        yield found
+                titled = bool(title or (titled and not piece and not kind & COMMON_WORD))
                 piece = []
             else:
-                at = start + m.start()
-                piece.append((tok, particle if particle is not None and not m.start() else at, start + m.end()))
-        if piece:
-            yield from _judged(text, piece, titled, True)
+                at, to = m.span()
+                piece.append((tok, particle if particle is not None and not at else start + at, start + to, kind))
+        if piece and (titled or len(piece) > 1 or piece[0][3] & UPPER) and not _odd(piece):
+            nobody = False
+            if found := _judged(text, piece, titled, True):
+                yield found
+        if nobody:
+            if len(_NOBODY) > PLAIN_WORDS:
+                _NOBODY.clear()
+            _NOBODY.add(whole)
 
 
 _LAST = {w[-2:] for w in OFFICE_BEFORE | PARTICLES}
 _GLUED = set("'@.*█-/+&_0123456789abcdefghijklmnopqrstuvwxyzäöüß")
 
 
-def _judged(text: str, piece: list[tuple[str, int, int]], titled: bool, last: bool) -> Iterator[tuple[int, int]]:
-    if len(piece) == 1 and not titled and not (last and piece[0][0].isupper()):
-        return  # a bare word
-    words = [t for t, _, _ in piece]
+def _odd(piece: list[tuple[str, int, int, int]]) -> bool:
+    for x in piece:
+        if x[3] & ODD_WORD:
+            return True
+    return False
+
+
+def _judged(text: str, piece: list[tuple[str, int, int, int]], titled: bool, last: bool) -> tuple[int, int] | None:
+    """The span of the person that a piece of a run is, if it is one. A piece that is one word and
+    neither titled nor the last of its run in capitals is none, nor is one with odd words; neither
+    is asked about."""
     end = piece[-1][2]
-    if any(_bare(w).casefold() in NOT_PERSON or "_" in w or w.endswith(STREET_END) for w in words):  # "_" blacks out letters
-        return
-    if words[-1].isupper() and text[end : end + 1] == " " and text[end + 1 : end + 2].isdigit():  # a law report with its page
-        return
-    while words and words[-1] in PARTICLES:
-        words.pop()
+    if piece[-1][3] & UPPER and text[end : end + 1] == " " and text[end + 1 : end + 2].isdigit():  # a law report with its page
+        return None
+    while piece and piece[-1][3] & PARTICLE:
         piece.pop()
-    while words and words[0] in PARTICLES and not (titled and len(words) == 2):
-        words.pop(0)
+    while piece and piece[0][3] & PARTICLE and not (titled and len(piece) == 2):
         piece.pop(0)
-    if not words:
-        return
-    end = piece[-1][2]
+    if not piece:
+        return None
+    word, _, end, kind = piece[-1]
     if MASKED.match(text, end):
-        return
-    caps = [w for w in words if w not in PARTICLES and not _initial(w)]
-    if last and caps and words[-1].isupper() and len(words[-1]) > 2 and len(caps) <= 2:
+        return None
+    caps = [x[3] for x in piece if not x[3] & (PARTICLE | INITIAL)]
+    if last and caps and kind & UPPER and len(word) > 2 and len(caps) <= 2:
         rev = REVERSED.match(text, end)
         if rev and "_" not in rev["given"] and not rev["given"].isupper() and len(rev["given"]) > 2 and rev["given"] not in COMMON and rev["given"].casefold() not in NOT_PERSON and rev["given"] not in TITLES:
-            first = piece[0][1] if len(caps) == len(words) - sum(w in PARTICLES for w in words) else piece[-1][1]
-            yield first, rev.end("given")
-            return
-    if not caps or not _family(words[-1]) or len(words) > 6:
-        return
+            first = piece[0][1] if len(caps) == sum(not x[3] & PARTICLE for x in piece) else piece[-1][1]
+            return first, rev.end("given")
+    if not caps or not kind & FAMILY or len(piece) > 6:
+        return None
     if titled:
-        yield piece[0][1], end
-        return
-    given = [w for w in words[:-1] if w not in PARTICLES]
+        return piece[0][1], end
+    given = [x[3] for x in piece[:-1] if not x[3] & PARTICLE]
     if not given or len(caps) > 3:
-        return
-    if any(not _initial(w) and not _family(w) for w in given):
-        return
-    if all(w.isupper() for w in caps) and len(caps) > 1 and not CAPS_AFTER.match(text, end):
-        return
-    yield piece[0][1], end
+        return None
+    for k in given:
+        if not k & (INITIAL | FAMILY):
+            return None
+    if len(caps) > 1 and all(k & UPPER for k in caps) and not CAPS_AFTER.match(text, end):
+        return None
+    return piece[0][1], end
 
 
 # ---------------------------------------------------------------- all kinds
@@ -507,14 +556,18 @@ def detect(text: str | None) -> list[tuple[str, int, int]]:
     for m in PHONE.finditer(t):
         if not NOT_PERSONAL.search(t, max(0, m.start() - 30), m.start()):
             spans.append(("phone", m.start(), m.end()))
-    for m in LOCAL_PHONE.finditer(t):
+    for m in LOCAL_PHONE.finditer(t) if LOCAL_HINT.search(t) else ():
         if PHONE_WORD.search(t, max(0, m.start() - 40), m.start()):
             spans.append(("phone", m.start(), m.end()))
     for a, b in n.spelt:
         if not NOT_PERSONAL.search(t, max(0, a - 30), a):
             spans.append(("id_number" if ID_WORD.search(t, max(0, a - 60), a) else "phone", a, b))
     french = t.count(" les ") + t.count(" des ") + t.count(" du ") + t.count(" été ") > t.count(" the ") + t.count(" of ")
-    wanted = (True, not FRENCH_WORDS.isdisjoint(n.words), *_ends(n.words))
+    spanish, german = any(map(n.folded.__contains__, SPANISH_ENDS)), _german(t)
+    if spanish or german:
+        ends = _ends(n.words)
+        spanish, german = spanish and ends[0], german and ends[1]
+    wanted = (True, not FRENCH_WORDS.isdisjoint(n.words), spanish, german)
     for p, used in zip(STREETS, wanted, strict=True):
         if used:
             spans += [("address", *m.span()) for m in p.finditer(t) if not m.start() or t[m.start() - 1] not in _BEFORE_STREET]

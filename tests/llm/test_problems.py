@@ -302,3 +302,31 @@ def test_patterns_by_first_letter():
         assert {m.span() for m in pii.ID_DIGITS.finditer(t)} <= set(pii.id_numbers(t))
     words = ["hauptstrasse", "c/", "plazas", "weg", "x"]
     assert [pii._ends([w]) for w in words] == [pii._ends([w]) for w in words] == [(False, True), (True, False), (False, False), (False, True), (False, False)]
+
+
+def test_runs_and_streets_are_not_searched_in_vain(monkeypatch):
+    """Runs that are nobody are taken apart once; what is sought behind cheap tests is what is there."""
+    seen = []
+
+    class Counted:
+        def finditer(self, s, whole=pii.PIECE):
+            seen.append(s)
+            return whole.finditer(s)
+
+    monkeypatch.setattr(pii, "PIECE", Counted())
+    text = "Northern Harbour Authority wrote to Supreme Court Registry; Anna Berg answered; M. Roche did not. "
+    first = pii.detect(text)
+    seen.clear()
+    assert pii.detect(text) == first and [text[a:b] for _, a, b in first] == ["Anna Berg", "M. Roche"]
+    assert seen == ["Anna Berg", "M. Roche"]
+
+    plain = re.compile(pii.STREETS[0].pattern.replace(r"\d(?:(?<!\d\d)|(?=\d{3}(?!\d)))\d{0,3}+", r"\d{1,4}").replace("}+", "}"))
+    assert plain.pattern.startswith(r"\d{1,4}[A-Z]?")
+    r = random.Random(6)
+    bits = ["5", "12", "123", "12345", "a", " - ", "-", " High Street", " Mill Lane,", ", ", " ", "Hauptstraße", "Str.", " Ring", "hearing", "Am Markt", "\n ", "X"]
+    for _ in range(5000):
+        t = "".join(r.choices(bits, k=r.randrange(1, 10)))
+        assert [m.span() for m in pii.STREETS[0].finditer(t)] == [m.span() for m in plain.finditer(t)]
+        assert pii._german(t) or not pii.STREETS[3].search(t)
+        assert pii.LOCAL_HINT.search(t) or not pii.LOCAL_PHONE.search(t)
+    assert pii.Normalised("é`｀＇−`ＡА").text == "é'`'-'AA"  # each sign is replaced once
