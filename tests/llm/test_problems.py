@@ -97,6 +97,19 @@ def test_short_records_and_one_hot_family(spark, monkeypatch):
     assert {tuple(x) for x in clusters.linked_groups(d).collect()} == groups_of(dict(enumerate(names)))
 
 
+def test_groups_joined_by_one_far_link(spark):
+    """Eight edits a few letters apart leave no seed in common, and nobody else is near both ends."""
+    r = random.Random(12)
+    one = [r.choice("ACGT") for _ in range(54)]
+    other = ["ACGT"["ACGT".index(x) - 1] if i % 6 == 5 and i < 48 else x for i, x in enumerate(one)]
+    turn = lambda s, i: s[:i] + ["ACGT"["ACGT".index(s[i]) - 2]] + s[i + 1 :]
+    names = ["".join(x) for x in (one, turn(one, 2), other, turn(other, 50))]
+    names += ["".join(r.choice("ACGT") for _ in range(54)) for _ in range(20)]
+    assert lev(names[0], names[2]) == 8 and min(lev(names[a], names[b]) for a, b in ((0, 3), (1, 2), (1, 3))) > 8
+    d = spark.createDataFrame(list(enumerate(names)), "ord long, anchor string")
+    assert {tuple(x) for x in clusters.linked_groups(d).collect()} == groups_of(dict(enumerate(names))) != set()
+
+
 def test_descent_adds_links(spark):
     """Recall of links against all pairs; descent finds those that the seeds miss."""
     r, names = random.Random(9), []
