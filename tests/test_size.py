@@ -4,6 +4,7 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from test_tables import lev
@@ -133,3 +134,28 @@ def test_power_iteration_by_components(spark, monkeypatch):
     parts = lambda d: {frozenset(x["id"] for x in d if x["cluster"] == c) for c in {x["cluster"] for x in d}}
     own, ml = cluster.spectral_clusters(two, 2).collect(), PowerIterationClustering(k=2, maxIter=20, weightCol="weight", initMode="degree").assignClusters(two).collect()
     assert parts(own) == parts(ml) and len(parts(own)) == 2
+
+
+def test_candidates_are_sifted_by_letter_pairs(monkeypatch):
+    """Most candidates of a half are left out before they are scanned, none within its edits."""
+    one, two = texts(21, 1500), texts(22, 1500)
+    two += [near(i, s, i % 9) for i, s in enumerate(one[:300])]
+    (fa, oa), (fb, ob) = (blockjoin.letters(pa.array(x)) for x in (one, two))
+    fa, fb, kinds = blockjoin.coded(fa, fb)
+    scan, scanned = blockjoin._scan, []
+
+    def counted(bits, table, i, j, m, n, steps):
+        if n is None:
+            scanned.append(len(i))
+        return scan(bits, table, i, j, m, n, steps)
+
+    def pairs():
+        scanned.clear()
+        found = blockjoin.block_pairs(blockjoin.Texts(fa, oa), blockjoin.Texts(fb, ob), 8, kinds)
+        return set(zip(*(x.tolist() for x in found), strict=True)), sum(scanned)
+
+    monkeypatch.setattr(blockjoin, "_scan", counted)
+    found, some = pairs()
+    monkeypatch.setattr(blockjoin.Texts, "grams", lambda self, width, backwards, kind: np.zeros(len(self.size), np.uint64))
+    every, most = pairs()
+    assert found == every and len(found) > 250 and some < 0.7 * most
