@@ -112,3 +112,13 @@ def test_five_edits(spark, listed):
     spectral = {x["id"]: x["cluster"] for x in queries.spectral_clusters(spark, d).collect()}
     alone = set(low) - {i for x in want for i in x[:2]}
     assert set(spectral) == set(low) and alone and len({spectral[i] for i in alone}) == len(alone)
+
+
+@pytest.mark.parametrize("lead", [False])
+def test_features_of_every_anchor(spark, many, monkeypatch, lead):
+    """The list of anchors has no end of its own: the SQL has none."""
+    d, names = many
+    monkeypatch.setattr(queries.anchors, "ANCHORS", 10)
+    got = (queries.featurize_with_anchor if lead else queries.featurize)(spark, d).collect()
+    want = {f"s{j}": "".join(a * lead + (a[::-1] if i % 3 == j else "N" * 27) for i, a in enumerate(names)) for j in range(3)}
+    assert {x["sample"]: x["seq"] for x in got} == want
