@@ -114,7 +114,7 @@ def test_five_edits(spark, listed):
     assert set(spectral) == set(low) and alone and len({spectral[i] for i in alone}) == len(alone)
 
 
-@pytest.mark.parametrize("lead", [False])
+@pytest.mark.parametrize("lead", [False, True])
 def test_features_of_every_anchor(spark, many, monkeypatch, lead):
     """The list of anchors has no end of its own: the SQL has none."""
     d, names = many
