@@ -122,3 +122,15 @@ def test_features_of_every_anchor(spark, many, monkeypatch, lead):
     got = (queries.featurize_with_anchor if lead else queries.featurize)(spark, d).collect()
     want = {f"s{j}": "".join(a * lead + (a[::-1] if i % 3 == j else "N" * 27) for i, a in enumerate(names)) for j in range(3)}
     assert {x["sample"]: x["seq"] for x in got} == want
+
+
+def test_every_sequence_has_a_leader(spark, tmp_path, monkeypatch):
+    """The query's scan ends with the sequences, and the near pairs it has found are not sought again."""
+    r = random.Random(13)
+    rows = ["".join(r.choice("ACGT") for _ in range(54)) for _ in range(5200)]
+    rows += [mutated(r, s, 3) for s in rows[::200]]
+    spark.createDataFrame([(i, i, s) for i, s in enumerate(rows)], "ord long, cluster_id long, anchor string").write.parquet(f"{tmp_path}/anchor_clusters.parquet")
+    monkeypatch.setattr(cluster, "edit_distance_join", None)
+    got = {x["id"]: x["leader"] for x in queries.leader_clusters(spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(len(rows))) and len(set(got.values())) == 5200
+    assert all(got[200 * k] == got[5200 + k] in (200 * k, 5200 + k) for k in range(26))
