@@ -130,6 +130,13 @@ class Fits:
     confusion: DataFrame  # label, true_class, predicted_class, n
     scores: DataFrame  # label, class, sensitivity, specificity, accuracy
     labels: DataFrame  # label, status, n_rows, classes, penalty
+    failed: dict[str, str]  # the error of each label whose fit failed
+
+    def whole(self) -> Fits:
+        """These fits, if none has failed: what is left of the others must not look like all."""
+        if self.failed:
+            raise RuntimeError("fits failed: " + "; ".join(f"{k}: {v}" for k, v in sorted(self.failed.items())))
+        return self
 
 
 Selector = Callable[[DataFrame, DataFrame], DataFrame]
@@ -165,14 +172,16 @@ def fit_labels(long: DataFrame, meta: DataFrame, *, select: Selector | None = No
     """One multinomial lasso for each ready label of :func:`label_samples` on the features
     ``long(sample_name, feature, value)``: the fit on train and its confusion on test.
 
-    A label whose fit fails twice is left out; ``labels`` says so. ``select`` may choose features
-    for a label from its samples ``(sample_name, class)`` first, the grouped lasso for one.
+    A label whose fit fails twice is left out; ``labels`` and ``failed`` say so, and
+    :meth:`Fits.whole` raises. ``select`` may choose features for a label from its samples
+    ``(sample_name, class)`` first, the grouped lasso for one.
     """
     spark = long.sparkSession
     every, ready = label_samples(long, meta, **(samples or {}))
     every = cut(every)
     wide, table = (None, None) if select else _matrix(long)
-    found = ready.orderBy("label").limit(10_000).collect()
+    found = ready.orderBy("label").collect()
+    failed: dict[str, str] = {}
 
     def one(name: str):
         d = every.where(F.col("label") == name).drop("label")
@@ -182,12 +191,13 @@ def fit_labels(long: DataFrame, meta: DataFrame, *, select: Selector | None = No
             x, names = _matrix(chosen)
         x = cut(x.join(growing(d), "sample_name"))
         got = None
-        for _ in range(2):
+        for last in (False, True):
             try:
                 got = fit_lasso(x.where("split = 'train'"), "sample_name", "features", "class", **fit)
                 break
-            except Exception:  # noqa: BLE001, S112 - a fit that fails is tried once more, then left out
-                continue
+            except Exception as e:  # noqa: BLE001 - a fit that fails is tried once more, then named
+                if last:
+                    failed[name] = f"{type(e).__name__}: {str(e)[:500]}"
         if got is None:
             return None
         model, classes, penalty = got
@@ -212,6 +222,7 @@ def fit_labels(long: DataFrame, meta: DataFrame, *, select: Selector | None = No
         matrix,
         reduce(DataFrame.union, per) if per else none("label string, class string, sensitivity double, specificity double, accuracy double"),
         spark.createDataFrame(status, "label string, status string, n_rows long, classes long, penalty double"),
+        failed,
     )
 
 

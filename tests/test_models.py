@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from helixframe import queries
 from helixframe.operators import crossval, features, model, splits
 
 
@@ -131,3 +132,19 @@ def test_first_stage_ends_at_the_lasso(spark, labelled):
     lab = spark.createDataFrame([(f"s{i}", "ab"[i % 2]) for i in range(90)], "sample_name string, label string")
     one, two = (sorted(map(tuple, model.grouped_lasso(x, lab, penalties=4).collect())) for x in (long, model.by_position(long)))
     assert one == two and {(1, 1), (2, 2)} <= set(one)
+
+
+def test_failed_fits_are_no_result(spark, tmp_path, monkeypatch):
+    """A query of which one label could not be fitted says so, in place of the other labels' rows."""
+    r = random.Random(4)
+    rows = [(f"s{i}", "A" * 27, "".join(r.choice(("AC", "GT")[i % 2]) for _ in range(27)), 3, None, None) for i in range(120)]
+    spark.createDataFrame(rows, "sample string, anchor string, target string, count long, counted_at timestamp, loaded_at timestamp").write.parquet(f"{tmp_path}/satc.parquet")
+    meta = [(k, f"s{i}", m, "ab"[(i + (i % 10 == 0)) % 2]) for i in range(120) for k, m in ((2 * i, "m"), (2 * i + 1, "n"))]
+    spark.createDataFrame(meta, "ord long, sample_name string, metadata string, class string").write.parquet(f"{tmp_path}/metadata.parquet")
+    fit, tries = model.fit_lasso, []
+    monkeypatch.setattr(model, "AT_ONCE", 1)
+    monkeypatch.setattr(model, "grouped_lasso", lambda d, lab: d.select("position", F.explode(F.map_keys("v")).alias("dim")).distinct())
+    monkeypatch.setattr(model, "fit_lasso", lambda *a, **k: tries.append(1) or (1 / 0 if len(tries) < 3 else fit(*a, penalties=2, folds=2)))
+    with pytest.raises(RuntimeError, match="fits failed: m: ZeroDivisionError"):
+        queries.grouped_two_stage(spark, str(tmp_path))
+    assert len(tries) == 3
