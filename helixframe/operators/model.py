@@ -19,7 +19,7 @@ from helixframe.operators.crossval import right_of_path
 from helixframe.operators.features import sparse_rows, vectors
 from helixframe.operators.ranking import distributed_rank
 from helixframe.operators.splits import uniform
-from helixframe.runtime import cut, growing
+from helixframe.runtime import cut, growing, spread
 
 #: Classes that come to the driver at most; a label of more is no label for such a model.
 MAX_CLASSES = 200
@@ -27,6 +27,8 @@ MAX_CLASSES = 200
 ROWS = 2000
 #: Cells of the guesses that one stretch of rows makes in a small fit; columns of a fit by Newton steps at most.
 CACHED, FEW = 1 << 15, 16
+#: Guesses so far from 0 are moved before they are raised, which doubles could not hold.
+FAR = 300
 #: Labels that are fitted at the same time.
 AT_ONCE = 4
 
@@ -240,20 +242,25 @@ def labelled_as(df: DataFrame, classes: list[str]) -> DataFrame:
 def _slopes(x: np.ndarray, y: np.ndarray, a: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Mean multinomial loss of the model ``a`` on rows x, its slopes, and for each class a bound of the
     curvature there: the rows weighted by their share of the class. In stretches that stay in the cache."""
-    loss, slope, bound = 0.0, np.zeros_like(a), np.zeros((a.shape[1], len(a), len(a)))
+    loss, slope, (i, j) = 0.0, np.zeros_like(a), np.triu_indices(len(a))
+    half = np.zeros((a.shape[1], len(i)))
     step = max(1, CACHED // a.shape[1])
     for lo in range(0, len(x), step):
         some = x[lo : lo + step]
-        q, own = some @ a, (np.arange(len(some)), y[lo : lo + step])
-        q -= q.max(1, keepdims=True)
-        loss -= q[own].sum()
+        q, own = some @ a, y[lo : lo + step]
+        if q.min() < -FAR or q.max() > FAR:
+            q -= q.max(1, keepdims=True)
+        loss -= q[np.arange(len(some)), own].sum()
         np.exp(q, out=q)
         total = q.sum(1, keepdims=True)
         loss += np.log(total).sum()
-        q /= total
-        bound += (q.T[:, None, :] * some.T[None]) @ some
-        q[own] -= 1
-        slope += some.T @ q
+        part = some / total
+        half += q.T @ (part[:, i] * some[:, j])  # products of two columns once for all classes
+        slope += part.T @ q
+        for k, column in enumerate(some.T):
+            slope[k] -= np.bincount(own, column, a.shape[1])
+    bound = np.zeros((a.shape[1], len(a), len(a)))
+    bound[:, i, j] = bound[:, j, i] = half
     return loss / len(x), slope / len(x), bound / len(x)
 
 
@@ -331,12 +338,13 @@ def grouped_lasso(long: DataFrame, labels: DataFrame, penalties: int = 10, folds
         return w, b
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        dims = sorted({k for v in pdf["v"] for k in dict(v)})
+        values = [dict(v) for v in pdf["v"]]
+        dims = sorted({k for v in values for k in v})
         none = pd.DataFrame({"position": np.zeros(0, np.int64), "dim": np.zeros(0, np.int64)})
         y = pd.get_dummies(pdf["label"]).to_numpy(float)
         if y.shape[1] < 2 or not dims:
             return none
-        x = np.array([[dict(v).get(k, 0.0) for k in dims] for v in pdf["v"]])
+        x = np.array([[v.get(k, 0.0) for k in dims] for v in values])
         x = (x - x.mean(0)) / np.maximum(x.std(0), 1e-9)
         path, fold = path_of(x, y), pdf["fold"].to_numpy()
         right = np.zeros(len(path))
@@ -352,7 +360,8 @@ def grouped_lasso(long: DataFrame, labels: DataFrame, penalties: int = 10, folds
         kept = np.nonzero(np.abs(w).sum(1))[0]
         return pd.DataFrame({"position": np.full(len(kept), pdf["position"].iloc[0], np.int64), "dim": np.array(dims, np.int64)[kept]})
 
-    return d.groupBy("position").applyInPandas(fit, "position long, dim long")
+    # the rows of a position are few bytes and much work: their tasks are never merged
+    return d.repartition(spread(d.sparkSession), "position").groupBy("position").applyInPandas(fit, "position long, dim long")
 
 
 def grouped_two_stage(ordered: DataFrame, meta: DataFrame, **options) -> Fits:
