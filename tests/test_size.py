@@ -180,3 +180,23 @@ def test_bounds_share_the_products_of_columns():
         assert np.isclose(loss, want) and np.allclose(slope, x.T @ (q - np.eye(40)[y]) / 300)
         assert np.allclose(bound, np.einsum("nk,ni,nj->kij", q, x, x) / 300)
         assert most < 4 * q.nbytes
+
+
+@pytest.mark.parametrize("lead", [False])
+def test_wide_rows_are_packed(spark, tmp_path, lead):
+    """What a sample lacks takes little room in a file, and the codec that a session names stays."""
+    names = texts(17, 2000, 27)
+    d = spark.createDataFrame([(f"s{i}", names[7 * i], "GATTACA", 3) for i in range(3)], "sample string, anchor string, target string, count long")
+    a = spark.createDataFrame(list(enumerate(names)), "ord long, anchor string")
+    sizes = []
+    for codec in (None, "snappy"):
+        spark.conf.unset("spark.sql.parquet.compression.codec")
+        if codec:
+            spark.conf.set("spark.sql.parquet.compression.codec", codec)
+        satc.featurize(d, a, 27, lead).write.parquet(f"{tmp_path}/{codec}")
+        got = {x["sample"]: x["seq"] for x in spark.read.parquet(f"{tmp_path}/{codec}").collect()}
+        assert got == {f"s{i}": "".join(n * lead + ("GATTACA" if k == 7 * i else "N" * 27) for k, n in enumerate(names)) for i in range(3)}
+        sizes.append(sum(x.stat().st_size for x in (tmp_path / str(codec)).glob("*.parquet")))
+        assert spark.conf.get("spark.sql.parquet.compression.codec") == (codec or "zstd")
+    spark.conf.unset("spark.sql.parquet.compression.codec")
+    assert sizes[0] < 0.8 * sizes[1]
